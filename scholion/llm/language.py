@@ -49,7 +49,7 @@ def named_language(label: Column) -> Column:
 # Windows-1252's characters for the bytes 80 to 9F; each byte of a damaged letter is shown as one of these or as itself.
 _SHOWN = {bytes([b]).decode("cp1252"): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _TAIL = "\x80-\xbf" + "".join(_SHOWN)
-_DAMAGED = re.compile(f"[\xc2-\xdf][{_TAIL}]|[\xe0-\xef][{_TAIL}]{{2}}|[\xf0-\xf4][{_TAIL}]{{3}}")
+_DAMAGED = re.compile(f"[\xc2-\xc5][{_TAIL}]|[\xe2\xef][{_TAIL}]{{2}}")  # the letters and marks of European languages
 
 
 def _rebuilt(found: re.Match) -> str:
