@@ -1,3 +1,3 @@
 """Operators for preparing training data; nothing else in the library imports this subpackage."""
 
-MODULES = ["fusion_queries", "splitting_queries", "language_queries", "scans_queries"]
+MODULES = ["canonical_queries", "fusion_queries", "scans_queries", "splitting_queries", "language_queries"]
