@@ -1,3 +1,3 @@
 """Operators for preparing training data; nothing else in the library imports this subpackage."""
 
-MODULES = ["canonical_queries", "fusion_queries", "entities_queries", "scans_queries", "splitting_queries", "people_queries", "language_queries"]
+MODULES = ["canonical_queries", "fusion_queries", "entities_queries", "scans_queries", "splitting_queries", "people_queries", "packing_queries", "mixing_queries", "language_queries"]
