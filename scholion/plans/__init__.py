@@ -1,3 +1,3 @@
 """Named queries and their SQL, by area."""
 
-MODULES = ["nested"]
+MODULES = ["nested", "search", "graph"]

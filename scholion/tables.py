@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -36,13 +37,49 @@ def shared_dir(spark: SparkSession) -> str:
     return conf or f"file://{os.path.abspath('/tmp/scholion-checkpoints')}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder; survives the loss of executors."""
-    spark = df.sparkSession
+def _paths(spark: SparkSession) -> tuple[str, list[str]]:
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+    if not hasattr(sc, "_scholion_tables"):
+        sc._scholion_tables = []
+        atexit.register(_drop_all, sc)
+    return f"{shared_dir(spark)}/scholion-{sc.applicationId}", sc._scholion_tables
+
+
+def _drop(sc, path: str) -> None:
+    jvm = sc._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _drop_all(sc) -> None:
+    try:
+        for path in list(sc._scholion_tables):
+            _drop(sc, path)
+    except Exception:  # noqa: BLE001 - the session may be gone already; its folder is then left to the cluster
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``: it is written once as a table in the shared folder and read back; survives the loss of executors.
+
+    The table lives until :func:`release` or the end of the session.
+    """
+    root, known = _paths(df.sparkSession)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    known.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scholion_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Drop a table that :func:`cut` wrote, once nothing reads it any more."""
+    path = getattr(df, "_scholion_path", None)
+    if path:
+        known = df.sparkSession.sparkContext._scholion_tables
+        known.remove(path)
+        _drop(df.sparkSession.sparkContext, path)
 
 
 def prefixed(df: DataFrame, *names: str) -> DataFrame:
