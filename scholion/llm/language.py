@@ -69,6 +69,8 @@ _SPECIAL = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "
 
 def plain(text: str) -> str:
     """Lower case, without marks on letters."""
+    if text.isascii():
+        return text.lower().replace("'", " ")
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower().translate(_SPECIAL)) if not unicodedata.combining(c))
 
 
