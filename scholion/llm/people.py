@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scholion.llm.canonical import osa
 from scholion.llm.language import plain, repaired
-from scholion.tables import cut
+from scholion.tables import cut, release
 
 #: Share of the distinct name words that a given name is seen beside at least, and least number; so there are fewer than 1 / GIVEN of them a row.
 GIVEN, GIVEN_LEAST = 0.004, 8
@@ -185,26 +185,34 @@ def topic_fields(profiles: DataFrame) -> dict[str, str]:
     return {t: find(t) for t in counts}
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """Joined by sorting: the many small joins of the rounds would otherwise each leave a broadcast with the driver."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``(node, component)`` of the undirected ``edges`` (a, b): the smallest label spreads by large-star and small-star steps.
 
     No group is gathered: every step is a minimum by key and a join. Lineage is cut each round in the shared folder.
     """
     both = edges.select("a", "b").where("a <> b")
-    edge = cut(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    edge, state = cut(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    for number in range(rounds):
         # large star: larger neighbours of a node go to its smallest neighbour
         around = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = around.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(around.join(_plain(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         # small star: smaller neighbours and the node itself go to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        after = cut(small)
-        same = after.count() == edge.count() and after.join(edge, ["a", "b"], "left_anti").isEmpty()
-        edge = after
-        if same:
-            break
+        small = large.join(_plain(low), "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        before, edge = edge, cut(small)
+        release(before)
+        release(large)
+        if number >= 2:
+            now = edge.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
+            if now == state:
+                break
+            state = now
     return edge.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(edge.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
 
 
@@ -257,24 +265,31 @@ def resolve(profiles: DataFrame) -> DataFrame:
     state = cut(nodes.withColumn("person", F.coalesce("component", F.concat(F.lit("N"), number("node").cast("string")))).drop("component"))
 
     # further rounds: merged profiles with all their names, fields and places are matched again
+    either = near.where("level > 0").select("one", "two", "level")
+    either = cut(either.unionByName(either.select(F.col("two").alias("one"), F.col("one").alias("two"), "level")).unionByName(names.select(F.col("sig").alias("one"), F.col("sig").alias("two"), F.lit(2).alias("level")).distinct()))
     for _ in range(ROUNDS):
         people = state.groupBy("person").agg(F.max("field").alias("field"), F.max("orcid").alias("orcid"))
-        called = names.join(state.select("node", "person"), "node").select("person", "sig").distinct()
-        linked = near.where("level > 0").select("one", "two", "level").unionByName(near.where("level > 0").select(F.col("two").alias("one"), F.col("one").alias("two"), "level")).unionByName(called.select(F.col("sig").alias("one"), F.col("sig").alias("two"), F.lit(2).alias("level")).distinct())
-        open_ = people.where("field is null").select(F.col("person").alias("p"), F.col("orcid").alias("po"))
-        pairs = open_.join(called.select(F.col("person").alias("p"), F.col("sig").alias("one")), "p").join(linked, "one").join(called.select(F.col("person").alias("q"), F.col("sig").alias("two")), "two").where("p <> q").groupBy("p", "po", "q").agg(F.max("level").alias("level"))
-        pairs = pairs.join(people.select(F.col("person").alias("q"), F.col("field").alias("qf"), F.col("orcid").alias("qo")), "q").where("po is null or qo is null or po = qo")
+        called = cut(names.join(_plain(state.select("node", "person")), "node").select("person", "sig").distinct().join(_plain(people), "person"))
+        mine = called.where("field is null").select(F.col("person").alias("p"), F.col("sig").alias("one"), F.col("orcid").alias("po"))
+        theirs = called.select(F.col("person").alias("q"), F.col("sig").alias("two"), F.col("field").alias("qf"), F.col("orcid").alias("qo"))
+        pairs = mine.join(_plain(either), "one").join(_plain(theirs), "two").where("p <> q and (po is null or qo is null or po = qo)")
+        pairs = cut(pairs.groupBy("p", "q", "qf").agg(F.max("level").alias("level")))
         at = state.select("person", F.explode(F.array("place", "place_id")).alias("at")).where("at is not null").distinct()
-        shared = pairs.select("p", "q").join(at.select(F.col("person").alias("p"), "at"), "p").join(at.select(F.col("person").alias("q"), "at"), ["q", "at"]).select("p", "q").distinct().withColumn("shared", F.lit(1))
-        scored = pairs.join(shared, ["p", "q"], "left").withColumn("score", F.coalesce("shared", F.lit(0)) * 4 + F.col("level") + F.when(F.col("qf").isNotNull(), 0.5).otherwise(0.0))
-        # the best candidate, if no other of a different field comes as near
+        shared = pairs.select("p", "q").join(_plain(at.withColumnRenamed("person", "p")), "p").join(_plain(at.withColumnRenamed("person", "q")), ["q", "at"]).select("p", "q").distinct().withColumn("shared", F.lit(4))
+        scored = cut(pairs.join(_plain(shared), ["p", "q"], "left").withColumn("score", F.coalesce("shared", F.lit(0)) + F.col("level") + F.when(F.col("qf").isNotNull(), 0.5).otherwise(0.0)))
+        # the best candidate, if no other of a different field comes as near; of two open profiles the larger label joins the smaller
         ranked = scored.groupBy("p").agg(F.max_by(F.struct("q", "score", "qf"), F.struct("score", F.col("q"))).alias("best"))
-        rivals = scored.join(ranked, "p").where("q <> best.q and score >= best.score - 0.5 and qf is not null and (best.qf is null or qf <> best.qf)").select("p").distinct()
-        merge = cut(ranked.join(rivals, "p", "left_anti").select(F.col("p").alias("a"), F.col("best.q").alias("b")))
+        told = scored.join(_plain(ranked), "p").withColumn("rival", F.expr("q <> best.q and score >= best.score - 0.5 and qf is not null and (best.qf is null or qf <> best.qf)"))
+        merge = told.groupBy("p").agg(F.max(F.coalesce("rival", F.lit(False))).alias("rival"), F.any_value("best").alias("best")).where("not rival and (best.qf is not null or p > best.q)").select("p", F.col("best.q").alias("q"))
+        merge = cut(merge)
+        for old in (called, pairs, scored):
+            release(old)
         if merge.isEmpty():
             break
-        label = components(merge)
-        state = cut(state.join(label.select(F.col("node").alias("person"), "component"), "person", "left").withColumn("person", F.coalesce("component", "person")).drop("component"))
+        hop = merge.select(F.col("p").alias("q"), F.col("q").alias("next"))
+        merge = cut(merge.join(_plain(hop), "q", "left").select("p", F.coalesce("next", "q").alias("q")))
+        before, state = state, cut(state.join(_plain(merge.select(F.col("p").alias("person"), "q")), "person", "left").withColumn("person", F.coalesce("q", "person")).drop("q"))
+        release(before)
     grouped = member.join(state.select("node", "person"), "node")
     first = grouped.groupBy("person").agg(F.min("profile_id").alias("first"))
     return grouped.join(first, "person").select("profile_id", F.col("first").alias("person"))
