@@ -34,7 +34,7 @@ def paper_rank_decayed(evidence: Column, citations: Column, year: Column, quarti
 def citation_quality(citations: Column, year: Column, fwci: Column, percentile: Column, top_tenth: Column, as_of: int) -> Column:
     c = _n(citations)
     velocity = c / F.greatest(F.lit(1), F.lit(as_of) - year)
-    score = F.when(c > 0, cap(10 * F.log10(c + 1.0), 40)).otherwise(0.0) + F.coalesce(cap(10 * fwci, 30), F.lit(0.0))
+    score = F.when(c > 0, cap(10 * F.log10(c + 1.0), 40)).otherwise(0.0) + F.when(fwci.isNotNull(), cap(10 * fwci, 30)).otherwise(0.0)
     score = score + F.when(year.isNotNull() & (c > 0), cap(5 * F.log10(velocity + 1), 15)).otherwise(0.0)
     score = score + F.when(percentile >= 99, 10).when(percentile >= 95, 7).when(percentile >= 90, 5).otherwise(0) + F.when(F.coalesce(top_tenth, F.lit(False)), 5).otherwise(0)
     return cap(score, 100)
