@@ -178,8 +178,8 @@ def first_id(ids: Column, *keys: str) -> Column:
 
 
 def canonical_ids(ids: Column) -> Column:
-    """External ids under lower-case keys, DOIs bare; of keys that differ in case only the first in order wins."""
+    """External ids under lower-case keys, DOIs bare; of keys that differ in case only the first wins, capitals sorting first."""
     alias = F.create_map(*(F.lit(x) for pair in (("corpusid", "corpus_id"), ("pubmed", "pmid"), ("pubmedcentral", "pmcid"), ("openalex", "openalex"), ("mag", "mag"), ("doi", "doi"), ("arxiv", "arxiv")) for x in pair))
-    entries = F.transform(F.map_entries(ids), lambda e: F.struct(F.coalesce(alias[F.lower(e["key"])], F.lower(e["key"])).alias("key"), F.when(F.lower(e["key"]) == "doi", F.coalesce(normalize_doi(e["value"]), e["value"])).otherwise(e["value"]).alias("value")))
+    entries = F.transform(F.array_sort(F.map_entries(ids)), lambda e: F.struct(F.coalesce(alias[F.lower(e["key"])], F.lower(e["key"])).alias("key"), F.when(F.lower(e["key"]) == "doi", F.coalesce(normalize_doi(e["value"]), e["value"])).otherwise(e["value"]).alias("value")))
     once = F.filter(entries, lambda e: e["value"].isNotNull())
     return F.map_from_entries(F.aggregate(once, F.expr("cast(array() as array<struct<key:string,value:string>>)"), lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e)))))

@@ -25,31 +25,31 @@ def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ir_metrics_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = E.ir_metrics(_run(spark, sf_dir), _qrels(spark, sf_dir))
-    return m.select("query_id", *(F.round(c, 6).alias(c) for c in m.columns[1:]))
+    return m.select("query_id", *(F.round(c, 9).alias(c) for c in m.columns[1:]))
 
 
 def ir_metrics_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = E.mean_metrics(E.ir_metrics(_run(spark, sf_dir), _qrels(spark, sf_dir)))
-    return m.select("queries", *(F.round(c, 6).alias(c) for c in m.columns[1:]))
+    return m.select("queries", *(F.round(c, 9).alias(c) for c in m.columns[1:]))
 
 
 def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bracketed numbers of a document as citations of the sources of its language."""
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.lit(30).alias("papers"))
-    return E.numeric_citation_check(d).withColumn("accuracy", F.round("accuracy", 6))
+    return E.numeric_citation_check(d).withColumn("accuracy", F.round("accuracy", 9))
 
 
 def marker_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric markers written as ``(cite:n)``."""
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"\[(\d+)\]", "(cite:$1)").alias("answer"), F.expr("transform(sequence(1, 30), x -> concat('S', x))").alias("source_ids"))
-    return E.citation_validity(d).withColumn("validity", F.round("validity", 6))
+    return E.citation_validity(d).withColumn("validity", F.round("validity", 9))
 
 
 def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as answers to the title of the record of the same number."""
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("context"))
     r = table(spark, sf_dir, "paper_records").where("title is not null").select(F.col("rec_id").alias("id"), F.concat(F.col("title"), F.lit(". "), F.coalesce("venue", F.lit(""))).alias("answer"))
-    return E.text_match(d.join(r, "id"), ("with", "from", "under")).withColumn("percentage", F.round("percentage", 6))
+    return E.text_match(d.join(r, "id"), ("with", "from", "under")).withColumn("percentage", F.round("percentage", 9))
 
 
 def passage_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def passage_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "paper_records").where("title is not null").groupBy("paper_id").agg(F.min("title").alias("passage"))
     c = table(spark, sf_dir, "paper_chunks").where("text is not null").select("paper_id", F.col("text").alias("context"))
     pairs = r.join(c, "paper_id").select(F.col("paper_id").alias("id"), "passage", F.array("context").alias("contexts"))
-    return E.passage_overlap(pairs).withColumn("overlap", F.round("overlap", 6))
+    return E.passage_overlap(pairs).withColumn("overlap", F.round("overlap", 9))
 
 
 def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +100,13 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a title's tokens in the venue's name."""
-    return table(spark, sf_dir, "paper_records").where("title is not null and venue is not null").select("rec_id", F.round(X.overlap_ratio("title", "venue"), 6).alias("overlap"))
+    return table(spark, sf_dir, "paper_records").where("title is not null and venue is not null").select("rec_id", F.round(X.overlap_ratio("title", "venue"), 9).alias("overlap"))
 
 
 def gibberish_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vowel ratio, entropy and identifier form of names as typed."""
     n = table(spark, sf_dir, "author_records").where("name is not null")
-    return n.select("row_id", F.round(X.vowel_ratio("name"), 6).alias("vowels"), F.round(X.shannon_entropy("name"), 6).alias("entropy"), X.looks_like_identifier("openalex_id").alias("identifier"))
+    return n.select("row_id", F.round(X.vowel_ratio("name"), 9).alias("vowels"), F.round(X.shannon_entropy("name"), 9).alias("entropy"), X.looks_like_identifier("openalex_id").alias("identifier"))
 
 
 def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,11 +144,11 @@ _TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 _TERMS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+')), lambda w: length(w) >= 4 AND w NOT IN ('with', 'from', 'under'))"
 _SENT = "list_filter(list_transform(string_split_regex(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')"
 SQL = {
-    "ir_metrics_per_query": _IR + "SELECT query_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in _NAMES) + " FROM m",
-    "ir_metrics_mean": _IR + "SELECT count(*) AS queries, " + ", ".join(f"round(avg({n}), 6) AS {n}" for n in _NAMES) + " FROM m",
-    "citation_validity": "WITH c AS (SELECT doc_id AS id, list_distinct(list_transform(regexp_extract_all(text, '\\[(\\d{1,4})\\]', 1), lambda x: CAST(x AS INT))) AS c FROM documents WHERE text IS NOT NULL), d AS (SELECT id, CAST(len(c) AS INT) AS total, CAST(len(list_filter(c, lambda x: x BETWEEN 1 AND 30)) AS INT) AS correct FROM c) SELECT id, total, correct, total - correct AS hallucinated, greatest(0, 30 - total) AS missing, round(CASE WHEN total > 0 THEN correct / total ELSE 0 END, 6) AS accuracy FROM d",
-    "marker_validity": "WITH c AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(text, '\\[(\\d+)\\]', 1)) AS c FROM documents WHERE text IS NOT NULL), d AS (SELECT id, CAST(len(c) AS INT) AS markers, CAST(len(list_filter(c, lambda x: CAST(x AS BIGINT) BETWEEN 1 AND 30)) AS INT) AS valid FROM c) SELECT id, markers, valid, round(valid / nullif(markers, 0), 6) AS validity FROM d",
-    "passage_overlap": f"WITH r AS (SELECT paper_id, min(title) AS passage FROM paper_records WHERE title IS NOT NULL GROUP BY 1), t AS (SELECT r.paper_id AS id, {_TOK.format('passage')} AS a, {_TOK.format('c.text')} AS b FROM r JOIN paper_chunks c ON c.paper_id = r.paper_id WHERE c.text IS NOT NULL) SELECT id, round(max(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END), 6) AS overlap FROM t GROUP BY id",
+    "ir_metrics_per_query": _IR + "SELECT query_id, " + ", ".join(f"round({n}, 9) AS {n}" for n in _NAMES) + " FROM m",
+    "ir_metrics_mean": _IR + "SELECT count(*) AS queries, " + ", ".join(f"round(avg({n}), 9) AS {n}" for n in _NAMES) + " FROM m",
+    "citation_validity": "WITH c AS (SELECT doc_id AS id, list_distinct(list_transform(regexp_extract_all(text, '\\[(\\d{1,4})\\]', 1), lambda x: CAST(x AS INT))) AS c FROM documents WHERE text IS NOT NULL), d AS (SELECT id, CAST(len(c) AS INT) AS total, CAST(len(list_filter(c, lambda x: x BETWEEN 1 AND 30)) AS INT) AS correct FROM c) SELECT id, total, correct, total - correct AS hallucinated, greatest(0, 30 - total) AS missing, round(CASE WHEN total > 0 THEN correct / total ELSE 0 END, 9) AS accuracy FROM d",
+    "marker_validity": "WITH c AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(text, '\\[(\\d+)\\]', 1)) AS c FROM documents WHERE text IS NOT NULL), d AS (SELECT id, CAST(len(c) AS INT) AS markers, CAST(len(list_filter(c, lambda x: CAST(x AS BIGINT) BETWEEN 1 AND 30)) AS INT) AS valid FROM c) SELECT id, markers, valid, round(valid / nullif(markers, 0), 9) AS validity FROM d",
+    "passage_overlap": f"WITH r AS (SELECT paper_id, min(title) AS passage FROM paper_records WHERE title IS NOT NULL GROUP BY 1), t AS (SELECT r.paper_id AS id, {_TOK.format('passage')} AS a, {_TOK.format('c.text')} AS b FROM r JOIN paper_chunks c ON c.paper_id = r.paper_id WHERE c.text IS NOT NULL) SELECT id, round(max(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END), 9) AS overlap FROM t GROUP BY id",
     "run_statistics": "SELECT event_type, count(*) AS runs, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, round(median(value), 6) AS median FROM events GROUP BY 1",
     "no_evidence": "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{p}')" for p in E.NO_EVIDENCE),
     "pending_rows": "SELECT doc_id AS vec_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
@@ -156,5 +156,5 @@ SQL = {
     "external_ids": "WITH e AS (SELECT rec_id, unnest(map_entries(external_ids)) AS e FROM paper_records WHERE external_ids IS NOT NULL) SELECT rec_id, CASE lower(e.key) WHEN 'corpusid' THEN 'corpus_id' WHEN 'pubmed' THEN 'pmid' WHEN 'pubmedcentral' THEN 'pmcid' ELSE lower(e.key) END AS id_kind, e.value AS id_value FROM e WHERE e.value IS NOT NULL",
     "normalized_titles": "SELECT id, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM journals",
     "surnames": "SELECT row_id, nullif(lower(list_extract(string_split_regex(trim(name), '\\s+'), -1)), '') AS surname FROM author_records",
-    "token_overlap": f"SELECT rec_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END, 6) AS overlap FROM (SELECT rec_id, {_TOK.format('title')} AS a, {_TOK.format('venue')} AS b FROM paper_records WHERE title IS NOT NULL AND venue IS NOT NULL)",
+    "token_overlap": f"SELECT rec_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END, 9) AS overlap FROM (SELECT rec_id, {_TOK.format('title')} AS a, {_TOK.format('venue')} AS b FROM paper_records WHERE title IS NOT NULL AND venue IS NOT NULL)",
 }

@@ -59,23 +59,23 @@ def citing_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def author_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "author_records")
-    return G.author_statistics(a, "h_index", {"verified": F.coalesce("verified", F.lit(False)), "with_orcid": F.col("orcid").isNotNull(), "with_papers": F.col("paper_count") > 0}).withColumn("average", F.round("average", 6))
+    return G.author_statistics(a, "h_index", {"verified": F.coalesce("verified", F.lit(False)), "with_orcid": F.col("orcid").isNotNull(), "with_papers": F.col("paper_count") > 0}).withColumn("average", F.round("average", 9))
 
 
 def institution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and mean papers by country, by type, and over all: one pass by grouping sets."""
     i = table(spark, sf_dir, "institutions")
-    g = i.groupingSets([["country_code"], ["type"], []], "country_code", "type").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg("total_papers"), 6).alias("mean_papers"))
+    g = i.groupingSets([["country_code"], ["type"], []], "country_code", "type").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg("total_papers"), 9).alias("mean_papers"))
     return g
 
 
 def career_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = G.career_metrics(_works(spark, sf_dir))
-    return m.withColumn("mean_impact", F.round("mean_impact", 6)).withColumn("mean_position", F.round("mean_position", 6))
+    return m.withColumn("mean_impact", F.round("mean_impact", 9)).withColumn("mean_position", F.round("mean_position", 9))
 
 
 def trust_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.trust_metrics(_works(spark, sf_dir)).withColumn("retracted_rate", F.round("retracted_rate", 6))
+    return G.trust_metrics(_works(spark, sf_dir)).withColumn("retracted_rate", F.round("retracted_rate", 9))
 
 
 def duplicate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def affiliations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def institution_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = G.institution_profile(_works(spark, sf_dir), 40)
     score = S.institution_score(F.col("papers"), F.col("citations"), S.h_index_estimate(F.col("citations"), F.col("papers")), F.col("highly_cited"), F.col("mean_impact") / 25, F.lit(0), F.col("authors"))
-    return p.select("institution", "papers", "citations", "highly_cited", F.round("mean_impact", 6).alias("mean_impact"), F.round("open_access_ratio", 6).alias("open_access_ratio"), "authors", F.round(score, 6).alias("score"))
+    return p.select("institution", "papers", "citations", "highly_cited", F.round("mean_impact", 9).alias("mean_impact"), F.round("open_access_ratio", 9).alias("open_access_ratio"), "authors", F.round(score, 9).alias("score"))
 
 
 def field_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def field_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = r.select("venue", F.explode("fields_of_study").alias("field"))
     n = r.groupBy("venue").agg(F.count(F.lit(1)).alias("papers"))
     top = G.field_distribution(t, "venue", "field").join(n, "venue")
-    return top.select("venue", "field", "n", "rank", F.round(S.field_strength(F.col("n"), F.col("papers")), 6).alias("strength"))
+    return top.select("venue", "field", "n", "rank", F.round(S.field_strength(F.col("n"), F.col("papers")), 9).alias("strength"))
 
 
 def top_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,18 +128,18 @@ SQL = {
     "citation_edges": _CITE,
     "citing_papers": f"SELECT cited, count(*) AS citations, max(citation_year) AS newest FROM ({_CITE}) GROUP BY cited",
     "referencing_authors": f"WITH e AS ({_EDGE}), c AS (SELECT a.author, b.author AS other, count(*) AS citations FROM ({_CITE}) x JOIN e a ON a.paper = x.citing JOIN e b ON b.paper = x.cited WHERE a.author <> b.author GROUP BY 1, 2) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY author ORDER BY citations DESC, other) AS INT) AS rank FROM c) WHERE rank <= 5",
-    "author_stats": "SELECT count(*) AS total, count(*) FILTER (coalesce(verified, false)) AS verified, count(*) FILTER (orcid IS NOT NULL) AS with_orcid, count(*) FILTER (paper_count > 0) AS with_papers, round(nullif(avg(h_index), 0), 6) AS average FROM author_records",
-    "institution_stats": "SELECT country_code, type, CAST(grouping(country_code, type) AS INT) AS level, count(*) AS n, round(avg(total_papers), 6) AS mean_papers FROM institutions GROUP BY GROUPING SETS ((country_code), (type), ())",
-    "career_metrics": f"SELECT author, CAST(min(year) AS INT) AS first_year, count(DISTINCT paper) AS papers, round(avg(impact), 6) AS mean_impact, arg_max(institution, (date, paper)) FILTER (institution IS NOT NULL AND date IS NOT NULL) AS last_institution, round(avg(position) FILTER (position > 0), 6) AS mean_position, avg(CAST(corresponding AS INT)) > 0.5 AS mostly_corresponding FROM ({_WORK}) GROUP BY author",
-    "trust_metrics": f"SELECT author, count(*) AS papers, count(*) FILTER (retracted) AS retracted, count(*) FILTER (citations >= 10) AS i10, round(count(*) FILTER (retracted) / count(*), 6) AS retracted_rate FROM ({_WORK}) GROUP BY author",
+    "author_stats": "SELECT count(*) AS total, count(*) FILTER (coalesce(verified, false)) AS verified, count(*) FILTER (orcid IS NOT NULL) AS with_orcid, count(*) FILTER (paper_count > 0) AS with_papers, round(nullif(avg(h_index), 0), 9) AS average FROM author_records",
+    "institution_stats": "SELECT country_code, type, CAST(grouping(country_code, type) AS INT) AS level, count(*) AS n, round(avg(total_papers), 9) AS mean_papers FROM institutions GROUP BY GROUPING SETS ((country_code), (type), ())",
+    "career_metrics": f"SELECT author, CAST(min(year) AS INT) AS first_year, count(DISTINCT paper) AS papers, round(avg(impact), 9) AS mean_impact, arg_max(institution, (date, paper)) FILTER (institution IS NOT NULL AND date IS NOT NULL) AS last_institution, round(avg(position) FILTER (position > 0), 9) AS mean_position, avg(CAST(corresponding AS INT)) > 0.5 AS mostly_corresponding FROM ({_WORK}) GROUP BY author",
+    "trust_metrics": f"SELECT author, count(*) AS papers, count(*) FILTER (retracted) AS retracted, count(*) FILTER (citations >= 10) AS i10, round(count(*) FILTER (retracted) / count(*), 9) AS retracted_rate FROM ({_WORK}) GROUP BY author",
     "duplicate_identity": "SELECT profile_id, orcid, count(*) OVER (PARTITION BY orcid) AS rows FROM author_profiles WHERE orcid IS NOT NULL QUALIFY count(*) OVER (PARTITION BY orcid) > 1",
     "affiliations": f"SELECT author, institution, count(DISTINCT paper) AS papers, CAST(min(year) AS INT) AS start_year, CAST(max(year) AS INT) AS end_year, max(year) >= 1997 AS is_current FROM ({_WORK}) WHERE institution IS NOT NULL GROUP BY 1, 2",
     "institution_profile": f"""WITH w AS ({_WORK}), p AS (SELECT institution, paper, max(citations) AS citations, max(impact) AS impact, max(CAST(open_access AS INT)) AS oa FROM w WHERE institution IS NOT NULL GROUP BY 1, 2),
       g AS (SELECT institution, count(*) AS papers, CAST(sum(citations) AS BIGINT) AS citations, count(*) FILTER (citations >= 40) AS highly_cited, avg(impact) AS mean_impact, avg(oa) AS open_access_ratio FROM p GROUP BY 1),
       a AS (SELECT institution, count(DISTINCT author) AS authors FROM w WHERE institution IS NOT NULL GROUP BY 1)
-      SELECT g.institution, papers, citations, highly_cited, round(mean_impact, 6) AS mean_impact, round(open_access_ratio, 6) AS open_access_ratio, authors,
-        round(least(100, least(20, 5 * log10(papers + 1)) + least(25, 3 * log10(citations + 1)) + least(20, least(floor(sqrt(citations)), papers) / 5.0) + 15.0 * highly_cited / papers + least(10, 5 * mean_impact / 25) + least(5, 0.5 * authors)), 6) AS score FROM g JOIN a ON a.institution = g.institution""",
-    "field_distribution": "WITH t AS (SELECT venue, unnest(fields_of_study) AS field FROM paper_records WHERE venue IS NOT NULL), c AS (SELECT venue, field, count(*) AS n FROM t WHERE field IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY venue ORDER BY n DESC, field) AS INT) AS rank FROM c), v AS (SELECT venue, count(*) AS papers FROM paper_records GROUP BY 1) SELECT r.venue, field, n, rank, round(least(50, 15 * log10(n + 1)) + 50.0 * n / papers, 6) AS strength FROM r JOIN v ON v.venue = r.venue WHERE rank <= 5",
+      SELECT g.institution, papers, citations, highly_cited, round(mean_impact, 9) AS mean_impact, round(open_access_ratio, 9) AS open_access_ratio, authors,
+        round(least(100, least(20, 5 * log10(papers + 1)) + least(25, 3 * log10(citations + 1)) + least(20, least(floor(sqrt(citations)), papers) / 5.0) + 15.0 * highly_cited / papers + least(10, 5 * mean_impact / 25) + least(5, 0.5 * authors)), 9) AS score FROM g JOIN a ON a.institution = g.institution""",
+    "field_distribution": "WITH t AS (SELECT venue, unnest(fields_of_study) AS field FROM paper_records WHERE venue IS NOT NULL), c AS (SELECT venue, field, count(*) AS n FROM t WHERE field IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY venue ORDER BY n DESC, field) AS INT) AS rank FROM c), v AS (SELECT venue, count(*) AS papers FROM paper_records GROUP BY 1) SELECT r.venue, field, n, rank, round(least(50, 15 * log10(n + 1)) + 50.0 * n / papers, 9) AS strength FROM r JOIN v ON v.venue = r.venue WHERE rank <= 5",
     "top_references": "SELECT paper_id, count(*) AS mentions, arg_min(section_title, id) AS title FROM paper_chunks GROUP BY paper_id ORDER BY count(*) DESC, min(id), paper_id LIMIT 20",
     "related_by_affiliation": "SELECT source, paper_id, count(*) AS rows, string_agg(CAST(rec_id AS VARCHAR), ',' ORDER BY rec_id) AS rec_ids FROM paper_records GROUP BY 1, 2 HAVING count(*) > 1",
 }
