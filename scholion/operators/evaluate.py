@@ -60,7 +60,7 @@ def citation_validity(answers: DataFrame, base: int = 1) -> DataFrame:
     """
     marks = F.array_distinct(citation_markers("answer"))
     n = F.size("source_ids")
-    valid = F.filter(F.col("marks"), lambda m: F.coalesce((m.rlike(r"^\d+$") & (m.cast("int") >= base) & (m.cast("int") < n + base)) | F.array_contains(F.col("source_ids"), m), F.lit(False)))
+    valid = F.filter(F.col("marks"), lambda m: F.coalesce((m.rlike(r"^\d+$") & (m.try_cast("int") >= base) & (m.try_cast("int") < n + base)) | F.array_contains(F.col("source_ids"), m), F.lit(False)))
     out = answers.select("id", "source_ids", marks.alias("marks")).withColumn("valid", F.size(valid))
     return out.select("id", F.size("marks").alias("markers"), "valid", (F.col("valid") / F.nullif(F.size("marks"), F.lit(0))).alias("validity"))
 

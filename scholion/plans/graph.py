@@ -36,7 +36,7 @@ def quartile_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "paper_records").select(F.coalesce("year", F.substring("publication_date", 1, 4).cast("int")).alias("year"))
+    p = table(spark, sf_dir, "paper_records").select(F.coalesce("year", F.substring("publication_date", 1, 4).try_cast("int")).alias("year"))
     c = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"))
     return G.counts_by_year(p, c)
 
