@@ -250,7 +250,11 @@ class Reference:
             keys = self.initials.get(plain("".join(_WORD.findall(letters[1]))), ())
             if len(keys) == 1:
                 return next(iter(keys)), 1.0
-        ranked = self.rank(self.tokens(s))
+        tokens = self.tokens(s)
+        ranked = self.rank(tokens)
+        if not ranked:  # a word that looked misspelt may be two that lost their space
+            apart = [x for t in tokens for x in (self._cut(t) or [t] if t not in self.idf else [t])]
+            ranked = self.rank(apart) if apart != tokens else []
         if not ranked:
             return None, 0.0
         if len(ranked) > 1 and ranked[0][0] - ranked[1][0] < 1e-6:

@@ -41,7 +41,7 @@ LANGUAGES = sorted(NAMES)
 
 def named_language(label: Column) -> Column:
     """The one language that a label names by any common code or name, region and script parts aside; null if it names none."""
-    head = F.regexp_extract(F.lower(F.trim(label)), r"^([^\W\d_]+)(?:[-_ (].*)?$", 1)
+    head = F.regexp_extract(F.lower(F.trim(label)), r"(?U)^([^\W\d_]+)(?:[-_ (].*)?$", 1)
     entries = [F.lit(x) for code, names in NAMES.items() for name in names for x in (name, code)]
     return F.create_map(*entries)[head]
 

@@ -234,8 +234,9 @@ def resolve(profiles: DataFrame) -> DataFrame:
     spark = profiles.sparkSession
     field_of = spark.createDataFrame(sorted(fields.items()) or [("", "")], "topic string, field string")
     oid = F.upper(F.regexp_extract("orcid", r"(\d{4}\W?\d{4}\W?\d{4}\W?\d{3}[\dXx])", 1))
-    account = F.coalesce(F.concat(F.lit("A"), F.col("openalex_id")), F.concat(F.lit("S"), F.col("s2_author_id")), F.concat(F.lit("P"), F.col("profile_id").cast("string")))
-    rows = profiles.select("profile_id", account.alias("account"), F.nullif(F.regexp_replace(oid, r"\W", ""), F.lit("")).alias("orcid"), _place(F.col("affiliation.display_name")).alias("place"), F.regexp_extract(F.upper(F.col("affiliation.id")), r"(I\d+)", 1).alias("place_id"), F.expr("filter(topics, t -> t.display_name is not null)")[0]["display_name"].alias("topic"),
+    given_id = lambda c: F.nullif(F.trim(c), F.lit(""))
+    account = F.coalesce(F.concat(F.lit("A"), given_id("openalex_id")), F.concat(F.lit("S"), given_id("s2_author_id")), F.concat(F.lit("P"), F.col("profile_id").cast("string")))
+    rows = profiles.select("profile_id", account.alias("account"), F.nullif(F.regexp_replace(oid, r"\W", ""), F.lit("")).alias("orcid"), _place(F.col("affiliation.display_name")).alias("place"), F.regexp_extract(F.upper(F.col("affiliation.id")), r"(I\d+)", 1).alias("place_id"), F.get(F.expr("filter(topics, t -> t.display_name is not null)"), 0)["display_name"].alias("topic"),
                            F.concat(F.array("display_name"), F.coalesce("display_name_alternatives", F.array().cast("array<string>"))).alias("names"))
     rows = rows.join(field_of, "topic", "left").drop("topic")
     spelled = cut(rows.select("profile_id", F.explode("names").alias("name")).where("name is not null").withColumn("parts", _name_column(F.col("name"))).where("size(parts) > 0").select("profile_id", "parts").distinct())

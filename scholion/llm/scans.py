@@ -324,7 +324,7 @@ def reflowed(text: str) -> str:
             if not s:
                 continue
             if lines and not _HEADING.match(s) and s[:1] != "|" and not re.fullmatch(r"\S+ {2}\d+", s) and not re.match(r"(?:\d+(?:\.\d+)*\.? [A-Z ]+$|#|Table )", lines[-1]) and lines[-1][:1] != "|":
-                lines[-1] += " " + s
+                lines[-1] += s if re.search(r"\w-$", lines[-1]) and s[:1].islower() else " " + s
             else:
                 lines.append(s)
         out.append("\n".join(lines))

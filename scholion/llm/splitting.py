@@ -99,16 +99,18 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     gaps = sorted(kinds)
     words = [text[a:b].lower() for a, b in spans]
     depth = dict(zip(gaps, valley_depths(words, gaps)))
-    pieces, first = [], 0
+    pieces, first, last = [], 0, 0
     while True:
         if n - first <= limit:
             pieces.append((first, n))
             break
-        lo, hi = bisect_left(gaps, first + max(1, int(limit * LEAST))), bisect_right(gaps, first + limit)
-        window = gaps[lo:hi] or gaps[bisect_right(gaps, first + overlap) : hi]
+        # every cut lies beyond the last one, so that no piece is part of the one before
+        lo, hi = bisect_left(gaps, max(last + 1, first + max(1, int(limit * LEAST)))), bisect_right(gaps, first + limit)
+        window = gaps[lo:hi] or gaps[bisect_right(gaps, max(last, first + overlap)) : hi]
         strong = [g for g in window if kinds[g] >= 2] or window
         cut = max(strong, key=lambda g: (depth[g] + PARAGRAPH * (kinds[g] == 3) - LINE_PENALTY * (kinds[g] == 1), g)) if strong else first + limit
         pieces.append((first, cut))
+        last = cut
         back = gaps[bisect_left(gaps, max(cut - overlap, first + 1)) : bisect_left(gaps, cut)]
         back = [g for g in back if kinds[g] >= 2] or ([] if kinds.get(cut, 0) >= 2 else back)
         first = back[0] if back else cut if cut in kinds else max(first + 1, cut - overlap)
