@@ -55,94 +55,100 @@ for _name, _shorts in SHORT.items():
 
 
 def name_parts(name: str | None) -> tuple[str, ...]:
-    """Folded words of a name, sorted, without titles and particles; initials are single letters, each of its own."""
+    """Plain words of a name, sorted, without titles and particles; initials are single letters, each of its own."""
     if not name:
         return ()
     raw = re.findall(r"[^\W\d_]+", re.sub(r"(?<=\w)['’](?=\w)", "", repaired(name)))
     shouted = all(w.isupper() for w in raw if len(w) > 3)
     out: list[str] = []
-    for w in raw:
+    for i, w in enumerate(raw):
         p = plain(w)
-        if p in TITLES or p in PARTICLES and not w.isupper() or p in PARTICLES and len(raw) > 2 and shouted:
+        follows = raw[i + 1] if i + 1 < len(raw) else ""
+        if p in TITLES or p in PARTICLES and (not w.isupper() or len(follows) > 3 and follows.isupper() or p in ("van", "von", "der", "del", "ten", "dos") and follows):
             continue
-        if len(w) <= 3 and w.isupper() and not shouted and len(raw) > 1 or len(w) == 2 and w.isupper() and not re.search("[AEIOUY]", plain(w).upper()):
-            out += list(plain(w))  # initials written together
+        if len(w) <= 3 and w.isupper() and not shouted and len(raw) > 1 or len(w) == 2 and w.isupper() and not re.search("[AEIOUY]", p.upper()):
+            out += list(p)  # initials written together
             continue
-        out.append(folded(p) if len(p) > 1 else p)
+        out.append(p)
     return tuple(sorted(out))
 
 
+def is_given(word: str, given: frozenset[str]) -> bool:
+    f = folded(word)
+    return f in given or f in _FORMAL
+
+
+def formal(word: str) -> frozenset[str]:
+    f = folded(word)
+    return _FORMAL.get(f, frozenset({f}))
+
+
 def given_like(a: str, b: str) -> bool:
     """Whether two given names, or a given name and an initial, may be one."""
     if a == b:
         return True
     if len(a) == 1 or len(b) == 1:
         x, y = sorted((a, b), key=len)
-        return y[:1] == x or any(f[:1] == x for f in _FORMAL.get(y, ()))
-    if _FORMAL.get(a, frozenset({a})) & _FORMAL.get(b, frozenset({b})):
+        return y[:1] == x or any(f[:1] == x for f in formal(y))
+    if formal(a) & formal(b):
         return True
-    return len(a) > 3 and len(b) > 3 and osa(a, b, 1) <= 1
+    return len(a) > 3 and len(b) > 3 and (osa(a, b, 1) <= 1 or osa(folded(a), folded(b), 1) <= 1)
 
 
-def surname_like(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    short = min(len(a), len(b))
-    if short < 5:
-        return False
-    most = 1 if short < 9 else 2
-    if osa(a, b, most) <= most:
-        return True
-    return any(x.startswith(p) and x[len(p) :] == y for x, y in ((a, b), (b, a)) for p in PARTICLES)
+def surname_distance(a: str, b: str) -> int:
+    """Typing errors between two surnames, rewritten letters and doubled ones aside; 3 if there are more than 2 or the names are short."""
+    if a == b or folded(a) == folded(b):
+        return 0
+    if min(len(a), len(b)) < 5:
+        return 3
+    if any(x.startswith(p) and x[len(p) :] == y for x, y in ((a, b), (b, a)) for p in PARTICLES):
+        return 0
+    most = 1 if min(len(a), len(b)) < 9 else 2
+    d = min(osa(a, b, most), osa(folded(a), folded(b), most))
+    return d if d <= most else 3
 
 
 def compatible(a: tuple[str, ...], b: tuple[str, ...], given: frozenset[str]) -> int:
     """2 if two names may be one person's, 1 if only through initials, 0 if they may not."""
     if a == b:
-        return 2 if any(w in given or w in _FORMAL for w in a) or sum(len(w) > 2 for w in a) > 1 else 1
-    ga, gb = [w for w in a if w in given or w in _FORMAL or len(w) == 1], [w for w in b if w in given or w in _FORMAL or len(w) == 1]
-    sa, sb = [w for w in a if w not in ga], [w for w in b if w not in gb]
-    left, right = list(sa), list(sb)
-    hits = 0
-    for x in sorted(sa, key=len, reverse=True):
-        y = next((y for y in right if y == x), None) or next((y for y in right if surname_like(x, y)), None)
-        if y:
+        return 2 if any(is_given(w, given) for w in a) or sum(len(w) > 2 for w in a) > 1 else 1
+    ga, gb = [w for w in a if len(w) == 1 or is_given(w, given)], [w for w in b if len(w) == 1 or is_given(w, given)]
+    left, right = [w for w in a if w not in ga], [w for w in b if w not in gb]
+    hits, far = 0, 0
+    for x in sorted(left, key=len, reverse=True):
+        near = min(((surname_distance(x, y), y) for y in right), default=(3, ""))
+        if near[0] < 3:
             left.remove(x)
-            right.remove(y)
+            right.remove(near[1])
             hits += 1
-    if not hits:
+            far = max(far, near[0])
+    if not hits or left and right:  # a whole word on either side has no partner
         return 0
-    if left and right:  # a whole word on either side has no partner
+    if far > 1 and not any(len(x) > 1 and x in gb for x in ga):
         return 0
     # what is left of the longer name must be a misspelt or shortened given name, or one run together
+    whole = not left and not right and hits > 1
     ga, gb = ga + left, gb + right
     if not ga or not gb:
-        return 1 if not left and not right and (len(sa) > 1 or ga or gb) else 0
-    if "".join(sorted(ga)) == "".join(sorted(gb)):
-        return 2
+        return 2 if whole else 0
     full, used = 0, 0
-    right = list(gb)
-    rest = []
+    right, rest = list(gb), []
     for x in sorted(ga, key=lambda w: (-len(w), w)):
         y = next((y for y in right if y == x), None) or next((y for y in right if len(y) > 1 and len(x) > 1 and given_like(x, y)), None) or next((y for y in right if given_like(x, y)), None)
-        if y is None and len(x) > 5:
-            y = next((y for y in right if len(y) > 1 and x.startswith(y) and any(x == folded(y + z) for z in right if z != y)), None)
         if y is None:
             rest.append(x)
         else:
             right.remove(y)
             used += 1
             full += len(x) > 1 and len(y) > 1
-    if not used:
+    if rest and right and sorted(folded("".join(rest))) == sorted(folded("".join(right))):
+        return 2  # names run together
+    if not used or rest and right:
         return 0
-    if rest and right:
-        joined_a, joined_b = folded("".join(rest)), folded("".join(right))
-        if joined_a != joined_b:
-            return 0
-    # a whole given name that has no partner may be a middle name only if another one is matched
+    # two whole given names that don't match aren't held together by an initial
     if full == 0 and any(len(w) > 1 for w in ga) and any(len(w) > 1 for w in gb):
         return 0
-    return 2 if full else 1
+    return 2 if full or whole or used > 1 else 1
 
 
 def _name_column(column) -> object:
@@ -159,7 +165,7 @@ def given_words(words: DataFrame) -> frozenset[str]:
     pairs = words.select(F.explode("parts").alias("w"), "parts").where("length(w) > 1").select("w", F.explode("parts").alias("v")).where("w <> v and length(v) > 3").distinct()
     beside = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     total = beside.count()
-    return frozenset(r["w"] for r in beside.where(F.col("n") >= max(GIVEN_LEAST, GIVEN * total)).toLocalIterator())
+    return frozenset(folded(r["w"]) for r in beside.where(F.col("n") >= max(GIVEN_LEAST, GIVEN * total)).toLocalIterator())
 
 
 def topic_fields(profiles: DataFrame) -> dict[str, str]:
@@ -279,9 +285,9 @@ def resolve(profiles: DataFrame) -> DataFrame:
         shared = pairs.select("p", "q").join(_plain(at.withColumnRenamed("person", "p")), "p").join(_plain(at.withColumnRenamed("person", "q")), ["q", "at"]).select("p", "q").distinct().withColumn("shared", F.lit(4))
         scored = cut(pairs.join(_plain(shared), ["p", "q"], "left").withColumn("score", F.coalesce("shared", F.lit(0)) + F.col("level") + F.when(F.col("qf").isNotNull(), 0.5).otherwise(0.0)))
         # the best candidate, if no other of a different field comes as near; of two open profiles the larger label joins the smaller
-        ranked = scored.groupBy("p").agg(F.max_by(F.struct("q", "score", "qf"), F.struct("score", F.col("q"))).alias("best"))
+        ranked = scored.groupBy("p").agg(F.min_by(F.struct("q", "score", "qf"), F.struct(-F.col("score"), "q")).alias("best"))
         told = scored.join(_plain(ranked), "p").withColumn("rival", F.expr("q <> best.q and score >= best.score - 0.5 and qf is not null and (best.qf is null or qf <> best.qf)"))
-        merge = told.groupBy("p").agg(F.max(F.coalesce("rival", F.lit(False))).alias("rival"), F.any_value("best").alias("best")).where("not rival and (best.qf is not null or p > best.q)").select("p", F.col("best.q").alias("q"))
+        merge = told.groupBy("p").agg(F.max(F.coalesce("rival", F.lit(False))).alias("rival"), F.any_value("best").alias("best")).where("not rival and (best.qf is not null or p > best.q and best.score >= 2)").select("p", F.col("best.q").alias("q"))
         merge = cut(merge)
         for old in (called, pairs, scored):
             release(old)
@@ -311,12 +317,15 @@ def near_names(sigs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for sig in b["sig"]:
-                for w in sig.split(" "):
-                    if len(w) < 4 or w in g or w in _FORMAL:
+                parts = sig.split(" ")
+                for i, w in enumerate(parts):
+                    if len(w) < 3 or is_given(w, g):
                         continue
-                    forms = [w] + [w[len(p) :] for p in PARTICLES if w.startswith(p) and len(w) - len(p) > 4]
-                    ks = {f for x in forms for f in ([x] if len(x) < 5 else [x, *(x[:i] + x[i + 1 :] for i in range(len(x)))])}
-                    out += [(sig, k) for k in ks]
+                    forms = {w, folded(w)} | {w[len(p) :] for p in PARTICLES if w.startswith(p) and len(w) - len(p) > 4}
+                    ks = {f for x in forms for f in ([x] if len(x) < 5 else [x, *(x[:j] + x[j + 1 :] for j in range(len(x)))])}
+                    # another word's first letter, short forms' too, goes with each: names of one person share one
+                    firsts = {f[:1] for j, o in enumerate(parts) if j != i for f in formal(o) | {o}} or {""}
+                    out += [(sig, k + "|" + f) for k in ks for f in firsts]
             yield pd.DataFrame(out, columns=["sig", "key"])
 
     keyed = sigs.mapInPandas(keys, "sig string, key string").distinct()
@@ -330,11 +339,12 @@ def near_names(sigs: DataFrame) -> DataFrame:
                 x, y = tuple(one.split(" ")), tuple(two.split(" "))
                 level = compatible(x, y, g)
                 if level:
-                    gx, gy = ([w for w in s if (w in g or w in _FORMAL) and len(w) > 1] for s in (x, y))
-                    short = len(gx) < len(gy)
-                    longer = sorted(gy if short else gx)
-                    full = min(sorted(_FORMAL.get(w, {w}))[0] for w in longer) if longer else ""
-                    out.append((one, two, level, short, full))
+                    # which name an initial stands for, by its first letters: two that differ make the initial ambiguous
+                    short = sum(map(len, x)) < sum(map(len, y))
+                    brief, longer = (x, y) if short else (y, x)
+                    letters = {w for w in brief if len(w) == 1}
+                    meant = sorted(min(formal(w))[:2] for w in longer if len(w) > 1 and (w[0] in letters or min(formal(w))[0] in letters) and w not in brief)
+                    out.append((one, two, level, short, meant[0] if meant else ""))
             yield pd.DataFrame(out, columns=["one", "two", "level", "one_short", "full"])
 
     return pairs.mapInPandas(judge, "one string, two string, level int, one_short boolean, full string")
