@@ -141,7 +141,7 @@ def compatible(a: tuple[str, ...], b: tuple[str, ...], given: frozenset[str]) ->
             right.remove(y)
             used += 1
             full += len(x) > 1 and len(y) > 1
-    if rest and right and sorted(folded("".join(rest))) == sorted(folded("".join(right))):
+    if rest and right and sorted("".join(rest)) == sorted("".join(right)):
         return 2  # names run together
     if not used or rest and right:
         return 0

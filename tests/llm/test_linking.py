@@ -79,7 +79,7 @@ def test_candidates_lose_nothing(spark):
     ("a", "b", "level"),
     [
         ("Robert Steurtaidis", "Steurtaidis, Bob", 2), ("Robert Steurtaidis", "R. Steurtaidis", 1), ("Prof. José van der Mösetström, PhD", "Mosetstroem Jose", 2), ("Robert Steurtaidis", "Renée Steurtaidis", 0), ("Anna K. Steurtaidis", "Anna L. Steurtaidis", 0), ("Anna Steurtaidis", "Anna K. Steurtaidis", 2),
-        ("Robert Steurtaidis", "Robert Steurtaidsi", 2), ("Robert Steurtaidis", "Robert Holgikeau", 0), ("Steurtaidis TR", "Thomas Robert Steurtaidis", 1), ("ROBERT STEURTAIDIS", "robert steurtaidis", 2), ("Anamaria Stenilillo", "Ana Maria Stenilillo", 2),
+        ("Robert Steurtaidis", "Robert Steurtaidsi", 2), ("Robert Steurtaidis", "Robert Holgikeau", 0), ("Steurtaidis TR", "Thomas Robert Steurtaidis", 2), ("ROBERT STEURTAIDIS", "robert steurtaidis", 2), ("Anamaria Stenilillo", "Ana Maria Stenilillo", 2),
     ],
 )
 def test_compatible(a, b, level):
