@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -33,7 +33,22 @@ SIGNS = {"@": "a", "|": "l", "0": "o", "1": "l", "5": "s", "9": "g", "6": "b", "
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 _MARK = "-‐‑¬­"
-_BROKEN = re.compile(rf"([^\W_]+(?:[@|]+[^\W_]+)*[@|]?)([{_MARK}])[ \t]*\r?\n\s*([^\W\d_][^\W_]*(?:[@|]+[^\W_]+)*[@|]?)")
+_BREAK = re.compile(rf"([{_MARK}])[ \t]*\r?\n\s*")
+_HEAD, _TAIL = re.compile(r"[^\W_]+(?:[@|]+[^\W_]+)*[@|]?$"), re.compile(r"[^\W\d_][^\W_]*(?:[@|]+[^\W_]+)*[@|]?")
+
+
+def at_breaks(text: str, mend: Callable[[str, str, str], str]) -> str:
+    """The text with each word that a mark cuts over a line end replaced by what ``mend`` makes of its head, mark and tail."""
+    out, at = [], 0
+    for m in _BREAK.finditer(text):
+        head = _HEAD.search(text, max(at, m.start() - 60), m.start()) if m.start() > at else None
+        tail = _TAIL.match(text, m.end())
+        if head and tail:
+            out += [text[at : head.start()], mend(head[0], m[1], tail[0])]
+            at = tail.end()
+    return "".join(out) + text[at:] if out else text
+
+
 _NUMBER = r"\d[\dOolI|]{0,3}"
 _PAGE = re.compile(rf"(?:[Pp][a@]g[ec]\s+{_NUMBER}|{_NUMBER}\s*\|\s*P[a@]g[ec]|[-–—]\s*{_NUMBER}\s*[-–—]|\[\s*{_NUMBER}\s*\]|p\.\s*{_NUMBER}|\d{{1,4}})")
 _NUMBER_FIRST, _NUMBER_LAST = re.compile(r"^(\d{1,4})\s{2,}(\S.*)$"), re.compile(r"^(.*\S)\s{2,}(\d{1,4})$")
@@ -41,6 +56,9 @@ _ISSUE = re.compile(r", V[o0][l1I|]\. ?[\dOlI|]+, N[o0]\. ?[\dOlI|]+\.?$")
 _VOLUME = re.compile(r"^(?:[^\W\d_][\w@|]*(?:\. ?| )){1,14}\d{1,3} ?\((?:1[5-9]|20)\d\d\)$")
 _STAMP = re.compile(r"^(?:©|\(c\) ?(?:1[89]|20)\d\d|Sc[a@]nn?[ec]d? (?:at|by|from|@t)\b|Digiti[sz]ed (?:at|by|from)\b|Downloaded from\b)", re.I)
 _AND_OTHERS = re.compile(r"^[^!?]{2,60}\b(?:[a@]nd [o0](?:th|tb|fh)[ec]rs?|[ec][tf] [a@][l1|]\.?) ?[·•] ?\S.{0,80}$")
+_TWO_LETTERS = re.compile(r"[^\W\d_]{2}")
+# what any of the lines above has: a number at an end, a sign, a volume, a year, a stamp's first letters, or no lower-case letter
+_MAYBE = re.compile(r"\d\W*$|^\W*\d|P[a@]g[ec]|[·•©]|V[o0][l1I|]\.|^(?:S[cC]|D[ioIO]|\([cC])|^p\.|^[^a-zà-öø-ÿ]*$")
 _HEADING = re.compile(r"^(?:\d+(?:\.\d+)*\.? |#|Table |Fig|[-*•] )")
 
 
@@ -62,11 +80,10 @@ def without_lines(text: str) -> tuple[str, set[str]]:
     if "\n" not in text and "\x0c" not in text and len(text) > 200:
         return text, kinds
     lines, keep = re.split(r"\r?\n|\x0c", text), []
-    capitals = [bool(re.search(r"[^\W\d_]{2}", x)) and x.upper() == x for x in lines]
-    mostly = sum(capitals) > 0.5 * max(1, sum(bool(x.strip()) for x in lines)) and sum(capitals) > 2
+    mostly: bool | None = None
     for i, line in enumerate(lines):
         s = line.strip()
-        if not s:
+        if not s or not _MAYBE.search(s):
             keep.append(line)
         elif _PAGE.fullmatch(s) and not _in_table(lines, i):
             kinds.add("page_number")
@@ -76,7 +93,11 @@ def without_lines(text: str) -> tuple[str, set[str]]:
                 m = pattern.match(s)
                 if m and running(m[part].strip()):
                     found, rest = True, m[part].strip()
-            if (found or running(rest)) and not (capitals[i] and mostly):
+            capital = bool(_TWO_LETTERS.search(line)) and line.upper() == line
+            if capital and mostly is None:  # a text in capitals has no running lines of this form
+                capitals = sum(bool(_TWO_LETTERS.search(x)) and x.upper() == x for x in lines)
+                mostly = capitals > 2 and capitals > 0.5 * sum(bool(x.strip()) for x in lines)
+            if (found or running(rest)) and not (capital and mostly):
                 kinds.add("running_line")
                 if found:
                     kinds.add("page_number")
@@ -105,31 +126,30 @@ def tokens(text: str) -> list[re.Match]:
     return list(_TOKEN.finditer(text))
 
 
-def counted(text: str) -> Iterator[tuple[str, str]]:
-    """What a text adds to the lexicon: (kind, key) of words, hyphenated words and word pairs within a line's running text."""
-    text, _ = without_lines(text)
-    text = _BROKEN.sub(lambda m: " ", text)
-    last, end = "", -2
-    for m in tokens(text):
-        w = m[0].lower()
-        if w.isalpha():
-            yield "w", w
-            gap = text[end : m.start()]
-            if last and gap == " ":
-                yield "b", last + " " + w
-            elif last and gap == "-":
-                yield "h", last + "-" + w
-        last, end = (w if w.isalpha() else ""), m.end()
+_PLAIN = re.compile(r"(?<![\w@|])[^\W\d_]+(?![\w@|])")
+_RUN = re.compile(r"(?<![\w@|])[^\W\d_]+(?: [^\W\d_]+)+(?![\w@|])")
+_HYPHENED = re.compile(r"(?<![\w@|])[^\W\d_]+-[^\W\d_]+(?![\w@|])")
+
+
+def count_into(text: str, words: Counter, hyphened: Counter, pairs: Counter) -> None:
+    """Add a text's words, hyphenated words and pairs of words a space apart; words broken over line ends are left out."""
+    body = at_breaks(without_lines(text)[0], lambda *_: " ").lower()
+    words.update(_PLAIN.findall(body))
+    if "-" in body:
+        hyphened.update(_HYPHENED.findall(body))
+    for run in _RUN.findall(body):
+        ws = run.split(" ")
+        pairs.update(zip(ws, ws[1:]))
 
 
 class Lexicon:
-    """Counts of words, hyphenated words and pairs above the share, with a symmetric-delete index over the words."""
+    """Counts of words, hyphenated words and pairs above the share, with a symmetric-delete index over the words that aren't doubtful."""
 
-    def __init__(self, words: dict[str, int], hyphened: dict[str, int], pairs: dict[str, int], least: int) -> None:
+    def __init__(self, words: dict[str, int], hyphened: dict[str, int], pairs: dict[str, int], least: int, doubtful: frozenset[str] = frozenset()) -> None:
         self.least, self.hyphened, self.pairs = least, hyphened, pairs
         self.index: dict[str, list[str]] = defaultdict(list)
         self.words = words
-        self.common = {w for w, n in words.items() if n >= least}
+        self.common = {w for w, n in words.items() if n >= least and w not in doubtful}
         for w in self.common:
             if len(w) >= 3:
                 for d in _deletes(w, EDITS if len(w) > 4 else 1):
@@ -271,20 +291,22 @@ def repaired(text: str, lexicon: Lexicon) -> tuple[str, set[str]]:
     """The text with its noise repaired, and the kinds of noise it had; a text without noise comes back as it is."""
     body, kinds = without_lines(text)
 
-    def mend(m: re.Match) -> str:
-        if lexicon.broken(m[1], m[3], m[2]):
+    def mend(head: str, mark: str, tail: str) -> str:
+        if lexicon.broken(head, tail, mark):
             kinds.add("hyphen")
-            return m[1] + m[3]
-        return m[1] + m[2] + m[3]
+            return head + tail
+        return head + mark + tail
 
-    body = _BROKEN.sub(mend, body)
+    body = at_breaks(body, mend)
     out, at, found = [], 0, tokens(body)
-    lower = [m[0].lower() for m in found]
+    lower, common = [m[0].lower() for m in found], lexicon.common
     skip = -1
     for i, m in enumerate(found):
         if i <= skip:
             continue
         w = lower[i]
+        if w in common and len(w) > 1 and (i + 1 == len(found) or lower[i + 1] in common):
+            continue  # the usual case
         if w.isascii() and w.isdigit():
             continue
         number = misread_number(m[0], body[max(0, m.start() - 2) : m.start()], body[m.end() : m.end() + 6])
@@ -301,7 +323,7 @@ def repaired(text: str, lexicon: Lexicon) -> tuple[str, set[str]]:
                 out += [body[at : m.start()], m[0] + nxt[0]]
                 at, skip = nxt.end(), i + 1
                 continue
-        if w in lexicon.common and w not in lexicon.doubtful:
+        if w in lexicon.common:
             continue
         if w.isalpha() and w.isascii() and m[0][:1].isupper() and i and not re.search(r"[.!?:]\s*$|^\s*$|\n\s*$", body[max(0, m.start() - 3) : m.start()]) and not m[0].isupper():
             continue  # a name within a sentence
@@ -345,15 +367,21 @@ def build_lexicon(chunks: DataFrame, text: str = "text", share: float = SHARE) -
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        w, h, p = Counter(), Counter(), Counter()
+
+        def flush() -> pd.DataFrame:
+            rows = [("w", k, n) for k, n in w.items()] + [("h", k, n) for k, n in h.items()] + [("b", f"{x} {y}", n) for (x, y), n in p.items()]
+            for c in (w, h, p):
+                c.clear()
+            return pd.DataFrame(rows, columns=["kind", "key", "n"])
+
         for b in batches:
             for t in b["text"]:
                 if t:
-                    c.update(counted(t))
-            if len(c) > 400_000:
-                yield pd.DataFrame([(k, w, n) for (k, w), n in c.items()], columns=["kind", "key", "n"])
-                c = Counter()
-        yield pd.DataFrame([(k, w, n) for (k, w), n in c.items()], columns=["kind", "key", "n"])
+                    count_into(t, w, h, p)
+            if len(w) + len(p) > 400_000:
+                yield flush()
+        yield flush()
 
     counts = chunks.select(F.col(text).alias("text")).mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     from scholion.tables import cut
@@ -367,12 +395,22 @@ def build_lexicon(chunks: DataFrame, text: str = "text", share: float = SHARE) -
     return parts["w"], parts["h"], parts["b"], least
 
 
-def doubtful(lexicon: Lexicon) -> set[str]:
-    """Common words for which a far more common one is a confused shape away: these are judged in context."""
-    return {w for w in lexicon.common if any(-n >= RATIO * lexicon.words[w] for _, n, _ in lexicon.candidates(w))}
+def doubtful(lexicon: Lexicon, words: list[str]) -> list[str]:
+    """Of the given common words those for which a far more common one is a confused shape away: they are judged in context."""
+    return [w for w in words if any(-n >= RATIO * lexicon.words[w] for _, n, _ in lexicon.candidates(w))]
+
+
+def doubtful_words(spark: SparkSession, parts: tuple[dict, dict, dict, int]) -> frozenset[str]:
+    """The doubtful words of a lexicon, looked for in parallel; they are fewer than its words, whose number is bounded."""
+    shared = spark.sparkContext.broadcast(parts)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(*shared.value)
+        for b in batches:
+            yield pd.DataFrame({"w": doubtful(lexicon, [w for w in b["w"] if w in lexicon.common])}, dtype=object)
 
-Lexicon.doubtful = frozenset()
+    words = spark.createDataFrame([(w,) for w in sorted(parts[0])], "w string").repartition(max(1, min(64, len(parts[0]) // 500)), "w")
+    return frozenset(r["w"] for r in words.mapInPandas(run, "w string").toLocalIterator())
 
 
 def repair_scans(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -382,13 +420,13 @@ def repair_scans(chunks: DataFrame, key: str = "id", text: str = "text") -> Data
     broadcast of bounded size (see :func:`build_lexicon`).
     """
     spark: SparkSession = chunks.sparkSession
-    shared = spark.sparkContext.broadcast(build_lexicon(chunks, text))
+    parts = build_lexicon(chunks, text)
+    shared = spark.sparkContext.broadcast((*parts, doubtful_words(spark, parts)))
     kind = chunks.schema[key].dataType.simpleString()
     taken = chunks.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(*shared.value)
-        lexicon.doubtful = doubtful(lexicon)
         for b in batches:
             rows = [(k, *repaired(t, lexicon)) for k, t in zip(b["key"], b["text"])]
             yield pd.DataFrame([(k, t, sorted(s)) for k, t, s in rows], columns=["key", "repaired", "kinds"])
