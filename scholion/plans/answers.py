@@ -103,4 +103,6 @@ SQL = {
     "SELECT query_id, paper, round(chunk_score, 6) AS chunk_score, round(rrf, 6) AS rrf, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(chunk_score, 9) DESC, round(rrf, 9) DESC, paper) AS INT) AS rank FROM p) WHERE rank <= 10",
     "null_as_zero": "SELECT count(*) AS rows, round(avg(coalesce(citation_count, 0)), 9) AS citation_count, round(avg(coalesce(h_index, 0)), 9) AS h_index, round(avg(paper_count) FILTER (verified), 9) AS verified_papers FROM author_records",
     "to_do": "WITH k AS (SELECT rec_id, created_at, unnest(list_filter([CASE WHEN openalex_data IS NULL THEN 'document' END, CASE WHEN coalesce(len(authors), 0) <= 0 THEN 'authors' END, CASE WHEN coalesce(trim(venue, ' '), '') = '' THEN 'venue' END], lambda x: x IS NOT NULL)) AS kind FROM paper_records) SELECT kind, rec_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC NULLS LAST, rec_id) AS n FROM k) WHERE n <= 20",
+    "evidence_ids": "SELECT doc_id, unnest(list_sort(list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(text, '\\[(\\d{1,4})\\]', 1), regexp_extract_all(text, '(?m)^\\((\\d{1,4})\\)', 1)), regexp_extract_all(text, '(?i)\\b(?:paper|source|document)\\s+(\\d{1,4})\\b', 1)), lambda x: CAST(x AS INT))))) AS evidence FROM documents WHERE text IS NOT NULL",
+    "new_queries": "WITH e AS (SELECT rec_id, fields_of_study AS f, generate_subscripts(s2_fields_of_study, 1) AS p, unnest(s2_fields_of_study) AS x FROM paper_records), v AS (SELECT rec_id, x.category AS v, min(p) AS p FROM e WHERE x.category IS NOT NULL AND trim(x.category, ' ') <> '' AND NOT coalesce(list_contains(list_transform(f, lambda y: lower(trim(y, ' '))), lower(trim(x.category, ' '))), false) GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY p) AS n FROM v), g AS (SELECT rec_id, string_agg(v, '|' ORDER BY p) AS fresh FROM o WHERE n <= 2 GROUP BY 1) SELECT r.rec_id, coalesce(g.fresh, '') AS fresh FROM paper_records r LEFT JOIN g ON g.rec_id = r.rec_id",
 }

@@ -157,4 +157,12 @@ SQL = {
     "normalized_titles": "SELECT id, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM journals",
     "surnames": "SELECT row_id, nullif(lower(list_extract(string_split_regex(trim(name), '\\s+'), -1)), '') AS surname FROM author_records",
     "token_overlap": f"SELECT rec_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END, 9) AS overlap FROM (SELECT rec_id, {_TOK.format('title')} AS a, {_TOK.format('venue')} AS b FROM paper_records WHERE title IS NOT NULL AND venue IS NOT NULL)",
+    "gibberish_flags": "WITH n AS (SELECT row_id, name, openalex_id AS o, regexp_replace(lower(name), '[^a-z]', '', 'g') AS l, regexp_replace(lower(openalex_id), '[^a-z]', '', 'g') AS ol, string_split(replace(name, ' ', ''), '') AS c FROM author_records WHERE name IS NOT NULL) SELECT row_id, round(CASE WHEN length(l) = 0 THEN 0 WHEN length(l) < 3 THEN 1 ELSE length(regexp_replace(l, '[^aeiou]', '', 'g')) / length(l) END, 9) AS vowels, round(coalesce(list_aggregate(c, 'entropy'), 0), 9) AS entropy, regexp_matches(o, '^[a-zA-Z_][a-zA-Z0-9_]*\\d+') OR ((contains(o, '_') OR regexp_matches(lower(o), '[a-z][0-9]|[0-9][a-z]')) AND length(ol) > 2 AND length(regexp_replace(ol, '[^aeiou]', '', 'g')) / length(ol) < 0.25) AS identifier FROM n",
+    "fields_first_wins": "WITH f AS (SELECT rec_id, list_concat(coalesce(fields_of_study, []), coalesce(list_transform(s2_fields_of_study, lambda x: x.category), [])) AS a FROM paper_records), e AS (SELECT rec_id, generate_subscripts(a, 1) AS p, unnest(a) AS v FROM f), d AS (SELECT rec_id, arg_min(v, p) AS v, min(p) AS p FROM e WHERE v IS NOT NULL GROUP BY rec_id, lower(v)), g AS (SELECT rec_id, string_agg(v, '|' ORDER BY p) AS fields FROM d GROUP BY rec_id) SELECT r.rec_id, coalesce(g.fields, '') AS fields FROM paper_records r LEFT JOIN g ON g.rec_id = r.rec_id",
+    "section_headers": "WITH c AS (SELECT id, text, section_title, trim(section_title, ' ') AS t FROM paper_chunks WHERE section_title IS NOT NULL) SELECT id, length(t) < 120 AND length(t) > 0 AND (regexp_matches(lower(t), '^(abstract|introduction|background|related work|methods?|materials and methods|results?|discussion|conclusions?|references|acknowledge?ments?|appendix.*|limitations|data availability)$') OR regexp_matches(t, '^#{1,6}\\s+\\S') OR regexp_matches(t, '^\\d+(\\.\\d+)*\\.?\\s+[A-Z]') OR (t = upper(t) AND regexp_matches(t, '[A-Z]{3}'))) AS header, regexp_matches(text, '\\$\\$|\\\\begin\\{|\\\\frac|\\\\sum') OR (length(text) - length(regexp_replace(text, '[=+*/^_{}\\\\<>≤≥≈∑∫√±×÷∂∞]', '', 'g'))) / greatest(length(text), 1) > 0.1 AS formula, CASE WHEN length(section_title) > 10 THEN substr(section_title, 1, 7) || '...' ELSE section_title END AS short FROM c",
+    "sentence_split": f"WITH d AS (SELECT doc_id, {_SENT.format('text')} AS s FROM documents) SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS pos, unnest(s) AS sentence FROM d",
+    "text_match": f"""WITH p AS (SELECT d.doc_id AS id, lower(d.text) AS c, r.title || '. ' || coalesce(r.venue, '') AS a FROM documents d JOIN paper_records r ON r.rec_id = d.doc_id WHERE d.text IS NOT NULL AND r.title IS NOT NULL),
+      t AS (SELECT id, c, {_TERMS.format('a')} AS own, {_SENT.format('a')} AS s FROM p)
+      SELECT id, CAST(len(own) AS INT) AS terms, CAST(len(list_filter(own, lambda t: contains(c, t))) AS INT) AS matched, round(CASE WHEN len(own) > 0 THEN 100.0 * len(list_filter(own, lambda t: contains(c, t))) / len(own) ELSE 0 END, 9) AS percentage,
+        CAST(len(list_filter(s, lambda x: len(string_split_regex(trim(x, ' '), '\\s+')) >= 4 AND len({_TERMS.format('x')}) > 0 AND len(list_filter({_TERMS.format('x')}, lambda t: contains(c, t))) / len({_TERMS.format('x')}) < 0.4)) AS INT) AS suspicious FROM t""",
 }

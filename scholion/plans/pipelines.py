@@ -193,4 +193,5 @@ SQL = {
       SELECT query_id, paper, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, paper) AS INT) AS rank FROM g) WHERE rank <= 10""",
     "lookup_pipeline": f"WITH f AS (SELECT rec_id, unnest(map_values(external_ids)) AS v FROM paper_records), i AS (SELECT a.rec_id AS query_id, min(b.rec_id) AS key FROM f a JOIN f b ON a.v = b.v WHERE a.rec_id % 50 = 0 GROUP BY 1), {bm25_sql('b', f'SELECT * FROM ({TITLES}) WHERE query_id NOT IN (SELECT query_id FROM i)', 'paper_records', 'rec_id', {'title': 1.0}, 1)} SELECT query_id, key, 1.0 AS score, 'id' AS way FROM i UNION ALL SELECT query_id, key, round(score, 6), 'title' FROM b",
     "sufficiency_gate": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS key, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0), g AS (SELECT query_id, max(score) AS best, count(*) FILTER (score >= 0.4) AS good, max(score) FILTER (rank = 2) AS second FROM s WHERE rank <= 5 GROUP BY 1) SELECT query_id, round(best, 6) AS best, good, best >= 0.9 AND good >= 3 AND best - coalesce(second, 0) >= 0.05 AS sufficient FROM g",
+    "zero_shot_tags": "WITH t AS (SELECT profile_id, unnest(topics) AS t FROM author_profiles WHERE topics IS NOT NULL), s AS (SELECT profile_id, t.display_name AS name, 100 * (exp(t.score) / (1 + exp(t.score)) + exp(t.score) / (exp(0.1) + exp(t.score))) / 2 AS raw FROM t WHERE t.score IS NOT NULL AND t.display_name IS NOT NULL), r AS (SELECT profile_id, name, round(raw, 2) AS score FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, name) AS n FROM r WHERE score >= 50), g AS (SELECT profile_id, string_agg(name, '|' ORDER BY score DESC, name) AS tags FROM k WHERE n <= 3 GROUP BY 1) SELECT p.profile_id, coalesce(g.tags, '') AS tags FROM (SELECT DISTINCT profile_id FROM r) p LEFT JOIN g ON g.profile_id = p.profile_id",
 }
