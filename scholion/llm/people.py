@@ -278,10 +278,15 @@ def resolve(profiles: DataFrame) -> DataFrame:
         people = state.groupBy("person").agg(F.max("field").alias("field"), F.max("orcid").alias("orcid"))
         called = cut(names.join(_plain(state.select("node", "person")), "node").select("person", "sig").distinct().join(_plain(people), "person"))
         mine = called.where("field is null").select(F.col("person").alias("p"), F.col("sig").alias("one"), F.col("orcid").alias("po"))
-        theirs = called.select(F.col("person").alias("q"), F.col("sig").alias("two"), F.col("field").alias("qf"), F.col("orcid").alias("qo"))
+        at = state.select("person", F.explode(F.array("place", "place_id")).alias("at")).where("at is not null").distinct()
+        # of the open profiles of a name only the smallest, and the smallest of each place, are met by the others: never all with all
+        still_open = called.where("field is null").select("sig", "person")
+        first = still_open.groupBy("sig").agg(F.min("person").alias("person"))
+        near_by = still_open.join(_plain(at), "person").groupBy("sig", "at").agg(F.min("person").alias("person")).select("sig", "person")
+        met = called.where("field is not null").unionByName(called.join(_plain(first.unionByName(near_by).distinct()), ["sig", "person"], "left_semi").where("field is null").select(called.columns))
+        theirs = met.select(F.col("person").alias("q"), F.col("sig").alias("two"), F.col("field").alias("qf"), F.col("orcid").alias("qo"))
         pairs = mine.join(_plain(either), "one").join(_plain(theirs), "two").where("p <> q and (po is null or qo is null or po = qo)")
         pairs = cut(pairs.groupBy("p", "q", "qf").agg(F.max("level").alias("level")))
-        at = state.select("person", F.explode(F.array("place", "place_id")).alias("at")).where("at is not null").distinct()
         shared = pairs.select("p", "q").join(_plain(at.withColumnRenamed("person", "p")), "p").join(_plain(at.withColumnRenamed("person", "q")), ["q", "at"]).select("p", "q").distinct().withColumn("shared", F.lit(4))
         scored = cut(pairs.join(_plain(shared), ["p", "q"], "left").withColumn("score", F.coalesce("shared", F.lit(0)) + F.col("level") + F.when(F.col("qf").isNotNull(), 0.5).otherwise(0.0)))
         # the best candidate, if no other of a different field comes as near; of two open profiles the larger label joins the smaller
