@@ -91,9 +91,9 @@ def test_languages_held_out(spark):
 def _lexicon():
     text = "the laboratory reveals a stable pattern across all groups . the research moraine-dammed lakes were overlooked in the well known north ".split()
     words = {w: 500 for w in text if w.isalpha()} | {w: 500 for w in ("moraine", "dammed", "dear", "clear", "window", "burns", "bums", "arc", "are")}
-    lex = S.Lexicon(words, {"moraine-dammed": 40}, {"the laboratory": 100}, 5)
-    lex.doubtful = S.doubtful(lex)
-    return lex
+    parts = (words, {"moraine-dammed": 40}, {"the laboratory": 100}, 5)
+    lex = S.Lexicon(*parts)
+    return S.Lexicon(*parts, frozenset(S.doubtful(lex, sorted(lex.common))))
 
 
 @pytest.mark.parametrize(
