@@ -244,7 +244,7 @@ def fit(documents: DataFrame, text: str = "text", label: str = "lang", sample: i
     if not counts:
         return Model(np.zeros((SYMBOLS**LETTERS, len(LANGUAGES)), np.float32), LANGUAGES)
     share = F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 0.8 * sample / n))))[F.col("code")]
-    rows = ranked.where((F.pmod("h", F.lit(1 << 20)) / float(1 << 20)) < share).select("code", F.substring("t", 1, 20_000).alias("t")).limit(2 * sample * len(NAMES)).collect()
+    rows = ranked.where((F.pmod("h", F.lit(1 << 20)) / float(1 << 20)) < share).select("code", "t").limit(2 * sample * len(NAMES)).collect()
     languages = sorted(counts)
     letters = letter_vectors()
     found = [(languages.index(r["code"]), symbols(bare_sentence(x[a:b]))) for r in sorted(rows, key=lambda r: (r["code"], r["t"])) for x in [repaired(r["t"])] for a, b, _ in sentences(x)]
