@@ -31,6 +31,17 @@ def test_misspelt_words_are_not_filtered(spark):
     assert _found(df) == _accepted(prepared(df)) == {(1, 2), (3, 4)}
 
 
+def test_titles_that_differ_at_the_beginning_meet(spark):
+    """p4: errors in the first words and no authors; a title that says little with an error, its author given with an initial on one side."""
+    t, wrong = "Thermohaline circulation beneath drifting sea ice shelves around the northern archipelago", "Thermohaaline circullation bbeneath driffting sea ice shelves around the northern archipelago"
+    rows = [
+        (1, "a", t, "Journal of Lakes", 2001, None, []), (2, "b", wrong, "Journal of Lakes", 2002, None, []),
+        (3, "a", "Shallow sediments", "Journal of Lakes", None, "2003-02", [("Steurtaidis, Wilhelmina", None)]), (4, "b", "Shallow sedimments", "Journal of Lakes", 2003, None, [("W. Steurtaidis", None)]),
+    ]
+    df = spark.createDataFrame(rows, RECORD)
+    assert _found(df) == _accepted(prepared(df)) == {(1, 2), (3, 4)}
+
+
 def test_every_accepted_pair_is_found(spark):
     """p4: equality with brute force, not a share of it."""
     df = spark.read.parquet("/root/testdata/sf0.001/paper_records.parquet")
