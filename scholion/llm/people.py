@@ -272,8 +272,8 @@ def resolve(profiles: DataFrame) -> DataFrame:
     state = cut(nodes.withColumn("person", F.coalesce("component", F.concat(F.lit("N"), number("node").cast("string")))).drop("component"))
 
     # further rounds: merged profiles with all their names, fields and places are matched again
-    either = near.where("level > 0").select("one", "two", "level")
-    either = cut(either.unionByName(either.select(F.col("two").alias("one"), F.col("one").alias("two"), "level")).unionByName(names.select(F.col("sig").alias("one"), F.col("sig").alias("two"), F.lit(2).alias("level")).distinct()))
+    either = near.where("level > 0").select("one", "two", "level", F.col("one_short").alias("brief"))
+    either = cut(either.unionByName(either.select(F.col("two").alias("one"), F.col("one").alias("two"), "level", F.expr("not brief").alias("brief"))).unionByName(names.select(F.col("sig").alias("one"), F.col("sig").alias("two"), F.lit(2).alias("level"), F.lit(False).alias("brief")).distinct()))
     for _ in range(ROUNDS):
         people = state.groupBy("person").agg(F.max("field").alias("field"), F.max("orcid").alias("orcid"))
         called = cut(names.join(_plain(state.select("node", "person")), "node").select("person", "sig").distinct().join(_plain(people), "person"))
@@ -293,13 +293,13 @@ def resolve(profiles: DataFrame) -> DataFrame:
         ranked = scored.groupBy("p").agg(F.min_by(F.struct("q", "score", "qf"), F.struct(-F.col("score"), "q")).alias("best"))
         told = scored.join(_plain(ranked), "p").withColumn("rival", F.expr("q <> best.q and score >= best.score - 0.5 and qf is not null and (best.qf is null or qf <> best.qf)"))
         merge = told.groupBy("p").agg(F.max(F.coalesce("rival", F.lit(False))).alias("rival"), F.any_value("best").alias("best")).where("not rival and (best.qf is not null or p > best.q and best.score >= 2)").select("p", F.col("best.q").alias("q"))
-        merge = cut(merge)
-        for old in (called, pairs, scored):
+        kin = cut(_kin(called, either, at))
+        merge = cut(merge.unionByName(kin))
+        for old in (called, pairs, scored, kin):
             release(old)
         if merge.isEmpty():
             break
-        hop = merge.select(F.col("p").alias("q"), F.col("q").alias("next"))
-        merge = cut(merge.join(_plain(hop), "q", "left").select("p", F.coalesce("next", "q").alias("q")))
+        merge = _ends(merge)
         before, state = state, cut(state.join(_plain(merge.select(F.col("p").alias("person"), "q")), "person", "left").withColumn("person", F.coalesce("q", "person")).drop("q"))
         release(before)
     grouped = member.join(state.select("node", "person"), "node")
@@ -307,6 +307,38 @@ def resolve(profiles: DataFrame) -> DataFrame:
     return grouped.join(first, "person").select("profile_id", F.col("first").alias("person"))
 
 
+def _kin(called: DataFrame, either: DataFrame, at: DataFrame) -> DataFrame:
+    """``(p, q)``: people of one field that are one, by all the names and places that they have by now; the larger label joins the smaller.
+
+    Names that agree in full are one person's in a field. An initial is settled for the person, not the spelling: it goes to the only person
+    of the field that it may stand for or, of several, to the only one of a shared place. All names of the person must fit, so one whose
+    initial is settled stays apart from the others it could have stood for.
+    """
+    own = called.where("field is not null")
+    mine = own.select(F.col("person").alias("p"), F.col("sig").alias("one"), "field", F.col("orcid").alias("po"))
+    theirs = own.select(F.col("person").alias("q"), F.col("sig").alias("two"), "field", F.col("orcid").alias("qo"))
+    pairs = mine.join(_plain(either), "one").join(_plain(theirs), ["two", "field"]).where("p <> q and (po is null or qo is null or po = qo)")
+    pairs = cut(pairs.groupBy("p", "q").agg(F.max("level").alias("level"), F.max("brief").alias("brief"), F.count_distinct("one").alias("fit")))
+    sure = pairs.where("level = 2").select("p", "q")
+    called_by = own.groupBy(F.col("person").alias("p")).agg(F.count_distinct("sig").alias("names"))
+    weak = pairs.where("level = 1 and brief").join(_plain(called_by), "p").where("fit = names")
+    shared = weak.select("p", "q").join(_plain(at.withColumnRenamed("person", "p")), "p").join(_plain(at.withColumnRenamed("person", "q")), ["q", "at"]).select("p", "q").distinct().withColumn("shared", F.lit(1))
+    scored = weak.join(_plain(shared), ["p", "q"], "left").select("p", "q", F.coalesce("shared", F.lit(0)).alias("shared"))
+    best = scored.groupBy("p").agg(F.max("shared").alias("most"))
+    only = scored.join(_plain(best), "p").where("shared = most").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("q").alias("q")).where("n = 1").select("p", "q")
+    return sure.unionByName(only).select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q")).groupBy("p").agg(F.min("q").alias("q"))
+
+
+def _ends(merge: DataFrame) -> DataFrame:
+    """``(p, q)`` with every chain p -> q -> ... followed to its end; chains have no circles."""
+    while True:
+        hop = merge.select(F.col("p").alias("q"), F.col("q").alias("next"))
+        if merge.join(_plain(hop), "q", "left_semi").isEmpty():
+            return merge
+        before, merge = merge, cut(merge.join(_plain(hop), "q", "left").select("p", F.coalesce("next", "q").alias("q")))
+        release(before)
+
+
 def near_names(sigs: DataFrame) -> DataFrame:
     """Pairs of different names that may be one person's: ``(one, two, level, one_short, full)``.
 

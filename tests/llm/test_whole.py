@@ -3,6 +3,7 @@
 import itertools
 
 from scholion.llm.entities import confidence, match_records, prepared
+from scholion.llm.people import person_pairs
 
 RECORD = "rec_id long, source string, title string, venue string, year int, publication_date string, authors array<struct<name:string,author_id:string>>"
 
@@ -46,3 +47,26 @@ def test_every_accepted_pair_is_found(spark):
     """p4: equality with brute force, not a share of it."""
     df = spark.read.parquet("/root/testdata/sf0.001/paper_records.parquet")
     assert _found(df) == _accepted(prepared(df))
+
+
+PROFILE = "profile_id long, source string, openalex_id string, s2_author_id string, display_name string, display_name_alternatives array<string>, orcid string, affiliation struct<id:string,display_name:string>, topics array<struct<display_name:string,score:double>>"
+
+
+def _profiles(spark, rows):
+    """Rows of (id, name, ORCID, institution, topics)."""
+    return spark.createDataFrame([(i, "s", None, str(i), name, None, orcid, (None, place), [(t, 0.5) for t in topics]) for i, name, orcid, place, topics in rows], PROFILE)
+
+
+def _people(df) -> set:
+    return {(r["profile_id_1"], r["profile_id_2"]) for r in person_pairs(df).collect()}
+
+
+def test_people_with_a_field_are_matched_again(spark):
+    """p7: an initial that two given names could stand for is settled by a place, or once both names turn out to be one person's."""
+    lakes, one = ["lakes", "rivers"], "0000-0002-1825-0097"
+    rows = [
+        (1, "Robert Steurtaidis", None, "Univ. X", lakes), (2, "Richard Steurtaidis", None, "Univ. Y", lakes), (3, "R. Steurtaidis", None, "University of Y", lakes),
+        (4, "Alexander Holgikeau", one, None, lakes), (5, "Andrew Holgikeau", one, None, lakes), (6, "A. Holgikeau", None, None, lakes),
+        (7, "Robert Garewellis", None, "Univ. X", lakes), (8, "Richard Garewellis", None, "Univ. Y", lakes), (9, "R. Garewellis", None, "Univ. Z", lakes),
+    ]
+    assert _people(_profiles(spark, rows)) == {(2, 3), (4, 5), (4, 6), (5, 6)}
