@@ -25,7 +25,6 @@ GIVEN, GIVEN_LEAST = 0.004, 8
 MOST_TOPICS = 50_000
 #: Least share of the rarer topic's profiles that also have the other, for two topics to be of one field.
 SAME_FIELD = 0.02
-ROUNDS = 6
 
 # Titles and suffixes, particles of surnames, and short forms of given names.
 TITLES = frozenset("dr prof professor phd md msc bsc jr sr mr mrs ms dipl ing habil ii iii".split())
@@ -199,7 +198,8 @@ def _plain(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``(node, component)`` of the undirected ``edges`` (a, b): the smallest label spreads by large-star and small-star steps.
 
-    No group is gathered: every step is a minimum by key and a join. Lineage is cut each round in the shared folder.
+    No group is gathered: every step is a minimum by key and a join. Lineage is cut each round in the shared folder. A state that still
+    changes after ``rounds`` is refused; their number grows with the logarithm of the longest chain.
     """
     both = edges.select("a", "b").where("a <> b")
     edge, state = cut(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
@@ -219,6 +219,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             if now == state:
                 break
             state = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return edge.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(edge.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).distinct()
 
 
@@ -274,7 +276,7 @@ def resolve(profiles: DataFrame) -> DataFrame:
     # further rounds: merged profiles with all their names, fields and places are matched again
     either = near.where("level > 0").select("one", "two", "level", F.col("one_short").alias("brief"))
     either = cut(either.unionByName(either.select(F.col("two").alias("one"), F.col("one").alias("two"), "level", F.expr("not brief").alias("brief"))).unionByName(names.select(F.col("sig").alias("one"), F.col("sig").alias("two"), F.lit(2).alias("level"), F.lit(False).alias("brief")).distinct()))
-    for _ in range(ROUNDS):
+    while True:  # each round but the last lowers the number of people
         people = state.groupBy("person").agg(F.max("field").alias("field"), F.max("orcid").alias("orcid"))
         called = cut(names.join(_plain(state.select("node", "person")), "node").select("person", "sig").distinct().join(_plain(people), "person"))
         mine = called.where("field is null").select(F.col("person").alias("p"), F.col("sig").alias("one"), F.col("orcid").alias("po"))

@@ -2,8 +2,10 @@
 
 import itertools
 
+import pytest
+
 from scholion.llm.entities import confidence, match_records, prepared
-from scholion.llm.people import person_pairs
+from scholion.llm.people import _ends, components, person_pairs
 
 RECORD = "rec_id long, source string, title string, venue string, year int, publication_date string, authors array<struct<name:string,author_id:string>>"
 
@@ -70,3 +72,12 @@ def test_people_with_a_field_are_matched_again(spark):
         (7, "Robert Garewellis", None, "Univ. X", lakes), (8, "Richard Garewellis", None, "Univ. Y", lakes), (9, "R. Garewellis", None, "Univ. Z", lakes),
     ]
     assert _people(_profiles(spark, rows)) == {(2, 3), (4, 5), (4, 6), (5, 6)}
+
+
+def test_no_chain_is_left_half_merged(spark):
+    """p7: an unfinished state is refused, and chains of merges are followed to their end however long."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        components(chain, 3)
+    assert {r["component"] for r in components(chain).collect()} == {0}
+    assert {r["q"] for r in _ends(spark.createDataFrame([(f"{i:02}", f"{i - 1:02}") for i in range(1, 20)], "p string, q string")).collect()} == {"00"}
