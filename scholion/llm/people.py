@@ -342,10 +342,11 @@ def _ends(merge: DataFrame) -> DataFrame:
 
 
 def near_names(sigs: DataFrame) -> DataFrame:
-    """Pairs of different names that may be one person's: ``(one, two, level, one_short, full)``.
+    """Pairs of the different names ``sigs`` that may be one person's: ``(one, two, level, one_short, full)``.
 
     Names are blocked by their surname-like words with at most one letter left out (a symmetric-delete index), so that any pair a typing
-    error apart meets; pairs are made within a block of a rare word only, never among all names.
+    error apart meets; words of nine or more letters, of which two errors are accepted beside an equal given name, also with two left out
+    and that name. Pairs are made within a block of a rare word only, never among all names.
     """
     split = sigs.withColumn("parts", F.split("sig", " "))
     given = given_words(split)
@@ -358,16 +359,20 @@ def near_names(sigs: DataFrame) -> DataFrame:
             for sig in b["sig"]:
                 parts = sig.split(" ")
                 for i, w in enumerate(parts):
-                    if len(w) < 3 or is_given(w, g):
+                    if len(w) < 2 or is_given(w, g):
                         continue
                     forms = {w, folded(w)} | {w[len(p) :] for p in PARTICLES if w.startswith(p) and len(w) - len(p) > 4}
                     ks = {f for x in forms for f in ([x] if len(x) < 5 else [x, *(x[:j] + x[j + 1 :] for j in range(len(x)))])}
                     # another word's first letter, short forms' too, goes with each: names of one person share one
                     firsts = {f[:1] for j, o in enumerate(parts) if j != i for f in formal(o) | {o}} or {""}
                     out += [(sig, k + "|" + f) for k in ks for f in firsts]
+                    whole = {o for j, o in enumerate(parts) if j != i and len(o) > 1 and is_given(o, g)} if len(w) >= 9 else ()
+                    if whole:
+                        twice = {x[:j] + x[j + 1 : k] + x[k + 1 :] for x in {w, folded(w)} for k in range(len(x)) for j in range(k)}
+                        out += [(sig, k + "||" + o) for k in twice | ks for o in whole]
             yield pd.DataFrame(out, columns=["sig", "key"])
 
-    keyed = sigs.mapInPandas(keys, "sig string, key string").distinct()
+    keyed = sigs.mapInPandas(keys, "sig string, key string").select("sig", F.xxhash64("key").alias("key"))
     pairs = keyed.select(F.col("sig").alias("one"), "key").join(keyed.select(F.col("sig").alias("two"), "key"), "key").where("one < two").select("one", "two").distinct()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

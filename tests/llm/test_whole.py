@@ -3,9 +3,10 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from scholion.llm.entities import confidence, match_records, prepared
-from scholion.llm.people import _ends, components, person_pairs
+from scholion.llm.people import _ends, compatible, components, given_words, near_names, person_pairs
 
 RECORD = "rec_id long, source string, title string, venue string, year int, publication_date string, authors array<struct<name:string,author_id:string>>"
 
@@ -81,3 +82,15 @@ def test_no_chain_is_left_half_merged(spark):
         components(chain, 3)
     assert {r["component"] for r in components(chain).collect()} == {0}
     assert {r["q"] for r in _ends(spark.createDataFrame([(f"{i:02}", f"{i - 1:02}") for i in range(1, 20)], "p string, q string")).collect()} == {"00"}
+
+
+def test_near_names_are_all_found(spark):
+    """p7: against all pairs of a small table: two errors in a long surname, surnames of two letters."""
+    given, surnames = ["robert", "richard", "thomas"], ["volgemetard", "volegmetord", "ilmovislyan", "ilmvosilyan", "steurtaidis", "steurtiadsi", "holgikeau", "holgikau", "li", "wu", "moeller", "moller"]
+    sigs = sorted({" ".join(sorted(x)) for s in surnames for x in ([s, "robert"], [s, "richard"], [s, "r"], [s, "bob"], [s, "k", "thomas"])})
+    df = spark.createDataFrame([(s,) for s in sigs], "sig string")
+    words = given_words(df.withColumn("parts", F.split("sig", " "))) | frozenset(given)
+    want = {(a, b) for a, b in itertools.combinations(sigs, 2) if compatible(tuple(a.split(" ")), tuple(b.split(" ")), words)}
+    got = {(r["one"], r["two"]) for r in near_names(df).collect()}
+    assert ("robert volegmetord", "robert volgemetard") in want and ("li r", "li robert") in want
+    assert got == want
