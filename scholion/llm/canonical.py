@@ -89,6 +89,7 @@ class Reference:
     def __init__(self, entries: list[tuple[str, str]], publishers: list[str] = ()) -> None:
         names = {(key, tuple(self.words(name))) for key, name in entries if key and name and name.strip()}
         self.entries = sorted((k, w) for k, w in names if w)
+        self.most_words = max((len(words) for _, words in self.entries), default=0)
         count = Counter(w for _, words in self.entries for w in set(words))
         self.idf = {w: math.log(1 + len(self.entries) / n) for w, n in count.items()}
         self.postings: dict[str, list[int]] = defaultdict(list)
@@ -163,6 +164,8 @@ class Reference:
 
     def _cut(self, token: str) -> list[str] | None:
         """Two words run together, either of them possibly a particle or misspelt."""
+        if len(token) > LONGEST:
+            return None
         best = None
         for k in range(1, len(token)):
             a, b = token[:k], token[k:]
@@ -181,7 +184,7 @@ class Reference:
 
     def rank(self, tokens: list[str]) -> list[tuple[float, str]]:
         """(soft TF-IDF, key) of the entries that share all their words with the tokens, best first."""
-        if not tokens or len(tokens) > 24:
+        if not tokens or len(tokens) > self.most_words:
             return []
         sims: list[dict[str, float]] = []
         flat: list[str] = []
@@ -237,7 +240,7 @@ class Reference:
 
     def denoted(self, value: str) -> tuple[str | None, float]:
         """Key of the entry that a value denotes and its score; (None, best score) if it denotes none, or several alike."""
-        if not value or not value.strip() or len(value) > LONGEST:
+        if not value or not value.strip():
             return None, 0.0
         s = cleaned(value)
         low = plain(s)

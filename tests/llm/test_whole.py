@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from scholion.llm.canonical import Reference
 from scholion.llm.entities import confidence, match_records, prepared
 from scholion.llm.people import _ends, compatible, components, given_words, near_names, person_pairs
 
@@ -94,3 +95,11 @@ def test_near_names_are_all_found(spark):
     got = {(r["one"], r["two"]) for r in near_names(df).collect()}
     assert ("robert volegmetord", "robert volgemetard") in want and ("li r", "li robert") in want
     assert got == want
+
+
+def test_a_long_note_hides_no_venue():
+    """p1: a value is cleaned before it is judged by its length; a title may have any number of words."""
+    long = "Journal of " + " ".join(f"w{chr(97 + i)}rd{chr(97 + i)}ology" for i in range(26))
+    r = Reference([("1", "Journal of Optics"), ("2", long)])
+    assert r.denoted("Journal of Optics (" + "formerly known by other names " * 20 + ")")[0] == "1"
+    assert r.denoted(long)[0] == "2" and r.denoted("x" * 5000)[0] is None
