@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholion.operators.search import bm25, cosine_topk, hybrid, ivf_topk, lexical_then_cosine, ranked, rrf, weighted_rrf
+from scholion.operators.search import bm25, cosine_reach, cosine_topk, hybrid, ivf_fit, ivf_index, ivf_topk, lexical_then_cosine, rrf, weighted_rrf
 from scholion.tables import table
 
 K = 10
@@ -59,7 +59,9 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted-file index; recall is measured against the exact ranking in the tests."""
-    return _out(ivf_topk(vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), "vec_id", "embedding", K, 16, 12))
+    vectors = table(spark, sf_dir, "embeddings")
+    centres, probes = ivf_fit(vectors, "embedding", K)
+    return _out(ivf_topk(vector_queries(spark, sf_dir), ivf_index(vectors, "vec_id", "embedding", centres), centres, K, probes))
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +91,8 @@ def hybrid_rrf_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexical_cosine_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical matches that have a vector, raw scores blended."""
     queries = document_queries(spark, sf_dir)
-    lexical = bm25(queries, table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0})
     vectors = table(spark, sf_dir, "embeddings")
+    lexical = bm25(queries, table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, K, within=vectors.select(F.col("vec_id").alias("doc_id")), margin=cosine_reach())
     asked = vector_queries(spark, sf_dir)
     return _out(lexical_then_cosine(lexical, asked, vectors, "vec_id", "embedding", k=K))
 

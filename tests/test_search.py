@@ -6,21 +6,23 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholion.operators.search import bm25, cosine_topk, first_seen, hybrid, ivf_topk, normalized_weights, ranked, rrf, sanitized_query, weighted_rrf
+from scholion.operators.search import bm25, cosine_topk, first_seen, hybrid, ivf_fit, ivf_index, ivf_topk, normalized_weights, ranked, rrf, sanitized_query, weighted_rrf
 
 
 def brute_bm25(queries, docs):
     toks = {k: re.findall("[a-z0-9]+", (t or "").lower()) for k, t in docs}
     toks = {k: t for k, t in toks.items() if t}
     avg = sum(map(len, toks.values())) / max(len(toks), 1)
+    counts = {k: Counter(t) for k, t in toks.items()}
+    dfs = Counter(w for c in counts.values() for w in c)
     out = {}
     for q, text in queries:
         for k, t in toks.items():
-            c = Counter(t)
+            c = counts[k]
             s = 0.0
             for w in set(re.findall("[a-z0-9]+", (text or "").lower())):
                 if c[w]:
-                    df = sum(w in x for x in toks.values())
+                    df = dfs[w]
                     s += math.log(1 + (len(toks) - df + 0.5) / (df + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(t) / avg))
             if s:
                 out[q, k] = s
@@ -35,6 +37,35 @@ def test_bm25_against_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_bm25_prunes_without_loss(spark):
+    """Many common words, few rare ones: the best rows equal brute force, ties and all, at any number of tasks."""
+    rnd = np.random.default_rng(3)
+    words = [f"w{int(x)}" for x in rnd.zipf(1.3, 60_000) % 3000]
+    docs = [(i, "the of and " + " ".join(words[i * 20 : i * 20 + 20])) for i in range(3000)] + [(3000 + i, "the of and w1 w2") for i in range(200)]
+    queries = [(i, docs[i * 7][1]) for i in range(30)] + [(99, "the of and"), (98, "w1 w2")]
+    df, q = spark.createDataFrame(docs, "key int, text string").repartition(3), spark.createDataFrame(queries, "query_id int, text string")
+    want = brute_bm25(queries, docs)
+    for k in (1, 10):
+        got = [(r["query_id"], r["key"], r["rank"]) for r in bm25(q, df, "key", {"text": 1.0}, k).collect()]
+        best = [(i, key, n + 1) for i, _ in queries for n, (_, key) in enumerate(sorted((-round(s, 9), key) for (x, key), s in want.items() if x == i)[:k])]
+        assert sorted(got) == sorted(best)
+    within, margin = df.where("key % 2 = 0"), 0.8
+    got = {(r["query_id"], r["key"]) for r in bm25(q, df, "key", {"text": 1.0}, 5, within=within, margin=margin).collect()}
+    for i, _ in queries:
+        own = sorted((s for (x, key), s in want.items() if x == i and key % 2 == 0), reverse=True)
+        assert {key for (x, key), s in want.items() if x == i and key % 2 == 0 and s >= own[4] - margin + 1e-6} <= {key for x, key in got if x == i}
+
+
+def test_bm25_leaves_few_rows(spark):
+    """Words that all texts have make no rows: each task hands on its best only."""
+    docs = spark.range(20_000).selectExpr("id as key", "concat('the of and a ', id % 97) as text").repartition(4)
+    q = spark.range(50).selectExpr("id as query_id", "concat('the of and a ', id) as text")
+    out = bm25(q, docs, "key", {"text": 1.0}, 5)
+    assert out.count() == 250
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_bm25_empty(spark):
     none = spark.createDataFrame([], "key int, text string")
     q = spark.createDataFrame([(1, "a")], "query_id int, text string")
@@ -53,7 +84,8 @@ def test_index_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     exact = {(r["query_id"], r["key"]) for r in cosine_topk(q, e, "vec_id", "embedding", 10).collect()}
-    near = {(r["query_id"], r["key"]) for r in ivf_topk(q, e, "vec_id", "embedding", 10, 16, 12).collect()}
+    centres, probes = ivf_fit(e, "embedding", 10)
+    near = {(r["query_id"], r["key"]) for r in ivf_topk(q, ivf_index(e, "vec_id", "embedding", centres), centres, 10, probes).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 
