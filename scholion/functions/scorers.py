@@ -43,6 +43,17 @@ def embedding(text: Column | str, load: Callable[[], Embedder] = hashing_embedde
     return embed(text)
 
 
+def paper_text(title: Column, abstract: Column, most: int = 6000) -> Column:
+    """Text of a paper to be embedded; the three templates in use are made one (titles and abstracts trimmed, null ones empty)."""
+    part = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return F.substring(F.trim(F.concat(F.lit("Title: "), part(title), F.lit("\n\nAbstract: "), part(abstract))), 1, most)
+
+
+def chunk_text(section: Column, text: Column) -> Column:
+    """Text of a chunk to be embedded: under its section's title, if it has one."""
+    return F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit("Section: "), section, F.lit("\n\n"), text)).otherwise(text)
+
+
 def rerank_score(query: Column | str, text: Column | str, load: Callable[[], Reranker] | None = None, batch: int = 16) -> Column:
     """Relevance of a text to a query by a model; without one, the share of the query's tokens in the text, which stays in generated code."""
     if load is None:

@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values, which results of other tools are compared with: formulas, boilerplate, headings, markers, greetings, stop words.
+FORMULA_SIGNS, FORMULA_LEAST, FORMULA_SHARE = "∑∏√∞≈≤≥±∫πλμσΩ{}[]<>|=+*/^_", 40, 0.08
+CITE_NOTE = "Please cite this article as:"
+BOILERPLATE = (r"^please cite this article as:?$", r"^corresponding author", r"^tel\s*\+?\d")
+HEADING, HEADING_MOST = r"^(\d+(?:\.\d+)*)?\s*[A-Z][A-Za-z0-9\-,:()\s]{2,}$", 120
+EVIDENCE_TAIL = r"(?i)\s*/\s*(Figure|Table|Formula)\s+Evidence\s*$"
+MARKER, SCOPED = r"\(cite:[^)]+\)", r"\(cite:([^|)]+)\|([^|)]+)(?:\|(\d+)\|(\d+))?\)"
+GREETINGS = ("hi", "hello", "hey", "thanks", "thank you", "ok", "okay", "yes", "no", "bye", "goodbye", "please", "help")
+STOPWORDS = (
+    "the", "and", "that", "with", "from", "this", "those", "these", "their", "there", "where", "when", "which", "what", "about", "into", "than", "then", "were", "been", "being", "have", "has", "had", "does", "did", "while",
+    "using", "used", "also", "such", "more", "most", "less", "many", "very", "some", "over", "under", "between", "among", "across", "within", "without",
+)
+#: Characters before a marker in which its claim is looked for.
+CLAIM_WINDOW = 150
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -26,8 +45,8 @@ def overlap_ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def terms(text: Column | str, stopwords: tuple[str, ...] = (), least: int = 4) -> Column:
-    """Distinct words of at least ``least`` letters or digits that aren't stop words."""
-    found = F.filter(token_set(text), lambda w: F.length(w) >= least)
+    """Distinct words of at least ``least`` letters, digits, underscores and hyphens that aren't stop words."""
+    found = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[a-z0-9_\-]+"), F.lit(0))), lambda w: F.length(w) >= least)
     return F.array_except(found, F.array(*(F.lit(s) for s in stopwords))) if stopwords else found
 
 
@@ -45,10 +64,12 @@ def extract_dois(text: Column | str) -> Column:
 
 
 def extract_arxiv(text: Column | str) -> Column:
-    """arXiv identifier of a text in any of its usual forms, or null."""
-    forms = (r"arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})", r"arxiv\.org/(?:abs|pdf)/([a-z\-]+(?:\.[a-z]{2})?/\d{7})", r"arxiv:\s*(\d{4}\.\d{4,5})", r"arxiv:\s*([a-z\-]+(?:\.[a-z]{2})?/\d{7})", r"10\.48550/arxiv\.(\d{4}\.\d{4,5})")
-    low = F.lower(_c(text))
-    return F.coalesce(*(F.nullif(F.regexp_extract(low, f, 1), F.lit("")) for f in forms))
+    """arXiv identifier, with its version: of a DOI, an address, a prefixed id, or a bare one that is the whole text; null if there is none."""
+    t = F.trim(_c(text))
+    found = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(t, "^https?://", ""), "^ar[xX]iv:", "")
+    named = F.coalesce(found(r"(?i)10\.48550/arxiv\.([^/?#\s]+)"), F.regexp_replace(found(r"(?i)arxiv\.org/(?:abs|pdf)/([^?#\s]+)"), "/+$", ""), found(r"(?i)\barxiv:(\S+)"))
+    return F.coalesce(F.regexp_replace(named, r"(?i)\.pdf$", ""), F.when(bare.rlike(r"(?i)^(?:\d{4}\.\d{4,5}|[a-z\-]+(?:\.[a-z]{2})?/\d{7})(?:v\d+)?$"), bare))
 
 
 def normalize_issn(value: Column | str) -> Column:
@@ -111,7 +132,40 @@ def looks_like_identifier(text: Column | str) -> Column:
 
 def citation_markers(text: Column | str) -> Column:
     """Ids in ``(cite:...)`` markers, in order."""
-    return F.regexp_extract_all(_c(text), F.lit(r"\(cite:\s*([^()\s]+)\s*\)"), F.lit(1))
+    return F.transform(F.regexp_extract_all(_c(text), F.lit(r"(?i)\(cite:([^)]+)\)"), F.lit(1)), lambda m: F.trim(m))
+
+
+def marker_numbers(text: Column | str) -> Column:
+    """Distinct numbers of ``(cite:n)`` markers, in order of size."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(_c(text), F.lit(r"\(cite:(\d+)\)"), F.lit(1)), lambda m: m.try_cast("int"))))
+
+
+def _placed(text: Column, pattern: str) -> Column:
+    """``(position, mark)`` of every match of ``pattern``, positions from 0: what lies between the matches is measured."""
+    between, marks = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    upto = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+    return F.transform(marks, lambda m, i: F.struct((upto(between, i + 1) + upto(marks, i)).alias("position"), m.alias("mark")))
+
+
+def scoped_citations(text: Column | str) -> Column:
+    """Markers ``(cite:paper|chunk)`` or ``(cite:paper|chunk|start|end)`` as structs of paper, chunk, char_start, char_end, position and marker."""
+    part = lambda m, i: F.regexp_extract(m, SCOPED, i)
+    return F.transform(
+        _placed(_c(text), SCOPED),
+        lambda p: F.struct(part(p["mark"], 1).alias("paper"), part(p["mark"], 2).alias("chunk"), part(p["mark"], 3).try_cast("int").alias("char_start"), part(p["mark"], 4).try_cast("int").alias("char_end"), p["position"].alias("position"), p["mark"].alias("marker")),
+    )
+
+
+def marked_claims(text: Column | str) -> Column:
+    """For every marker its ``(source, position, claim)``: the text before it, from the last full stop (else ! or ?) of CLAIM_WINDOW characters on."""
+    t = _c(text)
+
+    def claim(at: Column) -> Column:
+        w = F.trim(F.substring(t, F.greatest(at - CLAIM_WINDOW, F.lit(0)) + 1, F.least(at, F.lit(CLAIM_WINDOW))))
+        after = lambda sign: F.trim(F.substring_index(w, sign, -1))
+        return F.when(w.contains("."), after(".")).when(w.contains("!"), after("!")).when(w.contains("?"), after("?")).otherwise(w)
+
+    return F.transform(_placed(t, MARKER), lambda p: F.struct(F.regexp_extract(p["mark"], r"\(cite:([^)]+)\)", 1).alias("source"), p["position"].alias("position"), claim(p["position"]).alias("claim")))
 
 
 def numeric_citations(text: Column | str) -> Column:
@@ -125,33 +179,72 @@ def truncated(text: Column | str, most: int) -> Column:
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 3), F.lit("..."))).otherwise(t)
 
 
+def collapsed(text: Column | str) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
+
+
 def clean_noise(text: Column | str) -> Column:
-    """Without control characters and runs of blanks or dots."""
-    t = F.regexp_replace(_c(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\.{4,}", "..."), r"[ \t]+", " "))
+    """Without NUL characters, runs of white space and the note how to cite."""
+    return F.trim(F.replace(collapsed(F.replace(_c(text), F.lit("\0"), F.lit(""))), F.lit(CITE_NOTE), F.lit("")))
+
+
+def is_boilerplate(text: Column | str) -> Column:
+    """Whether a line says nothing: null, blank, without letters a-z and digits, or one of the usual notes."""
+    t = F.lower(collapsed(F.coalesce(_c(text), F.lit(""))))
+    out = (t == "") | ~t.rlike("[a-z0-9]")
+    for p in BOILERPLATE:
+        out = out | t.rlike(p)
+    return out
 
 
 def is_formula(text: Column | str) -> Column:
-    """Whether a text is a formula: TeX delimiters, or a tenth of its characters are mathematical signs."""
+    """Whether a text is a formula: of some length, and a share of its characters are mathematical signs."""
     t = _c(text)
-    signs = F.length(t) - F.length(F.regexp_replace(t, r"[=+*/^_{}\\<>≤≥≈∑∫√±×÷∂∞]", ""))
-    return t.rlike(r"\$\$|\\begin\{|\\frac|\\sum") | (signs / F.greatest(F.length(t), F.lit(1)) > 0.1)
+    signs = F.length(t) - F.length(F.translate(t, FORMULA_SIGNS, ""))
+    return (F.length(t) >= FORMULA_LEAST) & (signs / F.greatest(F.length(t), F.lit(1)) > FORMULA_SHARE)
 
 
 def is_section_header(text: Column | str) -> Column:
-    """Short line that is numbered, in capitals, marked with ``#``, or a usual section name."""
+    """Whether a line looks like a heading: short, numbered or not, from a capital on only letters, digits and a few signs."""
     t = F.trim(_c(text))
-    named = F.lower(t).rlike(r"^(abstract|introduction|background|related work|methods?|materials and methods|results?|discussion|conclusions?|references|acknowledge?ments?|appendix.*|limitations|data availability)$")
-    return (F.length(t) < 120) & (F.length(t) > 0) & (named | t.rlike(r"^#{1,6}\s+\S") | t.rlike(r"^\d+(\.\d+)*\.?\s+[A-Z]") | ((t == F.upper(t)) & t.rlike("[A-Z]{3}")))
+    return (F.length(t) <= HEADING_MOST) & ~t.contains("\n") & t.rlike("(?U)" + HEADING)
+
+
+def section_key(title: Column | str) -> Column:
+    """A section's title for comparison: lower case, without the mark of a piece of evidence; empty where it is null."""
+    return F.lower(collapsed(F.regexp_replace(F.coalesce(_c(title), F.lit("")), EVIDENCE_TAIL, "")))
+
+
+def plain_string(text: Column | str) -> Column:
+    """Lower case without full stops, commas, colons and semicolons, single spaces; empty where it is null."""
+    return collapsed(F.translate(F.lower(F.coalesce(_c(text), F.lit(""))), ".,:;", ""))
+
+
+def question_key(text: Column | str) -> Column:
+    """A question for comparison: lower case, single spaces."""
+    return F.lower(collapsed(F.coalesce(_c(text), F.lit(""))))
+
+
+def repair_text(text: str) -> str:
+    """Characters in compatible form (NFKD), none that cannot be printed but line ends and tabs, at most one space and two line ends in a row."""
+    t = "".join(c for c in unicodedata.normalize("NFKD", text) if c.isprintable() or c in "\n\t").replace("€", "e").replace("\ufffd", "")
+    while "  " in t:
+        t = t.replace("  ", " ")
+    while "\n\n\n" in t:
+        t = t.replace("\n\n\n", "\n\n")
+    return t.strip()
 
 
 def repaired_encoding(text: Column | str) -> Column:
-    """Ligatures spelt out, other blanks as spaces, zero-width and control characters left out."""
-    t = _c(text)
-    for sign, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        t = F.replace(t, F.lit(sign), F.lit(letters))
-    t = F.regexp_replace(t, "[\\u00a0\\u2000-\\u200a\\u202f\\u205f\\u3000]", " ")
-    return F.regexp_replace(t, "[\\u200b-\\u200f\\ufeff\\u00ad]", "")
+    """:func:`repair_text` of a column, in Arrow batches: there is no built-in normal form."""
+
+    @F.pandas_udf("string")
+    def repair(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(repair_text, na_action="ignore")
+
+    return repair(text)
 
 
 def normalize_target(url: Column | str) -> Column:
@@ -163,15 +256,33 @@ def normalize_target(url: Column | str) -> Column:
     )
 
 
-def denied_reason(message: Column | str) -> Column:
-    """Why an access was refused, from a page's text; null if it wasn't."""
-    m = F.lower(_c(message))
+def denied_reason(body: Column | str, server: Column | None = None, ray: Column | None = None) -> Column:
+    """Why an access was refused, from the page's text and headers; the first class that applies."""
+    m, server, ray = F.lower(F.coalesce(_c(body), F.lit(""))), F.lower(F.coalesce(server if server is not None else F.lit(""), F.lit(""))), F.coalesce(ray if ray is not None else F.lit(""), F.lit(""))
     return (
-        F.when(m.contains("captcha") | m.contains("are you a robot"), "captcha").when(m.contains("cloudflare") | m.contains("checking your browser"), "bot_protection").when(m.contains("subscribe") | m.contains("purchase") | m.contains("paywall"), "paywall")
-        .when(m.contains("sign in") | m.contains("log in") | m.contains("login"), "login_required").when(m.contains("403") | m.contains("forbidden") | m.contains("access denied"), "forbidden").when(m.contains("404") | m.contains("not found"), "not_found")
+        F.when(m.contains("cloudflare") | m.contains("cf-challenge") | (ray != ""), "Cloudflare bot/challenge protection").when(m.contains("captcha"), "CAPTCHA or human verification required")
+        .when(m.contains("paywall") | m.contains("purchase") | m.contains("subscribe"), "Publisher paywall / subscription required").when(m.contains("access denied") | m.contains("forbidden"), "Generic access-control policy denied the request")
+        .when(m.contains("akamai") | server.contains("akamai"), "Akamai edge security policy denied the request").otherwise("Unknown (inspect headers/body snippet)")
     )
 
 
+def sanitized(text: Column | str, fields: list[str]) -> Column:
+    """A query for a fielded index: a text with a known ``field:`` passes, else signs are dropped and the words are asked of each field."""
+    t = _c(text)
+    known = F.lit(False)
+    for f in fields:
+        known = known | t.contains(f"{f}:")
+    signs = '+-!(){}[]^"~*?:\\/'
+    words = collapsed(F.translate(F.replace(t, F.lit("'"), F.lit("")), signs, " " * len(signs)))
+    asked = F.concat_ws(" OR ", *(F.concat(F.lit(f"{f}:("), words, F.lit(")")) for f in fields))
+    return F.when(known, t).when(words == "", "").otherwise(asked)
+
+
+def repeats(text: Column | str, times: int = 5) -> Column:
+    """Whether a character occurs ``times`` times in a row."""
+    return _c(text).rlike(rf"(.)\1{{{times - 1},}}")
+
+
 def first_id(ids: Column, *keys: str) -> Column:
     """First non-null value of an id map under any spelling of its keys."""
     return F.coalesce(*(F.nullif(F.trim(ids[k]), F.lit("")) for k in keys))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.functions.text import truncated
+from scholion.functions.text import GREETINGS, looks_like_identifier, marked_claims, repeats, shannon_entropy, vowel_ratio
 from scholion.operators.search import rrf
 
 
@@ -29,38 +29,140 @@ def valid_rows(rows: DataFrame, required: dict[str, tuple[str, ...]]) -> DataFra
     return rows.where(cond).select(*keep, *(c.alias(f) for f, c in filled.items()))
 
 
-def claims_by_source(citations: DataFrame) -> DataFrame:
-    """Per (answer, source): number of claims, first place, longest claim, and a confidence from the claims' mean length.
+def claims_by_source(answers: DataFrame) -> DataFrame:
+    """Per (id, source) of the markers in ``answer``: number of claims, first place, longest claim, and a confidence.
 
-    ``citations`` has answer, source, pos, claim. Ties of length go to the earlier claim.
+    The confidence starts at 0.8, goes up a tenth for claims of over 100 characters in the mean and down one for under 30, up 0.05 for
+    standing in the body and 0.05 for more than two claims. Ties of length go to the earlier claim.
     """
-    g = citations.groupBy("answer", "source").agg(F.count(F.lit(1)).alias("claims"), F.min("pos").alias("first"), F.max_by("claim", F.struct(F.length("claim"), -F.col("pos"))).alias("longest"), F.avg(F.length("claim")).alias("mean_length"))
-    return g.select("answer", "source", "claims", "first", "longest", F.least(F.lit(1.0), F.col("mean_length") / 100.0).alias("confidence"))
+    c = answers.select("id", F.explode(marked_claims("answer")).alias("c")).select("id", "c.*")
+    g = c.groupBy("id", "source").agg(F.count(F.lit(1)).alias("claims"), F.min("position").alias("first"), F.max_by("claim", F.struct(F.length("claim"), -F.col("position"))).alias("longest"), F.floor(F.avg(F.length("claim"))).alias("mean"))
+    step = F.when(F.col("mean") > 100, 0.1).when(F.col("mean") < 30, -0.1).otherwise(0.0) + 0.05 + F.when(F.col("claims") > 2, 0.05).otherwise(0.0)
+    return g.select("id", "source", "claims", "first", "longest", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.8 + step)), 9).alias("confidence"))
 
 
 def grouped_ids(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Distinct values of each key, in order, as one text."""
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.col(value))).cast("array<string>"), ",").alias("values"))
+    """``(key, pos, value)``: the distinct values of each key, each in a row of its own with its place in order.
+
+    A key of any number of values is never gathered: values are made distinct map-side, and the places are those of a window over them.
+    """
+    own = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value).distinct()
+    return own.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(value)))
 
 
 def spread(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, median, least, most and distinct values by group."""
-    return rows.groupBy(group).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.countDistinct(value).alias("values"))
+    """Mean, median, least, most and distinct values by group, from the counts of equal values, so that no group is gathered."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(group).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), F.expr(f"percentile(`{value}`, 0.5D, n)").alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(F.lit(1)).alias("values"))
 
 
-def assembled_context(chunks: DataFrame, group: str, order: str, title: str, text: str, most: int, base: int = 1) -> DataFrame:
-    """One context text a group: numbered entries in order, each text cut to ``most`` characters. Numbers count from ``base``."""
-    w = Window.partitionBy(group).orderBy(order)
-    entry = F.concat(F.lit("["), (F.row_number().over(w) + (base - 1)).cast("string"), F.lit("] "), F.coalesce(F.col(title), F.lit("")), F.lit("\n"), truncated(F.coalesce(F.col(text), F.lit("")), most))
-    e = chunks.select(group, order, entry.alias("entry"))
-    return e.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "entry"))), lambda x: x["entry"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("entries"))
+# The form of a context that is handed to a model, and the ways in which it names papers and chunks.
+LEGEND, CONTENT = "--- REFERENCE LEGEND ---", "--- RESEARCH CONTENT ---"
+PAPER_NAMES = (r"(?m)(?:^|\n)SOURCE_ID:\s*([^\n\r]+)", r"(?m)(?:^|\n)PAPER\s+ID:\s*([^\n\r]+)", r"(?m)(?:^|\n)paper_id:\s*([^\n\r]+)", r"(?m)(?:^|\n)paperId:\s*([^\n\r]+)", r'"paperId":\s*"([^"]+)"', r'"paper_id":\s*"([^"]+)"', r'"id":\s*"([^"]+)"')
+CHUNK_NAMES = (r"(?m)(?:^|\n)CHUNK_ID:\s*([^\n\r]+)", r"(?m)(?:^|\n)chunk_id:\s*([^\n\r]+)", r'"chunkId":\s*"([^"]+)"', r'"chunk_id":\s*"([^"]+)"')
 
 
-def evidence_ids(text: Column | str) -> Column:
-    """Sorted distinct numbers by which a context names its evidence: ``[n]``, ``(n)``, ``Paper n``, ``Source n``, ``Document n``."""
-    c = F.col(text) if isinstance(text, str) else text
-    found = [F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in (r"\[(\d{1,4})\]", r"(?m)^\((\d{1,4})\)", r"(?i)\b(?:paper|source|document)\s+(\d{1,4})\b")]
-    return F.array_sort(F.array_distinct(F.transform(F.concat(*found), lambda x: x.cast("int"))))
+def assembled_context(papers: DataFrame, chunks: DataFrame, base: int = 0) -> DataFrame:
+    """``(query_id, context, papers, chunks)``: a legend of each query's papers, numbered from ``base``, and its chunks under these numbers.
+
+    ``papers`` has query_id, rank, paper, title, year, doi, citation; ``chunks`` query_id, rank, paper, chunk_id, section, text. Both are
+    top-k lists; texts are whole. Chunks of a paper that isn't in the legend have the number UNKNOWN.
+    """
+    w = Window.partitionBy("query_id").orderBy("rank", "paper")
+    p = papers.withColumn("number", F.row_number().over(w) + (base - 1))
+    or_ = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    line = F.concat(F.lit("PAPER ID: "), F.col("number"), F.lit(" | Title: "), or_("title", ""), F.lit(" ("), or_("year", "N/A"), F.lit(") | DOI: "), or_("doi", "N/A"), F.lit(" | APA: "), or_("citation", "N/A"))
+    block = F.concat(F.lit("SOURCE_ID: "), or_("number", "UNKNOWN"), F.lit("\nCHUNK_ID: "), F.col("chunk_id"), F.lit("\nSECTION: "), F.coalesce(F.nullif("section", F.lit("")), F.lit("Main text")), F.lit("\nCONTENT: "), or_("text", ""))
+    ordered = lambda rows, text, name: rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]).alias(name))
+    legend = ordered(p.withColumn("at", F.struct("number")), line, "legend")
+    content = ordered(chunks.join(p.select("query_id", "paper", "number"), ["query_id", "paper"], "left").withColumn("at", F.struct("rank", "chunk_id")), block, "content")
+    both = legend.join(content, "query_id", "left").withColumn("content", F.coalesce("content", F.array().cast("array<string>")))
+    context = F.concat(F.lit(LEGEND + "\n"), F.array_join("legend", "\n"), F.lit("\n\n" + CONTENT + "\n"), F.array_join("content", "\n\n"))
+    return both.select("query_id", context.alias("context"), F.size("legend").alias("papers"), F.size("content").alias("chunks"))
+
+
+def _named(text: Column, patterns: tuple[str, ...]) -> Column:
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.trim(x), "^,+|,+$", ""))))
+
+
+def context_papers(context: Column | str) -> Column:
+    """Sorted distinct ids by which a context names its papers, in its own form or in JSON."""
+    return _named(F.col(context) if isinstance(context, str) else context, PAPER_NAMES)
+
+
+def context_chunks(context: Column | str) -> Column:
+    """Sorted distinct ids of the chunks that a context names."""
+    return _named(F.col(context) if isinstance(context, str) else context, CHUNK_NAMES)
+
+
+def context_passages(context: Column | str) -> Column:
+    """The blocks of a context's content, each with its source number; empty where it has none."""
+    c = F.col(context) if isinstance(context, str) else context
+    parts = F.transform(F.split(F.trim(F.get(F.split(c, CONTENT, -1), F.lit(1))), "SOURCE_ID:", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.coalesce(F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit("SOURCE_ID: "), x)), F.array().cast("array<string>"))
+
+
+def context_legend(context: Column | str) -> Column:
+    """The legend of a context as structs of number, title, doi and apa; lines without a number are left out."""
+    c = F.col(context) if isinstance(context, str) else context
+    lines = F.split(F.get(F.split(F.get(F.split(c, LEGEND, -1), F.lit(1)), CONTENT, -1), F.lit(0)), "\n")
+    part = lambda x, name: F.nullif(F.get(F.filter(F.split(x, r" \| "), lambda y: y.startswith(name + ":")), F.lit(0)), F.lit(""))
+    value = lambda x, name: F.trim(F.replace(part(x, name), F.lit(name + ":"), F.lit("")))
+    number = lambda x: F.trim(F.replace(F.get(F.split(x, r" \| "), F.lit(0)), F.lit("PAPER ID:"), F.lit(""))).try_cast("int")
+    rows = F.transform(F.filter(lines, lambda x: x.startswith("PAPER ID:")), lambda x: F.struct(number(x).alias("number"), value(x, "Title").alias("title"), value(x, "DOI").alias("doi"), value(x, "APA").alias("apa")))
+    return F.coalesce(F.filter(rows, lambda r: r["number"].isNotNull()), F.expr("cast(array() as array<struct<number:int,title:string,doi:string,apa:string>>)"))
+
+
+def context_sources(context: Column | str) -> Column:
+    """Distinct source numbers in a context's content, in order."""
+    c = F.col(context) if isinstance(context, str) else context
+    found = F.regexp_extract_all(F.get(F.split(c, CONTENT, -1), F.lit(1)), F.lit(r"(?m)^SOURCE_ID:\s*(\d+)\s*$"), F.lit(1))
+    return F.coalesce(F.array_distinct(F.transform(found, lambda x: x.try_cast("int"))), F.array().cast("array<int>"))
+
+
+# What a question may ask for; the first is taken where a plan names none of them.
+INTENTS = ("comprehensive_search", "author_papers", "comparison", "foundational", "general", "gibberish", "system")
+
+
+def query_plan(answer: Column | str, question: Column | str) -> Column:
+    """A query plan in a model's answer as a struct; fields of a wrong kind take their defaults, and so does an answer that isn't JSON."""
+    a, q = (F.col(x) if isinstance(x, str) else x for x in (answer, question))
+    a = F.when(F.trim(a).startswith("{"), a)
+    at = lambda name: F.get_json_object(a, f"$.{name}")
+    listed = lambda name: F.coalesce(F.filter(F.transform(F.from_json(F.when(F.trim(at(name)).startswith("["), at(name)), "array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+    intent = F.lower(F.trim(at("intent")))
+    parted = F.filter(F.transform(F.split(at("skip"), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    skip = F.when(F.trim(at("skip")).startswith("["), F.transform(listed("skip"), lambda x: F.lower(x))).when(at("skip").isNotNull(), parted).otherwise(F.array().cast("array<string>"))
+    return F.struct(
+        F.trim(F.coalesce(F.nullif(at("clarified_question"), F.lit("")), q)).alias("question"), listed("hybrid_queries").alias("queries"), listed("specific_papers").alias("papers"), F.when(intent.isin(*INTENTS), intent).otherwise(INTENTS[0]).alias("intent"),
+        skip.alias("skip"), F.coalesce(at("has_doi").isin("true", "True", "TRUE"), F.lit(False)).alias("has_doi"), F.when(F.trim(at("filters")).startswith("{"), at("filters")).otherwise("{}").alias("filters"),
+    )
+
+
+def route(paper_ids: Column) -> Column:
+    """``scoped`` where a list of paper ids with any that isn't blank is given, else ``database``."""
+    return F.when(F.exists(F.coalesce(paper_ids, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != "")), "scoped").otherwise("database")
+
+
+def gibberish(rows: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """``(key, gibberish, score)``: whether a text asks nothing. ``words`` has the ``word`` s in common use.
+
+    Null, blank, very short texts, greetings, identifiers and short words that nobody uses are; else two of: few or too many vowels, few
+    words in use, high entropy, no vowel at all, a sign repeated. Words are joined as rows, each text's distinct word once.
+    """
+    t = rows.select(F.col(key).alias("key"), F.trim(F.col(text)).alias("text"))
+    used = words.select(F.lower("word").alias("word")).distinct().withColumn("used", F.lit(1))
+    each = t.select("key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    share = each.groupBy("key", "word").agg(F.count(F.lit(1)).alias("n")).join(used, "word", "left").groupBy("key").agg((F.sum(F.when(F.length("word") > 1, F.coalesce("used", F.lit(0))).otherwise(0) * F.col("n")) / F.sum("n")).alias("share"))
+    short = t.where("length(text) between 3 and 5").select("key", F.lower("text").alias("word")).join(used, "word", "left").groupBy("key").agg(F.max(F.coalesce("used", F.lit(0))).alias("known"))
+    t = t.join(share, "key", "left").join(short, "key", "left")
+    letters, v = F.regexp_replace("text", "[^a-zA-Z]", ""), vowel_ratio("text")
+    tests = ((v < 0.2) | (v > 0.9), F.coalesce("share", F.lit(0.0)) < 0.3, shannon_entropy("text") > 4.5, (F.length(letters) > 5) & ~letters.rlike("[aeiouAEIOU]"), repeats("text"))
+    score = sum((c.cast("int") for c in tests[1:]), tests[0].cast("int"))
+    plainly = F.coalesce(F.col("text"), F.lit("")) == ""
+    at_once = plainly | (F.length("text") <= 2) | F.lower("text").isin(*GREETINGS) | looks_like_identifier("text") | ((F.length("text") <= 5) & (F.coalesce("known", F.lit(0)) == 0))
+    return t.select(F.col("key").alias(key), F.coalesce(at_once | (score >= 2), F.lit(True)).alias("gibberish"), F.coalesce(score, F.lit(0)).alias("score"))
 
 
 def fenced_json(text: Column | str, schema: str) -> Column:

@@ -6,9 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholion.functions.text import section_key
+
 LEAST, MOST, OVERLAP = 300, 600, 0.1
 _BLOCK = re.compile(r"\n[ \t]*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -110,22 +112,23 @@ def majority(rows: DataFrame, group: str, label: str) -> DataFrame:
 
 
 def evidence_links(evidence: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
-    """Top texts of one document for each piece of evidence: same page 3, next 1, one further 0.5, same section 4, caption within the text 2.
+    """Top texts of one document for each piece of evidence: same page 3, next 1, one further 0.5; same section 4, one title within the other 2.
 
-    Both sides are joined on document and page (each piece of evidence tries the pages within two) and on document and section, so that a
-    document's pieces aren't compared all with all.
+    Both are (doc, id, page, section). Pairs come from document and page (each piece of evidence tries the pages within two) and from
+    document and section: titles are compared once a document and pair of sections, not once a pair of texts. Sections are compared by
+    :func:`section_key`. Ties go to the nearer page (an unknown one counts as 99 away), then the smaller id.
     """
-    e = evidence.select("doc", F.col("id").alias("evidence"), "page", "section", "caption")
-    t = texts.select("doc", F.col("id").alias("text_id"), F.col("page").alias("tp"), F.col("section").alias("ts"), "text")
-    near = e.withColumn("tp", F.explode(F.expr("sequence(page - 2, page + 2)"))).join(t, ["doc", "tp"]).select("doc", "evidence", "text_id", "page", "tp", "section", "ts", "caption", "text")
-    same = e.join(t, (e.doc == t.doc) & (e.section == t.ts)).select(e.doc, "evidence", "text_id", "page", "tp", "section", "ts", "caption", "text")
-    both = near.unionByName(same).dropDuplicates(["evidence", "text_id"])
+    e = evidence.select("doc", F.col("id").alias("evidence"), "page", section_key("section").alias("key"))
+    t = texts.select("doc", F.col("id").alias("text_id"), F.col("page").alias("tp"), section_key("section").alias("tk"))
+    akin = e.where("key <> ''").select("doc", "key").distinct().join(t.where("tk <> ''").select("doc", "tk").distinct(), "doc")
+    akin = akin.where(F.col("key").contains(F.col("tk")) | F.col("tk").contains(F.col("key"))).withColumn("kin", F.when(F.col("key") == F.col("tk"), 4.0).otherwise(2.0))
+    near = e.where("page is not null").withColumn("tp", F.explode(F.expr("sequence(page - 2, page + 2)"))).join(t, ["doc", "tp"]).select("doc", "evidence", "text_id", "page", "tp", "key", "tk")
+    same = e.join(akin, ["doc", "key"]).join(t, ["doc", "tk"]).select("doc", "evidence", "text_id", "page", "tp", "key", "tk")
+    both = near.unionByName(same).dropDuplicates(["evidence", "text_id"]).join(akin, ["doc", "key", "tk"], "left")
     far = F.abs(F.col("page") - F.col("tp"))
-    score = F.when(far == 0, 3.0).when(far == 1, 1.0).when(far == 2, 0.5).otherwise(0.0) + F.when(F.col("section") == F.col("ts"), 4.0).otherwise(0.0) + F.when((F.length("caption") > 0) & F.contains(F.lower("text"), F.lower("caption")), 2.0).otherwise(0.0)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc", "evidence").orderBy(F.col("score").desc(), F.col("far").asc_nulls_last(), "text_id")
-    return both.withColumn("score", score).withColumn("far", far).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc", "evidence", "text_id", "score", "rank")
+    score = F.when(far == 0, 3.0).when(far == 1, 1.0).when(far == 2, 0.5).otherwise(0.0) + F.coalesce("kin", F.lit(0.0))
+    w = Window.partitionBy("doc", "evidence").orderBy(F.col("score").desc(), "far", "text_id")
+    return both.withColumn("score", score).withColumn("far", F.coalesce(far, F.lit(99))).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc", "evidence", "text_id", "score", "rank")
 
 
 def token_stats(chunks: DataFrame, tokens: str) -> DataFrame:

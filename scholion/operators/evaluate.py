@@ -53,16 +53,23 @@ def mean_with_skips(rows: DataFrame, value: str, skip: str | None = None) -> Dat
     return rows.agg(F.avg(kept).alias("mean"), F.count(kept).alias("used"))
 
 
-def citation_validity(answers: DataFrame, base: int = 1) -> DataFrame:
-    """Per answer: distinct markers, how many name one of its sources, and the ratio (null without markers).
+def citation_validity(answers: DataFrame) -> DataFrame:
+    """Per answer: distinct markers, how many are valid, and the ratio (0 without markers).
 
-    ``answers`` has id, answer, source_ids. A numeric marker is valid from ``base`` to the number of sources, any other if it is listed.
+    ``answers`` has id, answer, contexts, paper_ids, truth_ids (arrays, null as empty). Only what comes before a marker's ``|`` counts. A
+    number is valid from 1 to the number of contexts that aren't blank, or of paper ids where there is none; any other marker is, if it
+    is a paper's or truth's id or is cited in a context.
     """
-    marks = F.array_distinct(citation_markers("answer"))
-    n = F.size("source_ids")
-    valid = F.filter(F.col("marks"), lambda m: F.coalesce((m.rlike(r"^\d+$") & (m.try_cast("int") >= base) & (m.try_cast("int") < n + base)) | F.array_contains(F.col("source_ids"), m), F.lit(False)))
-    out = answers.select("id", "source_ids", marks.alias("marks")).withColumn("valid", F.size(valid))
-    return out.select("id", F.size("marks").alias("markers"), "valid", (F.col("valid") / F.nullif(F.size("marks"), F.lit(0))).alias("validity"))
+    filled = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    trimmed = lambda c: F.transform(c, lambda x: F.trim(x))
+    out = answers.select("id", F.array_distinct(citation_markers("answer")).alias("marks"), filled("contexts").alias("contexts"), filled("paper_ids").alias("paper_ids"), filled("truth_ids").alias("truth_ids"))
+    known = F.concat(trimmed(F.col("paper_ids")), trimmed(F.col("truth_ids")), F.flatten(F.transform("contexts", lambda c: citation_markers(c))))
+    most = F.when(F.size("contexts") > 0, F.size("contexts")).otherwise(F.size("paper_ids"))
+    out = out.withColumn("known", known).withColumn("most", most)
+    bare = lambda m: F.trim(F.substring_index(m, "|", 1))
+    valid = F.filter("marks", lambda m: F.when(bare(m).rlike(r"^\d+$"), F.coalesce(bare(m).try_cast("int").between(F.lit(1), F.col("most")), F.lit(False))).otherwise(F.array_contains("known", bare(m))))
+    out = out.select("id", F.size("marks").alias("markers"), F.size(valid).alias("valid"))
+    return out.withColumn("validity", F.when(F.col("markers") > 0, F.col("valid") / F.col("markers")).otherwise(0.0))
 
 
 def numeric_citation_check(answers: DataFrame) -> DataFrame:
@@ -93,7 +100,7 @@ def passage_overlap(rows: DataFrame) -> DataFrame:
 
 
 # Phrases by which an answer says that it has no evidence.
-NO_EVIDENCE = ("no evidence", "not enough information", "insufficient evidence", "no relevant", "cannot answer", "could not find", "unable to find")
+NO_EVIDENCE = ("don't know", "do not know", "not provided", "no evidence", "does not contain evidence", "insufficient evidence", "cannot be determined")
 
 
 def says_no_evidence(text):
@@ -110,5 +117,112 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def run_statistics(log: DataFrame, by: str, seconds: str) -> DataFrame:
-    """Count, mean, least, most and median time of each kind of run."""
-    return log.groupBy(by).agg(F.count(F.lit(1)).alias("runs"), F.avg(seconds).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.median(seconds).alias("median"))
+    """Count, mean, least, most and median time of each kind of run, from the counts of equal times, so that no kind is gathered."""
+    counts = log.groupBy(by, seconds).agg(F.count(F.lit(1)).alias("n"))
+    timed = F.when(F.col(seconds).isNotNull(), F.col("n"))
+    return counts.groupBy(by).agg(F.sum("n").alias("runs"), (F.sum(F.col(seconds) * timed) / F.sum(timed)).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.expr(f"percentile(`{seconds}`, 0.5D, n)").alias("median"))
+
+
+def compared_runs(one: DataFrame, two: DataFrame, k: int = 10) -> DataFrame:
+    """Per query of two rankings: how many of the first ``k`` keys they share, and how many rows more the second has."""
+    top = lambda r, n: r.groupBy("query_id").agg(F.count(F.lit(1)).alias(n))
+    both = one.where(F.col("rank") <= k).select("query_id", "key").join(two.where(F.col("rank") <= k).select("query_id", "key"), ["query_id", "key"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("shared"))
+    out = top(one, "rows_1").join(top(two, "rows_2"), "query_id", "full").join(both, "query_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("query_id", zero("shared").alias("shared"), (zero("rows_2") - zero("rows_1")).alias("more"))
+
+
+def bare_keys(ranking: DataFrame, prefix: str = "beir_") -> DataFrame:
+    """A ranking whose keys lack a corpus' prefix."""
+    return ranking.withColumn("key", F.regexp_replace("key", f"^{prefix}", ""))
+
+
+def chunks_else_papers(papers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The ranking (query_id, key, rank) that is judged: a query's chunks by their papers, or its papers where it has no chunk."""
+    return chunks.select("query_id", "key", "rank").unionByName(papers.join(chunks.select("query_id"), "query_id", "left_anti").select("query_id", "key", "rank"))
+
+
+def reranked_abstracts(queries: DataFrame, papers: DataFrame, ranking: DataFrame, top: int = 100, k: int = 20, load=None) -> DataFrame:
+    """The first ``top`` papers of each query as chunks of their abstracts, ranked anew and cut to ``k``; ``papers`` is (key, abstract), null ones empty."""
+    from scholion.operators.pipelines import rerank
+
+    pairs = ranking.where(F.col("rank") <= top).select("query_id", "key")
+    texts = papers.select("key", F.coalesce("abstract", F.lit("")).alias("text"))
+    return rerank(queries, pairs, texts, k, load)
+
+
+def variants(original: DataFrame, split: DataFrame, queries: DataFrame, papers: DataFrame, qrels: DataFrame, load=None) -> DataFrame:
+    """Metrics of four ways to search, a row a query and variant: whole or split queries, before and after reranking.
+
+    ``original`` and ``split`` are rankings of papers; each is made once and judged twice.
+    """
+    out = None
+    for name, ranking in (("original", original), ("decomposed", split)):
+        for stage, run in (("before_rerank", ranking), ("after_rerank", reranked_abstracts(queries, papers, ranking, load=load))):
+            m = ir_metrics(bare_keys(run), qrels).withColumn("variant", F.lit(f"{name}_{stage}"))
+            out = m if out is None else out.unionByName(m)
+    return out
+
+
+def id_hits(rows: DataFrame) -> DataFrame:
+    """Whether any id retrieved is a true one: (id, hit), 1 or 0, from (id, paper_ids, truth_ids); blank ids count for nothing."""
+    kept = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    return rows.select("id", F.arrays_overlap(kept("paper_ids"), kept("truth_ids")).cast("double").alias("hit")).withColumn("hit", F.coalesce("hit", F.lit(0.0)))
+
+
+def embedded_agreement(rows: DataFrame, one: str, two: str, load=None, prefixes: tuple[str, str] = ("search_query: ", "search_document: ")) -> DataFrame:
+    """Cosine of two embedded texts, held between 0 and 1; 0 where either is null or blank. Question and answer, or key passage and answer."""
+    from scholion.functions.scorers import embedding, hashing_embedder
+    from scholion.operators.search import cosine
+
+    load = load or hashing_embedder
+    e = rows.select("id", F.trim(F.col(one)).alias("x"), F.trim(F.col(two)).alias("y"))
+    e = e.select("id", "x", "y", embedding("x", load, prefixes[0]).alias("v"), embedding("y", load, prefixes[1]).alias("w"))
+    return e.select("id", clamped(F.when((F.col("x") != "") & (F.col("y") != ""), cosine("v", "w"))).alias("agreement"))
+
+
+def clamped(c):
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), F.lit(0.0))
+
+
+def validated(answers: DataFrame, w_citations: float = 0.8, w_grounding: float = 0.2) -> DataFrame:
+    """Per (id, answer, context): citations by number, right, hallucinated and missing ones, accuracy and the overall score.
+
+    A number is right from 1 to what the context offers: its markers, or else the larger number of the papers and chunks it names. The
+    score weighs the citations and the grounding, which both are the accuracy.
+    """
+    from scholion.functions.text import MARKER, marker_numbers
+    from scholion.operators.answers import context_chunks, context_papers
+
+    marks = F.size(F.regexp_extract_all(F.coalesce("context", F.lit("")), F.lit("(?i)" + MARKER), F.lit(0)))
+    c = answers.select("id", marker_numbers(F.coalesce("answer", F.lit(""))).alias("cited"), marks.alias("marks"), F.size(context_papers(F.coalesce("context", F.lit("")))).alias("papers"), F.size(context_chunks(F.coalesce("context", F.lit("")))).alias("chunks"))
+    most = F.when(F.col("marks") > 0, F.col("marks")).otherwise(F.greatest("papers", "chunks"))
+    c = c.withColumn("total", F.size("cited")).withColumn("most", most).withColumn("correct", F.size(F.filter("cited", lambda x: (x >= 1) & (x <= F.col("most")))))
+    c = c.withColumn("accuracy", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0))
+    return c.select("id", "total", "correct", (F.col("total") - F.col("correct")).alias("hallucinated"), F.greatest(F.lit(0), F.col("papers") - F.col("total")).alias("missing"), "accuracy", clamped(w_citations * F.col("accuracy") + w_grounding * F.col("accuracy")).alias("overall"))
+
+
+def written_back(stored: DataFrame, results: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, counters): stored rows with a result's non-null scores, and how many results were attempted, updated, missing, invalid or without id.
+
+    ``results`` has ``validation_id`` as text, ``pos`` and the score columns; of several results of an id the last by ``pos`` holds.
+    ``columns`` names the stored column of each score.
+    """
+    r = results.withColumn("vid", F.trim(F.col("validation_id").cast("string")).try_cast("long"))
+    known = stored.select(F.col("id").alias("vid")).withColumn("there", F.lit(True))
+    told = r.join(known, "vid", "left")
+    good = F.col("vid") > 0
+    counters = told.agg(
+        F.count_if(good).alias("attempted"), F.count_if(good & F.col("there").isNotNull()).alias("updated"), F.count_if(good & F.col("there").isNull()).alias("missing"), F.count_if(F.col("vid") <= 0).alias("invalid"), F.count_if(F.col("vid").isNull()).alias("skipped_no_id"),
+    )
+    last = r.where("vid > 0").groupBy("vid").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(f"_{c}") for c in columns))
+    joined = stored.join(last, F.col("id") == F.col("vid"), "left")
+    score = {new: old for old, new in columns.items()}
+    return joined.select(*(F.coalesce(F.col(f"_{score[c]}"), F.col(c)).alias(c) if c in score else F.col(c) for c in stored.columns)), counters
+
+
+def progress_summary(rows: DataFrame, done: DataFrame, key: str, scores: list[str]) -> DataFrame:
+    """One row of a run that can be taken up again: how many rows are done and left, how many of them say that they have no evidence, and mean scores so far."""
+    g = done.agg(F.count(F.lit(1)).alias("done"), F.count_if(F.coalesce("no_evidence", F.lit(False))).alias("no_evidence"), *(F.avg(c).alias(c) for c in scores))
+    left = pending(rows, done, key).agg(F.count(F.lit(1)).alias("left"))
+    return g.crossJoin(left)  # one row each

@@ -181,6 +181,25 @@ def _searched(lists: DataFrame, block: pa.Table, asked: list[np.ndarray], idf: n
     return lists.where("size(terms) > 0 and key is not null").mapInArrow(run, schema)
 
 
+class _Lists:
+    """The term lists of all rows for one block of queries, their statistics, and each query's terms by number."""
+
+    def __init__(self, block: pa.Table, docs: DataFrame, key: str, fields: dict[str, float]) -> None:
+        names, weights = list(fields), list(fields.values())
+        words = block.column("terms").to_pylist()
+        vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+        self.rows = cut(_term_lists(docs, key, names, vocabulary))
+        sizes = [F.col("lengths")[i] for i in range(len(names))]
+        stats = self.rows.agg(*(F.count_if(n > 0) for n in sizes), *(F.avg(F.when(n > 0, n)) for n in sizes)).first()
+        n, self.average = np.array(stats[: len(names)], float), np.array([x or 1.0 for x in stats[len(names) :]])
+        df = np.zeros(len(vocabulary) * len(names))
+        seen = self.rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()  # a number a word of the block
+        df[seen.column("term").to_numpy()] = seen.column("df").to_numpy()
+        rows = np.repeat(n, len(vocabulary))
+        self.idf = np.log(1 + (rows - df + 0.5) / (df + 0.5)) * np.repeat(weights, len(vocabulary))
+        self.asked = [np.array([f * len(vocabulary) + vocabulary[w] for f in range(len(names)) for w in ws]) for ws in words]
+
+
 def bm25(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], k: int | None = None, k1: float = K1, b: float = B, within: DataFrame | None = None, margin: float = 0.0) -> DataFrame:
     """BM25 of each query ``(query_id, text)`` against all rows: distinct query terms, any of which may match; fields add up by weight.
 
@@ -190,28 +209,43 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float]
     row leaves a task but its ``k`` a query, however frequent a term is. ``within`` is a table with the ``key`` of the rows that may be
     found; with ``margin`` the rows that fall short of the ``k``-th score by no more than it stay in too. Null texts and keys match nothing.
     """
-    names, weights = list(fields), list(fields.values())
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {docs.schema[key].dataType.simpleString()}, score double"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks_of(cut(query_terms(queries)), "query_id"):
-        words = block.column("terms").to_pylist()
-        vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
-        lists = cut(_term_lists(docs, key, names, vocabulary))
-        sizes = [F.col("lengths")[i] for i in range(len(names))]
-        stats = lists.agg(*(F.count_if(n > 0) for n in sizes), *(F.avg(F.when(n > 0, n)) for n in sizes)).first()
-        n, average = np.array(stats[: len(names)], float), np.array([x or 1.0 for x in stats[len(names) :]])
-        df = np.zeros(len(vocabulary) * len(names))
-        seen = lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()  # a number a word of the block
-        df[seen.column("term").to_numpy()] = seen.column("df").to_numpy()
-        rows = np.repeat(n, len(vocabulary))
-        idf = np.log(1 + (rows - df + 0.5) / (df + 0.5)) * np.repeat(weights, len(vocabulary))
-        asked = [np.array([f * len(vocabulary) + vocabulary[w] for f in range(len(names)) for w in ws]) for ws in words]
-        if within is not None:
-            lists = lists.join(within.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
-        out = out.unionByName(_searched(lists, block, asked, idf, average, k, k1, b, margin, schema))
+        lists = _Lists(block, docs, key, fields)
+        rows = lists.rows if within is None else lists.rows.join(within.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+        out = out.unionByName(_searched(rows, block, lists.asked, lists.idf, lists.average, k, k1, b, margin, schema))
     return ranked(out, None if margin else k)
 
 
+def bm25_pairs(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 of the given pairs ``(query_id, key)`` only, those above 0; statistics are those of all rows, as in :func:`bm25`."""
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {docs.schema[key].dataType.simpleString()}, score double"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for block in blocks_of(cut(query_terms(queries)), "query_id"):
+        lists = _Lists(block, docs, key, fields)
+        size = len(lists.idf) // len(lists.average)
+        shared = docs.sparkSession.sparkContext.broadcast((block.column("query_id").to_pylist(), lists.asked, lists.idf, lists.average))  # one block of queries
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, size=size) -> Iterator[pd.DataFrame]:
+            ids, asked, idf, average = shared.value
+            terms_of = {str(q): a for q, a in zip(ids, asked)}
+            for p in batches:
+                scores = np.zeros(len(p))
+                for i, (q, lengths, terms, tf) in enumerate(zip(p["query_id"], p["lengths"], p["terms"], p["tfs"])):
+                    wanted = terms_of.get(str(q))
+                    if wanted is None or not len(terms):
+                        continue
+                    hit = np.isin(terms, wanted)
+                    t, f = terms[hit], tf[hit]
+                    scores[i] = (idf[t] * f * (k1 + 1) / (f + k1 * (1 - b + b * np.asarray(lengths)[t // size] / average[t // size]))).sum()
+                yield pd.DataFrame({"query_id": p["query_id"], "key": p["key"], "score": scores})
+
+        found = pairs.join(lists.rows.where("size(terms) > 0"), "key").select("query_id", "key", "lengths", "terms", "tfs")
+        out = out.unionByName(found.mapInPandas(run, schema).where("score > 0"))
+    return out
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """Exact top-k by cosine of each query ``(query_id, vector)`` against all rows with a vector of the same size.
 
@@ -219,7 +253,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k
     partitions' bests are ranked. Null, empty and zero vectors match nothing.
     """
     spark = vectors.sparkSession
-    taken = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v is not null and size(v) > 0")
+    taken = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("key is not null and v is not null and size(v) > 0")
     kind, qkind = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     out = None
 
@@ -231,7 +265,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, m = shared.value
-            best: pd.DataFrame | None = None
+            kept = _Kept(len(ids), k, 0.0)
             for b in batches:
                 b = b[[len(v) == m.shape[1] for v in b["v"]]] if len(b) else b
                 if not len(b):
@@ -240,14 +274,14 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k
                 norm = np.linalg.norm(x, axis=1)
                 x, keys = x[norm > 0] / norm[norm > 0, None], b["key"].to_numpy()[norm > 0]
                 s = m @ x.T
-                take = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, : min(k, s.shape[1])] if s.shape[1] else np.zeros((len(m), 0), int)
-                # all that tie with the last one taken stay in, so that ties are broken by key below and not by position
-                rows = [(ids[q], key, score) for q in range(len(ids)) if take.shape[1] for i in np.flatnonzero(s[q] >= s[q][take[q]].min()) for key, score in [(keys[i], s[q][i])]]
-                now = pd.DataFrame(rows, columns=["query_id", "key", "score"])
-                best = now if best is None else pd.concat([best, now])
-                best = best.sort_values(["query_id", "score", "key"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
+                for q in range(len(ids) if len(keys) else 0):
+                    # all that tie with the last one taken stay in, so that ties are broken by key and not by position
+                    least = max(kept.floor(q) or -2.0, np.partition(s[q], len(keys) - k)[len(keys) - k] - EPSILON if len(keys) > k else -2.0)
+                    take = np.flatnonzero(s[q] >= least)
+                    if len(take):
+                        kept.add(q, s[q][take], keys[take].tolist())
+            found = [(ids[q], r[1], r[2]) for q, rows in enumerate(kept.rows) for r in rows]
+            yield pd.DataFrame(found, columns=["query_id", "key", "score"])
 
         return taken.mapInPandas(run, f"query_id {qkind}, key {kind}, score double")
 

@@ -50,12 +50,21 @@ def read_journal_ranking(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_conference_ranking(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless conference ranking: rows without five cells are left out, a blank rank is ``Unranked``, field codes are joined."""
-    raw = spark.read.option("header", False).schema(_strings(["core_id", "title", "acronym", "source", "rank", "is_primary", "for1", "for2", "for3"])).csv(path)
-    filled = F.filter(F.array("for1", "for2", "for3"), lambda x: F.trim(x) != "")
-    return raw.where("rank is not null or is_primary is not null or source is not null").select(
-        F.col("core_id").try_cast("int").alias("core_id"), F.trim("title").alias("title"), F.trim("acronym").alias("acronym"), F.trim("source").alias("source"), F.coalesce(F.nullif(F.trim("rank"), F.lit("")), F.lit("Unranked")).alias("rank"),
-        F.lower(F.trim(F.coalesce("is_primary", F.lit("")))).isin("yes", "true", "1").alias("is_primary"), F.array_join(filled, ",").alias("for_codes"),
+    """Headerless conference ranking: lines of fewer than five cells or without a whole number first are left out, a blank rank is ``Unranked``, field codes are joined.
+
+    The number of cells is that of the line, blank ones included, whatever they hold; cells may be in double quotes and span no lines.
+    """
+    names = ["core_id", "title", "acronym", "source", "rank", "is_primary", "for1", "for2", "for3"]
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    # a separator is a comma outside quotes: one that an even number of quotes follows
+    cells = F.size(F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    row = F.from_csv("value", ", ".join(f"{n} string" for n in names))
+    raw = lines.where(cells >= 5).select(row.alias("r")).select("r.*")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    filled = F.filter(F.array("for1", "for2", "for3"), lambda x: x.isNotNull() & (x != ""))
+    number = blank("core_id").try_cast("int")
+    return raw.where(number.isNotNull()).select(
+        number.alias("core_id"), blank("title").alias("title"), blank("acronym").alias("acronym"), blank("source").alias("source"), F.coalesce(F.nullif(blank("rank"), F.lit("")), F.lit("Unranked")).alias("rank"), (F.lower(blank("is_primary")) == "yes").alias("is_primary"), F.array_join(filled, ",").alias("for_codes"),
     )
 
 
