@@ -78,7 +78,7 @@ def chunk_text(text: str, most: int = MOST, overlap: float = OVERLAP, least: int
     return out
 
 
-def chunk_documents(docs: DataFrame, key: str, text: str, most: int = MOST, overlap: float = OVERLAP, least: int = 0, count: Counter = word_count) -> DataFrame:
+def chunk_documents(docs: DataFrame, key: str, text: str, most: int = MOST, overlap: float = OVERLAP, least: int = LEAST, count: Counter = word_count) -> DataFrame:
     """``(key, chunk_id, chunk_index, section_title, text, token_count, char_start, char_end)``; places count from chunk to chunk, two characters between.
 
     Null and blank texts have no chunk. A document is handled where it is read.

@@ -48,7 +48,7 @@ def mean_metrics(per_query: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def mean_with_skips(rows: DataFrame, value: str, skip: str | None = None) -> DataFrame:
     """Mean of the numeric values of a text column, rows marked ``skip`` left out; null where none is left."""
-    number = F.try_to_number(F.col(value).cast("string"), F.lit("999999999999D999999")) if dict(rows.dtypes)[value] == "string" else F.col(value)
+    number = F.trim(F.col(value)).try_cast("double") if dict(rows.dtypes)[value] == "string" else F.col(value)
     kept = F.when(~F.coalesce(F.col(skip), F.lit(False)), number) if skip else number
     return rows.agg(F.avg(kept).alias("mean"), F.count(kept).alias("used"))
 

@@ -105,8 +105,10 @@ def authorship_rows(records: DataFrame, key: str = "rec_id") -> DataFrame:
 
 
 def resolve_requested(request: DataFrame, papers: DataFrame) -> DataFrame:
-    """``(requested, rec_id, way)``: by paper id, else by external id; the first row by id holds. Unresolved requests have null."""
+    """``(requested, rec_id, way)``: by paper id, else by external id, a DOI also after ``DOI:``; the first row by id holds. Unresolved requests have null."""
     by_id = request.join(papers.groupBy(F.col("paper_id").alias("requested")).agg(F.min("rec_id").alias("by_id")), "requested", "left")
-    ext = papers.select("rec_id", F.explode(F.map_values("external_ids")).alias("requested")).groupBy("requested").agg(F.min("rec_id").alias("by_ext"))
+    entries = papers.select("rec_id", F.explode("external_ids").alias("k", "v"))
+    keys = F.array(F.col("v"), F.when(F.lower("k") == "doi", F.concat(F.lit("DOI:"), "v")))
+    ext = entries.select("rec_id", F.explode(F.array_compact(keys)).alias("requested")).groupBy("requested").agg(F.min("rec_id").alias("by_ext"))
     out = by_id.join(ext, "requested", "left")
     return out.select("requested", F.coalesce("by_id", "by_ext").alias("rec_id"), F.when(F.col("by_id").isNotNull(), "paper_id").when(F.col("by_ext").isNotNull(), "external_id").alias("way"))

@@ -104,7 +104,8 @@ def authorships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolved_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "paper_records")
-    asked = table(spark, sf_dir, "paper_chunks").select(F.col("paper_id").alias("requested")).union(r.where("rec_id % 50 = 0").select(F.explode(F.map_values("external_ids")))).where("requested is not null").distinct()
+    ids = r.where("rec_id % 50 = 0").select(F.explode("external_ids").alias("k", "v"))
+    asked = table(spark, sf_dir, "paper_chunks").select(F.col("paper_id").alias("requested")).union(ids.select("v")).union(ids.select(F.concat_ws(":", F.lit("DOI"), "v"))).where("requested is not null").distinct()
     return I.resolve_requested(asked, r)
 
 
@@ -127,13 +128,6 @@ def next_assistant_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.next_answer(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "view", "purchase", "event_id")
 
 
-def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with an event whose properties match, by EXISTS."""
-    e = table(spark, sf_dir, "events")
-    hits = e.where(F.get_json_object("props", "$.k").cast("int") % 7 == 0)
-    return e.select("user_id").distinct().join(hits.select("user_id"), "user_id", "left_semi")
-
-
 def event_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the second half of the month numbered on from the first."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
@@ -155,7 +149,7 @@ def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (filtered_papers, paper_listing, requested_order, existing_ids, external_lookup, latest_journals, upsert_merge, insert_new, overlap_join, journal_links, conference_match, enriched, aligned_authors, authorships, resolved_requests, context_window, last_messages, summary_due, next_assistant_turn, conversation_search, event_sequence, section_groups, page_anchors)
+    for f in (filtered_papers, paper_listing, requested_order, existing_ids, external_lookup, latest_journals, upsert_merge, insert_new, overlap_join, journal_links, conference_match, enriched, aligned_authors, authorships, resolved_requests, context_window, last_messages, summary_due, next_assistant_turn, event_sequence, section_groups, page_anchors)
 }
 
 _VAR = "(SELECT id, unnest(CASE WHEN regexp_full_match(b, '\\d{7}[0-9X]') THEN [b, substr(b, 1, 4) || '-' || substr(b, 5, 4)] ELSE [] END) AS v FROM (SELECT id, upper(regexp_replace(raw, '[\\s-]', '', 'g')) AS b FROM (SELECT id, unnest(issn) AS raw FROM journals)))"
@@ -183,12 +177,11 @@ SQL = {
       SELECT v.paper, b.conference FROM v JOIN (SELECT v, arg_min(id, o * 1000000 + id) AS conference FROM h GROUP BY v) b ON b.v = v.v""",
     "enriched": "WITH x AS (SELECT paper_id, arg_max(year, rec_id) AS y, arg_max(venue, rec_id) AS v FROM paper_records WHERE year IS NOT NULL AND venue IS NOT NULL AND paper_id IS NOT NULL GROUP BY 1) SELECT r.rec_id, r.paper_id, coalesce(r.year, x.y) AS year, coalesce(r.venue, x.v) AS venue FROM paper_records r LEFT JOIN x ON x.paper_id = r.paper_id",
     "authorships": "WITH f AS (SELECT rec_id, generate_subscripts(authors, 1) AS position, unnest(authors) AS a FROM paper_records) SELECT rec_id, CAST(position AS INT) AS position, a.author_id AS author_id, a.name AS name, list_filter(a.institutions, lambda i: i.id IS NOT NULL)[1].id AS institution FROM f WHERE a.name IS NOT NULL",
-    "resolved_requests": "WITH q AS (SELECT DISTINCT requested FROM (SELECT paper_id AS requested FROM paper_chunks UNION ALL SELECT unnest(map_values(external_ids)) FROM paper_records WHERE rec_id % 50 = 0) WHERE requested IS NOT NULL), i AS (SELECT paper_id, min(rec_id) AS r FROM paper_records GROUP BY 1), e AS (SELECT v, min(rec_id) AS r FROM (SELECT rec_id, unnest(map_values(external_ids)) AS v FROM paper_records) GROUP BY 1) SELECT q.requested, coalesce(i.r, e.r) AS rec_id, CASE WHEN i.r IS NOT NULL THEN 'paper_id' WHEN e.r IS NOT NULL THEN 'external_id' END AS way FROM q LEFT JOIN i ON i.paper_id = q.requested LEFT JOIN e ON e.v = q.requested",
+    "resolved_requests": "WITH q AS (SELECT DISTINCT requested FROM (SELECT paper_id AS requested FROM paper_chunks UNION ALL SELECT unnest(map_values(external_ids)) FROM paper_records WHERE rec_id % 50 = 0 UNION ALL SELECT 'DOI:' || unnest(map_values(external_ids)) FROM paper_records WHERE rec_id % 50 = 0) WHERE requested IS NOT NULL), i AS (SELECT paper_id, min(rec_id) AS r FROM paper_records GROUP BY 1), x AS (SELECT rec_id, unnest(map_entries(external_ids)) AS e FROM paper_records), e AS (SELECT v, min(rec_id) AS r FROM (SELECT rec_id, e.value AS v FROM x UNION ALL SELECT rec_id, 'DOI:' || e.value FROM x WHERE lower(e.key) = 'doi') GROUP BY 1) SELECT q.requested, coalesce(i.r, e.r) AS rec_id, CASE WHEN i.r IS NOT NULL THEN 'paper_id' WHEN e.r IS NOT NULL THEN 'external_id' END AS way FROM q LEFT JOIN i ON i.paper_id = q.requested LEFT JOIN e ON e.v = q.requested",
     "context_window": f"SELECT user_id, event_id, back, used FROM (SELECT user_id, event_id, CAST(row_number() OVER w AS INT) AS back, CAST(sum({_TOK}) OVER w AS BIGINT) AS used FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING)) WHERE back = 1 OR used <= 60",
     "last_messages": "SELECT user_id, event_id, back FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS back FROM events) WHERE back <= 10",
     "summary_due": f"SELECT user_id, messages, since, tokens, (NOT a AND messages > 20) OR (a AND since > 10) OR tokens > 16000 AS due FROM (SELECT user_id, count(*) AS messages, count(*) FILTER (event_type <> 'signup') AS since, CAST(sum({_TOK}) AS BIGINT) AS tokens, bool_or(event_type = 'signup') AS a FROM events GROUP BY 1)",
     "next_assistant_turn": "WITH n AS (SELECT user_id, event_id, ts, event_type, count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn FROM events WHERE event_type IN ('view', 'purchase')), r AS (SELECT user_id, turn, arg_min(event_id, (ts, event_id)) AS answer FROM n WHERE event_type = 'purchase' AND turn > 0 GROUP BY 1, 2) SELECT n.user_id, n.event_id AS question, r.answer FROM n LEFT JOIN r ON r.user_id = n.user_id AND r.turn = n.turn WHERE n.event_type = 'view'",
-    "conversation_search": "SELECT DISTINCT user_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) % 7 = 0",
     "event_sequence": "SELECT event_id, user_id, sequence FROM (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events) WHERE ts >= TIMESTAMP '2024-01-16'",
     "section_groups": "SELECT id, paper_id, CAST(sum(CASE WHEN label = 'section_header' THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY id) AS BIGINT) AS section FROM paper_chunks WHERE paper_id IS NOT NULL",
     "page_anchors": "WITH s AS (SELECT id, paper_id, page_number, last_value(CASE WHEN label = 'section_header' THEN section_title END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY id) AS anchor FROM paper_chunks WHERE paper_id IS NOT NULL), m AS (SELECT paper_id, page_number, min(id) AS id FROM s WHERE page_number IS NOT NULL GROUP BY 1, 2) SELECT m.paper_id, m.page_number, s.anchor FROM m JOIN s ON s.id = m.id",

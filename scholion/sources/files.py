@@ -68,6 +68,13 @@ def read_conference_ranking(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def coerced_list(c: Column) -> Column:
+    """List of a cell that holds JSON, or else parts between bars; blank parts are left out, and a null or blank cell is empty."""
+    cell = F.trim(F.coalesce(c, F.lit("")))
+    parts = F.when(cell.startswith("["), F.coalesce(F.from_json(cell, "array<string>"), F.split(cell, r"\|"))).otherwise(F.split(cell, r"\|"))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """One object a line; blank lines are passed over; a malformed line fails the read, or with ``strict`` off gives no row."""
     if strict:
@@ -75,11 +82,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_csv_with_json(spark: SparkSession, path: str, columns: list[str], lists: list[str]) -> DataFrame:
-    """CSV whose ``lists`` cells hold JSON arrays: other cells of these columns, and broken ones, become one-element arrays of their text."""
+def read_csv_with_json(spark: SparkSession, path: str, columns: list[str], lists: list[str], objects: dict[str, str] | None = None) -> DataFrame:
+    """CSV whose ``lists`` cells hold JSON arrays: other cells of these columns, and broken ones, become one-element arrays of their text.
+
+    ``objects`` gives the type of cells that hold JSON objects; they are decoded beside the text itself, in ``{column}_decoded``, null where broken.
+    """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(_strings(columns)).csv(path)
     decode = lambda c: F.when(F.trim(F.col(c)).startswith("["), F.coalesce(F.from_json(c, "array<string>"), F.array(F.col(c)))).when(F.trim(F.col(c)) == "", F.array().cast("array<string>")).otherwise(F.array(F.col(c)))
-    return raw.select(*(decode(c).alias(c) if c in lists else F.col(c) for c in columns))
+    told = [F.when(F.trim(F.col(c)).startswith("{"), F.from_json(c, kind)).alias(f"{c}_decoded") for c, kind in (objects or {}).items()]
+    return raw.select(*(decode(c).alias(c) if c in lists else F.col(c) for c in columns), *told)
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -100,6 +111,31 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.coalesce("_id", "id").alias("query_id"), F.posexplode(subs).alias("part", "text"))
 
 
+# Names that a file of decomposed queries may have, the first that exists being read.
+DECOMPOSED = ("queries_decomposed.json", "queries_decomposed.jsonl", "decomposed_queries.json", "decomposed_queries.jsonl")
+_QUERY = "struct<_id:string,id:string,text:string,original_text:string,decomposed:struct<clarified_question:string,hybrid_queries:array<string>,intent:string>>"
+
+
+def read_decomposed(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Queries with their parts ``(query_id, part, text)`` from the first file of a known name: lines, a list, or an object by query id; None without one."""
+    jvm = spark.sparkContext._jvm
+    for name in DECOMPOSED:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            break
+    else:
+        return None
+    if name.endswith("l"):
+        rows = spark.read.text(str(path)).where("trim(value) <> ''").select(F.from_json("value", _QUERY).alias("q"), F.lit(None).cast("string").alias("key"))
+    else:
+        whole = spark.read.option("wholetext", True).text(str(path))
+        listed = whole.where(F.ltrim("value").startswith("[")).select(F.explode(F.from_json("value", f"array<{_QUERY}>")).alias("q")).withColumn("key", F.lit(None).cast("string"))
+        rows = listed.unionByName(whole.where(F.ltrim("value").startswith("{")).select(F.explode(F.from_json("value", f"map<string,{_QUERY}>")).alias("key", "q")))
+    text = F.coalesce("q.text", "q.original_text", "q.decomposed.clarified_question")
+    subs = F.filter(F.coalesce("q.decomposed.hybrid_queries", F.array().cast("array<string>")), lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
+    return rows.select(F.coalesce("q._id", "q.id", "key").alias("query_id"), F.posexplode(F.when(F.size(subs) > 0, subs).otherwise(F.array(text))).alias("part", "text")).where("query_id is not null and text is not null")
+
+
 def select_questions(questions: DataFrame, exceptions: DataFrame, indexed: DataFrame | None = None, full_text: DataFrame | None = None) -> DataFrame:
     """Open questions ``(id, question, doi, is_opensource)`` with replaced DOIs, known to both sets where given, each question text once.
 
@@ -129,7 +165,7 @@ def write_export(rows: DataFrame, path: str, kind: str = "csv") -> None:
         rows.write.mode("overwrite").json(path)
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> None:
+def append_new(rows: DataFrame, path: str, key: str, by: str | None = None) -> None:
     """Append what isn't there yet: ids already in the folder are left out, so that a run can be taken up again."""
     spark = rows.sparkSession
     try:
@@ -138,4 +174,43 @@ def append_new(rows: DataFrame, path: str, key: str) -> None:
     except Exception as e:  # noqa: BLE001 - only a missing folder is expected
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    rows.write.mode("append").parquet(path)
+    (rows.write.mode("append").partitionBy(by) if by else rows.write.mode("append")).parquet(path)
+
+
+def joined_export(rows: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Evaluated rows with the columns of their source row that they lack, joined on the id as text; rows without a source stay."""
+    more = [c for c in sources.columns if c not in rows.columns]
+    own = sources.select(F.trim(F.col(key).cast("string")).alias("_key"), *more).dropDuplicates(["_key"])
+    return rows.withColumn("_key", F.trim(F.col(key).cast("string"))).join(own, "_key", "left").drop("_key")
+
+
+def write_benchmark(path: str, per_query: DataFrame, components: DataFrame, metrics: list[str]) -> None:
+    """The five files of a benchmark below ``path``: all rows as JSON, means a variant, component times, rows by query, and a comparison as text.
+
+    ``per_query`` is (query_id, variant, metrics...), ``components`` (variant, numbers...). Each is written by the executors.
+    """
+    means = per_query.groupBy("variant").agg(F.count(F.lit(1)).alias("queries"), *(F.format_string("%.6f", F.avg(m)).alias(m) for m in metrics))
+    times = components.groupBy("variant").agg(*(F.format_string("%.2f", F.avg(c)).alias(c) for c in components.columns if c != "variant"))
+    for name, df in (("summary", means), ("components", times), ("per_query", per_query)):
+        write_export(df, f"{path}/{name}")
+    per_query.write.mode("overwrite").json(f"{path}/results")
+    line = F.concat_ws("  ", F.rpad("variant", 32, " "), *(F.concat(F.lit(f"{m}="), F.col(m)) for m in metrics))
+    means.orderBy(F.col(metrics[0]).desc(), "variant").select(line.alias("value")).write.mode("overwrite").text(f"{path}/comparison")
+
+
+def write_run_log(runs: DataFrame, path: str) -> None:
+    """Append executions (execution_id, pipeline_type, ...) to a log laid out by pipeline; those logged already are left out, so a batch can be repeated."""
+    append_new(runs, path, "execution_id", "pipeline_type")
+
+
+def retrieval_log(records: DataFrame, by: list[str]) -> DataFrame:
+    """Per search: how many records came back, how many of them with a PDF and open access, and the hash of their ids in order."""
+    return records.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total_results"), F.count_if(F.coalesce(F.trim("pdf_url"), F.lit("")) != "").alias("results_with_pdf_url"), F.count_if(F.coalesce("is_open_access", F.lit(False))).alias("results_open_access"),
+    )
+
+
+def write_retrieval_log(records: DataFrame, path: str, by: list[str]) -> None:
+    """The records of searches as JSON, by search, and the counts beside them."""
+    records.write.mode("overwrite").partitionBy(*by).json(f"{path}/results")
+    retrieval_log(records, by).write.mode("overwrite").json(f"{path}/metadata")

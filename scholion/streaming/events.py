@@ -28,6 +28,11 @@ def type_summary(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key, "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def task_state(log: DataFrame, task: str, sequence: str, done: str) -> DataFrame:
+    """Per task: number of events, largest sequence number, and whether an event of type ``done`` is among them."""
+    return log.groupBy(task).agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.max(sequence), F.lit(0)).alias("max_sequence"), (F.count_if(F.col("event_type") == done) > 0).alias("has_done"))
+
+
 def replay(log: DataFrame, task: str, order: list[str], start: int, limit: int | None = None) -> DataFrame:
     """Events of each task from sequence number ``start`` on, at most ``limit`` a task."""
     w = Window.partitionBy(task).orderBy(*order)
@@ -84,9 +89,11 @@ def bounded_replay(events: DataFrame, task: str = "user_id", keep: int = RING, t
 
     def ring(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
-        whole = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-        kept = (kept + [int(x) for x in whole["event_id"]])[-keep:]
-        done = bool(terminal and (whole["event_type"] == terminal).any())
+        newest, done = [], False
+        for b in batches:  # of a micro-batch of any size only the newest ``keep`` events are held
+            newest = sorted([*newest, *zip(b["ts"], b["event_id"])])[-keep:]
+            done = done or bool(terminal and (b["event_type"] == terminal).any())
+        kept = (kept + [int(x) for _, x in newest])[-keep:]
         if done:
             state.remove()
         else:
@@ -97,6 +104,14 @@ def bounded_replay(events: DataFrame, task: str = "user_id", keep: int = RING, t
     return slim.groupBy(task).applyInPandasWithState(ring, f"{task} long, kept int, first_id long, last_id long, done boolean", "ids array<long>", "update", "NoTimeout")
 
 
+def offered(events: DataFrame, slots: int = 500, task: str = "user_id") -> DataFrame:
+    """What a slow subscriber of each task gets of a batch: the oldest ``slots`` events; newer ones are dropped and counted."""
+    w = Window.partitionBy(task).orderBy("ts", "event_id")
+    placed = events.withColumn("slot", F.row_number().over(w))
+    dropped = placed.groupBy(task).agg(F.greatest(F.max("slot") - slots, F.lit(0)).alias("dropped"))
+    return placed.where(F.col("slot") <= slots).join(dropped, task)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there into a Parquet folder, exactly once by the checkpoint, and stop."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
