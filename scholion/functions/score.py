@@ -1,4 +1,4 @@
-"""Closed-form scores as columns. Years are compared with a given one, never with the clock."""
+"""Closed-form scores as columns; their weights, steps and caps are fixed values that scores of other tools are compared with. Years are compared with a given one, never with the clock."""
 
 from __future__ import annotations
 
@@ -6,6 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The parts that the scores below have in a ranking of papers, in one of authors, and in exploration.
+WEIGHTS = {
+    "citation_quality": 0.25, "venue_prestige": 0.20, "institution_reputation": 0.15, "influential_citations": 0.15, "recency_factor": 0.10, "open_access_bonus": 0.05, "field_normalization": 0.10,
+    "author_h_index": 0.20, "author_citation_count": 0.15, "coauthor_network": 0.15, "author_productivity": 0.10, "diversity_boost": 0.15, "novelty_score": 0.10,
+}
+
+
 def _n(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 

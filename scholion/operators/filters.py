@@ -51,7 +51,8 @@ def like(column: Column | str, text: str) -> Column:
 
 
 def apply_filters(papers: DataFrame, f: Filters, authors: DataFrame | None = None, journals: DataFrame | None = None, id_column: str = "rec_id", journal_key: str = "venue") -> DataFrame:
-    """Papers that meet all given conditions. ``authors`` is (paper, name); ``journals`` has ``title`` and ``sjr_best_quartile``.
+    """Papers that meet all given conditions. ``authors`` is (paper, name) and, where there are any, display_name, author_string and
+    external_ids (a map), any of which may hold the name; ``journals`` has ``title`` and ``sjr_best_quartile``.
 
     Conditions on columns reach the scan; authors and quartiles are semi joins, so no row is repeated.
     """
@@ -69,7 +70,11 @@ def apply_filters(papers: DataFrame, f: Filters, authors: DataFrame | None = Non
         cond = cond & any_of
     out = papers.where(cond)
     if f.author is not None and authors is not None:
-        out = out.join(authors.where(like("name", f.author)).select(F.col("paper").alias(id_column)), id_column, "left_semi")
+        named = F.coalesce(like("name", f.author), F.lit(False))
+        for c in ("display_name", "author_string", "external_ids"):
+            if c in authors.columns:
+                named = named | F.coalesce(like(F.to_json(c) if c == "external_ids" else c, f.author), F.lit(False))
+        out = out.join(authors.where(named).select(F.col("paper").alias(id_column)), id_column, "left_semi")
     if f.quartile is not None and journals is not None:
         out = out.join(journals.where(F.upper("sjr_best_quartile") == f.quartile.upper()).select(F.col("title").alias(journal_key)).distinct(), journal_key, "left_semi")
     return out

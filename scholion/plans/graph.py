@@ -93,9 +93,9 @@ def institution_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent fields of study of each venue, with the venue's strength in them."""
+    """The most frequent of the first three fields of study of each venue's records, with the venue's strength in them."""
     r = table(spark, sf_dir, "paper_records").where("venue is not null")
-    t = r.select("venue", F.explode("fields_of_study").alias("field"))
+    t = r.select("venue", F.explode(F.slice("fields_of_study", 1, 3)).alias("field"))
     n = r.groupBy("venue").agg(F.count(F.lit(1)).alias("papers"))
     top = G.field_distribution(t, "venue", "field").join(n, "venue")
     return top.select("venue", "field", "n", "rank", F.round(S.field_strength(F.col("n"), F.col("papers")), 9).alias("strength"))
@@ -106,15 +106,16 @@ def top_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.top_references(m, "paper_id", "section_title", "id", 20)
 
 
-def related_by_affiliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers whose ids are listed more than once by one source, with all their row ids in order."""
-    r = table(spark, sf_dir, "paper_records")
-    return r.groupBy("source", "paper_id").agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_list(F.col("rec_id"))).cast("array<string>"), ",").alias("rec_ids")).where("rows > 1")
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose paper id is listed more than once by their source, with their number and place; no group is gathered."""
+    r = table(spark, sf_dir, "paper_records").where("source is not null and paper_id is not null")
+    many = r.groupBy("source", "paper_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return r.select("source", "paper_id", "rec_id").join(many, ["source", "paper_id"])
 
 
 QUERIES = {
     f.__name__: f
-    for f in (coauthors, quartile_breakdown, counts_by_year, citation_edges, referencing_authors, citing_papers, author_stats, institution_stats, career_metrics, trust_metrics, duplicate_identity, affiliations, institution_profile, field_distribution, top_references, related_by_affiliation)
+    for f in (coauthors, quartile_breakdown, counts_by_year, citation_edges, referencing_authors, citing_papers, author_stats, institution_stats, career_metrics, trust_metrics, duplicate_identity, affiliations, institution_profile, field_distribution, top_references, repeated_ids)
 }
 
 _EDGE = "SELECT DISTINCT l_orderkey AS paper, l_suppkey AS author FROM lineitem"
@@ -139,7 +140,7 @@ SQL = {
       a AS (SELECT institution, count(DISTINCT author) AS authors FROM w WHERE institution IS NOT NULL GROUP BY 1)
       SELECT g.institution, papers, citations, highly_cited, round(mean_impact, 9) AS mean_impact, round(open_access_ratio, 9) AS open_access_ratio, authors,
         round(least(100, least(20, 5 * log10(papers + 1)) + least(25, 3 * log10(citations + 1)) + least(20, least(floor(sqrt(citations)), papers) / 5.0) + 15.0 * highly_cited / papers + least(10, 5 * mean_impact / 25) + least(5, 0.5 * authors)), 9) AS score FROM g JOIN a ON a.institution = g.institution""",
-    "field_distribution": "WITH t AS (SELECT venue, unnest(fields_of_study) AS field FROM paper_records WHERE venue IS NOT NULL), c AS (SELECT venue, field, count(*) AS n FROM t WHERE field IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY venue ORDER BY n DESC, field) AS INT) AS rank FROM c), v AS (SELECT venue, count(*) AS papers FROM paper_records GROUP BY 1) SELECT r.venue, field, n, rank, round(least(50, 15 * log10(n + 1)) + 50.0 * n / papers, 9) AS strength FROM r JOIN v ON v.venue = r.venue WHERE rank <= 5",
+    "field_distribution": "WITH t AS (SELECT venue, unnest(fields_of_study[1:3]) AS field FROM paper_records WHERE venue IS NOT NULL), c AS (SELECT venue, field, count(*) AS n FROM t WHERE field IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY venue ORDER BY n DESC, field) AS INT) AS rank FROM c), v AS (SELECT venue, count(*) AS papers FROM paper_records GROUP BY 1) SELECT r.venue, field, n, rank, round(least(50, 15 * log10(n + 1)) + 50.0 * n / papers, 9) AS strength FROM r JOIN v ON v.venue = r.venue WHERE rank <= 5",
     "top_references": "SELECT paper_id, count(*) AS mentions, arg_min(section_title, id) AS title FROM paper_chunks GROUP BY paper_id ORDER BY count(*) DESC, min(id), paper_id LIMIT 20",
-    "related_by_affiliation": "SELECT source, paper_id, count(*) AS rows, string_agg(CAST(rec_id AS VARCHAR), ',' ORDER BY rec_id) AS rec_ids FROM paper_records GROUP BY 1, 2 HAVING count(*) > 1",
+    "repeated_ids": "SELECT source, paper_id, rec_id, count(*) OVER (PARTITION BY source, paper_id) AS rows FROM paper_records WHERE source IS NOT NULL AND paper_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY source, paper_id) > 1",
 }

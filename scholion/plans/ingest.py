@@ -14,7 +14,7 @@ from scholion.tables import table
 def filtered_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "paper_records")
     f = Filters.parse({"yearFrom": 2005, "max_year": 2022, "minCitations": 0, "author_name": "an", "field_of_study": "Medicine", "journal_rank": "q1"})
-    authors = r.select(F.col("rec_id").alias("paper"), F.explode("authors.name").alias("name"))
+    authors = r.select(F.col("rec_id").alias("paper"), F.explode("authors").alias("a")).select("paper", "a.name", F.col("a.author_id").alias("author_string"), F.create_map(F.lit("orcid"), F.col("a.orcid")).alias("external_ids"))
     return apply_filters(r, f, authors, table(spark, sf_dir, "journals")).select("rec_id", "year", "citation_count")
 
 
@@ -156,7 +156,7 @@ _VAR = "(SELECT id, unnest(CASE WHEN regexp_full_match(b, '\\d{7}[0-9X]') THEN [
 _NT = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s+', ' ', 'g'))"
 _TOK = "(CAST(floor(length(props) / 4) AS BIGINT) + 4)"
 SQL = {
-    "filtered_papers": "SELECT rec_id, year, citation_count FROM paper_records WHERE year BETWEEN 2005 AND 2022 AND citation_count >= 0 AND contains(lower(array_to_string(fields_of_study, chr(10))), 'medicine') AND rec_id IN (SELECT rec_id FROM (SELECT rec_id, unnest(authors) AS a FROM paper_records) WHERE contains(lower(a.name), 'an')) AND venue IN (SELECT title FROM journals WHERE upper(sjr_best_quartile) = 'Q1')",
+    "filtered_papers": "SELECT rec_id, year, citation_count FROM paper_records WHERE year BETWEEN 2005 AND 2022 AND citation_count >= 0 AND contains(lower(array_to_string(fields_of_study, chr(10))), 'medicine') AND rec_id IN (SELECT rec_id FROM (SELECT rec_id, unnest(authors) AS a FROM paper_records) WHERE coalesce(contains(lower(a.name), 'an'), false) OR coalesce(contains(lower(a.author_id), 'an'), false) OR (a.orcid IS NOT NULL AND contains(lower(a.orcid), 'an'))) AND venue IN (SELECT title FROM journals WHERE upper(sjr_best_quartile) = 'Q1')",
     "paper_listing": "SELECT rec_id, paper_id FROM paper_records WHERE is_open_access AND source = 'openalex' ORDER BY created_at DESC NULLS LAST, rec_id LIMIT 20 OFFSET 20",
     "requested_order": "SELECT c.pos, c.paper_id, r.rec_id FROM (SELECT paper_id, min(id) AS pos FROM paper_chunks WHERE paper_id IS NOT NULL GROUP BY 1) c JOIN paper_records r ON r.paper_id = c.paper_id",
     "existing_ids": "SELECT DISTINCT paper_id, paper_id IS NOT NULL AND paper_id IN (SELECT paper_id FROM paper_records WHERE paper_id IS NOT NULL) AS exists FROM paper_chunks",

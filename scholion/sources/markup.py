@@ -126,3 +126,14 @@ def search_results(page: str) -> list[tuple[str, str, str, str | None, int]]:
         m = re.search(r"Cited by (\d+)", r["cited"])
         out.append((re.sub(r"^(?:\[[A-Z]+\]\s*)+", "", r["title"].strip()), r["authors"].strip(), r["snippet"].strip(), r["link"], int(m[1]) if m else 0))
     return out
+
+
+def read_results(pages: DataFrame, key: str, body: str) -> DataFrame:
+    """``(key, pos, title, authors, snippet, link, citations)`` of every result of every page; pages without results give no row."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, i, *r) for k, t in zip(b["key"], b["body"]) if t for i, r in enumerate(search_results(t))], columns=["key", "pos", "title", "authors", "snippet", "link", "citations"])
+
+    return pages.select(F.col(key).alias("key"), F.col(body).alias("body")).mapInPandas(run, f"key {kind}, pos int, title string, authors string, snippet string, link string, citations int").withColumnRenamed("key", key)
