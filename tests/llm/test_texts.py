@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scholion.llm import scans as S
-from scholion.llm.language import Model, fit, gram_vectors, grams, letter_vectors, mislabelled, named_language, passages, prototypes, repaired, score_table, sentences, symbols
+from scholion.llm.language import Model, bare_sentences, batch_grams, fit, gram_vectors, grams, letter_vectors, mislabelled, named_language, passages, prototypes, repaired, score_table, sentences, symbols
 from scholion.llm.splitting import split, split_chunks, split_texts
 from scholion.llm.tokens import TOKEN, token_count
 
@@ -59,6 +59,46 @@ def test_scores_by_table_equal_the_vectors():
     assert np.allclose(table[grams(codes)].sum(0) * np.sqrt(512), vector @ p.T, atol=1e-3)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab é.z ", max_size=20), max_size=6))
+def test_batches_give_the_same_grams(texts):
+    import numpy as np
+
+    numbers, of, sizes = batch_grams(texts) if texts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
+    for i, t in enumerate(texts):
+        assert list(numbers[of == i]) == list(grams(symbols(t))) and sizes[i] == len(symbols(t))
+
+
+def test_length_as_built():
+    """The expected length of a text's vector is within a tenth of the built one for texts of a sentence and more, and the cosines choose alike."""
+    import numpy as np
+
+    letters = letter_vectors()
+    texts = ["the quick brown fox jumps over the lazy dog", "der schnelle braune fuchs springt ueber den faulen hund", "we relate nitrate photolysis to isoprene oxidation through simulation in a randomised crossover study " * 5]
+    counts = np.zeros((2, 32**3))
+    np.add.at(counts[0], grams(symbols(texts[0])), 1)
+    np.add.at(counts[1], grams(symbols(texts[1])), 1)
+    p = prototypes(counts, letters)
+    got, _ = Model(score_table(p, letters), ["a", "b"]).cosines(texts)
+    for t, c in zip(texts, got):
+        v = gram_vectors(grams(symbols(t)), letters).astype(float).sum(0)
+        true = v @ p.T / np.linalg.norm(v)
+        assert true.argmax() == c.argmax() and np.allclose(true, c, rtol=0.1, atol=0.01)
+
+
+def test_other_languages_are_given_none(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = fit(docs)
+    other = ["Szybki brunatny lis przeskoczył nad leniwym psem i pobiegł dalej do lasu przed zmrokiem.", "Nopea ruskea kettu hyppäsi laiskan koiran yli ja juoksi syvälle metsään ennen pimeää.", "Gallia est omnis divisa in partes tres quarum unam incolunt Belgae aliam Aquitani."]
+    assert all(p[2] == "" and p[3] == 0.0 for ps in model.passages(other) for p in ps)
+    assert [ps[0][2] for ps in model.passages(["Der schnelle braune Fuchs springt über den faulen Hund und läuft weiter.", "The quick brown fox jumps over the lazy dog and runs into the deep forest."])] == ["de", "en"]
+    assert model.passages(["", "no end"]) == [[], []] and list(bare_sentences("")) == []
+    named = docs.withColumn("named", named_language(F.col("lang"))).where("named is not null")
+    told = passages(named, model).join(named.select("doc_id", "named"), "doc_id").withColumn("right", (F.col("lang") == F.col("named")).cast("int"))
+    sure, unsure = (told.where(c).select(F.avg("right")).first()[0] for c in ("confidence > 0.95", "confidence < 0.9"))
+    assert sure > 0.8 and sure > (unsure or 0)  # labels are wrong at times
+
+
 @pytest.mark.parametrize(("x", "y"), [("perchÃ© la qualitÃ\xa0", "perché la qualità"), ("â\x80\x9eUn laboratorioâ\x80\x9c", "„Un laboratorio“"), ("â€œhiâ€\x9d", "“hi”"), ("Ärger CALIBRÉ“ naïve", "Ärger CALIBRÉ“ naïve"), ("", "")])
 def test_repaired(x, y):
     assert repaired(x) == y
