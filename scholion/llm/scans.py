@@ -1,5 +1,9 @@
 """Repair of text from scanned pages: running lines, page numbers, words cut over line ends, misread characters.
 
+A line is a running line or a printed page number if it has the form of one and its paper bears it out: the line recurs in other chunks, page
+numbers go on with the pages, or the paper has other noise. A line of no known form is one if it stands at the edge of chunks on several pages.
+Headings stay. All lines are counted over the whole corpus, by paper and normalised line.
+
 A frequency lexicon of words, hyphenated words and word pairs is counted over the whole corpus. It keeps the entries above a share of all
 tokens, so its size is bounded by that share whatever the corpus. A symmetric-delete index over it gives the candidates for a rare word;
 a weighted edit distance, in which pairs of shapes that scanners confuse are cheap, and the word pairs around it choose the repair.
@@ -13,9 +17,11 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholion.tables import cut, spread
+
 #: Least share of all tokens of a lexicon entry: at most 1 / SHARE entries of each kind exist. Least count of one, however small the corpus.
 SHARE, LEAST = 4e-6, 4
 #: How many times as frequent as the word as it stands a repair must be; most edits; most cost of a repair a word.
@@ -59,6 +65,11 @@ _AND_OTHERS = re.compile(r"^[^!?]{2,60}\b(?:[a@]nd [o0](?:th|tb|fh)[ec]rs?|[ec][
 _TWO_LETTERS = re.compile(r"[^\W\d_]{2}")
 # what any of the lines above has: a number at an end, a sign, a volume, a year, a stamp's first letters, or no lower-case letter
 _MAYBE = re.compile(r"\d\W*$|^\W*\d|P[a@]g[ec]|[·•©]|V[o0][l1I|]\.|^(?:S[cC]|D[ioIO]|\([cC])|^p\.|^[^a-zà-öø-ÿ]*$")
+# Usual headings of papers by their letters; a line of capitals that is one of them stays.
+HEADINGS = frozenset(
+    "abstract summary introduction background relatedwork method methods materialsandmethods methodology data dataandmethods experiments experimentalsetup result results resultsanddiscussion discussion conclusion conclusions "
+    "conclusionsandoutlook outlook acknowledgement acknowledgements acknowledgment acknowledgments references bibliography appendix keywords limitations funding dataavailability conflictofinterest authorcontributions supplementarymaterial".split()
+)
 _HEADING = re.compile(r"^(?:\d+(?:\.\d+)*\.? |#|Table |Fig|[-*•] )")
 
 
@@ -74,38 +85,83 @@ def running(line: str) -> bool:
     return len(letters) >= 3 and not any(c.islower() for c in letters) and len(line) <= 70 and bool(re.search(r"[^\W\d_]{3}", line)) and not re.search(r"[=\\{}]", line)
 
 
-def without_lines(text: str) -> tuple[str, set[str]]:
-    """The text without running lines and printed page numbers, and the kinds of them that it had."""
-    kinds: set[str] = set()
+_DIGITS = str.maketrans({"O": "0", "S": "5", "l": "1", "|": "1", "I": "1"})
+
+
+def _letters(line: str) -> str:
+    """A line for comparison: its letters, with signs as the letters they are read from."""
+    return "".join(c for c in (SIGNS.get(c, c) for c in line.lower()) if c.isalpha())
+
+
+_EDGE_LEAST, _EDGE_MOST = 6, 110
+
+
+def noise_lines(text: str, page: int | None = None, title: str = "") -> tuple[list[str], list[tuple[int, str, str, bool]]]:
+    """(lines, candidates): of each line that may be noise its place, kind, what follows a page number in it, and whether there is one.
+
+    The kind is a key by which the line is counted in its paper: ``s:`` a stamp of the scan, ``r:`` a running line by its letters, ``p:`` a
+    page number by its form and how far it is from the page, ``e:`` a line of no form at an edge of the text. Headings, which are the
+    chunk's own title or a usual one in ``HEADINGS``, are none.
+    """
     if "\n" not in text and "\x0c" not in text and len(text) > 200:
-        return text, kinds
-    lines, keep = re.split(r"\r?\n|\x0c", text), []
+        return [text], []
+    lines, out = re.split(r"\r?\n|\x0c", text), []
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    edges = {filled[0], filled[-1]} if len(filled) > 1 else set()
+    own = {_letters(title)} if title else set()
     mostly: bool | None = None
-    for i, line in enumerate(lines):
-        s = line.strip()
-        if not s or not _MAYBE.search(s):
-            keep.append(line)
-        elif _PAGE.fullmatch(s) and not _in_table(lines, i):
-            kinds.add("page_number")
-        else:
+    for i in filled:
+        s = lines[i].strip()
+        if _MAYBE.search(s):
+            if _PAGE.fullmatch(s) and not _in_table(lines, i):
+                number = "".join(c for c in s.translate(_DIGITS) if c.isdigit())
+                form = re.sub(r"\d+", "#", s.translate(_DIGITS))
+                out.append((i, f"p:{form}:{int(number) - page if page is not None and number else ''}", "", True))
+                continue
             found, rest = False, s
             for pattern, part in ((_NUMBER_FIRST, 2), (_NUMBER_LAST, 1)):
                 m = pattern.match(s)
                 if m and running(m[part].strip()):
                     found, rest = True, m[part].strip()
-            capital = bool(_TWO_LETTERS.search(line)) and line.upper() == line
+            capital = bool(_TWO_LETTERS.search(lines[i])) and lines[i].upper() == lines[i]
             if capital and mostly is None:  # a text in capitals has no running lines of this form
                 capitals = sum(bool(_TWO_LETTERS.search(x)) and x.upper() == x for x in lines)
-                mostly = capitals > 2 and capitals > 0.5 * sum(bool(x.strip()) for x in lines)
+                mostly = capitals > 2 and capitals > 0.5 * len(filled)
+            letters = _letters(rest)
             if (found or running(rest)) and not (capital and mostly):
-                kinds.add("running_line")
-                if found:
-                    kinds.add("page_number")
-                if _odd_word(rest):
-                    kinds.add("misread")
-            else:
-                keep.append(line)
-    return ("\n".join(keep) if kinds else text), kinds
+                if found or not (letters in HEADINGS or letters in own):
+                    out.append((i, ("s:" if _STAMP.match(rest) else "r:") + letters, rest, found))
+                continue
+            if capital and mostly or re.fullmatch(r"\S+ {2}\d+", s):
+                continue
+        if i in edges and len(s) <= _EDGE_MOST and not _HEADING.match(s) and s[:1] != "|" and not re.search(r"[.!?:;,…][\"'”’)]*$|[=\\{}|]", s):
+            letters = _letters(s)
+            if len(letters) >= _EDGE_LEAST and letters not in HEADINGS and letters not in own:
+                out.append((i, "e:" + letters, s, False))
+    return lines, out
+
+
+def without_lines(text: str, accepted: frozenset[str] | None = None, page: int | None = None, title: str = "") -> tuple[str, set[str]]:
+    """The text without running lines and printed page numbers, and the kinds of them that it had.
+
+    ``accepted`` holds the keys of the lines that their paper bears out; without it every line of a known form counts.
+    """
+    lines, found = noise_lines(text, page, title)
+    kinds: set[str] = set()
+    drop = set()
+    for i, key, rest, number in found:
+        if accepted is None and key[0] == "e" or accepted is not None and key not in accepted:
+            continue
+        drop.add(i)
+        if key[0] == "p":
+            kinds.add("page_number")
+            continue
+        kinds.add("running_line")
+        if number:
+            kinds.add("page_number")
+        if _odd_word(rest):
+            kinds.add("misread")
+    return ("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text), kinds
 
 
 def _in_table(lines: list[str], i: int) -> bool:
@@ -145,8 +201,8 @@ def count_into(text: str, words: Counter, hyphened: Counter, pairs: Counter) ->
 class Lexicon:
     """Counts of words, hyphenated words and pairs above the share, with a symmetric-delete index over the words that aren't doubtful."""
 
-    def __init__(self, words: dict[str, int], hyphened: dict[str, int], pairs: dict[str, int], least: int, doubtful: frozenset[str] = frozenset()) -> None:
-        self.least, self.hyphened, self.pairs = least, hyphened, pairs
+    def __init__(self, words: dict[str, int], hyphened: dict[str, int], pairs: dict[str, int], least: int, doubtful: frozenset[str] = frozenset(), rare: dict[str, int] | None = None) -> None:
+        self.least, self.hyphened, self.pairs, self.rare = least, hyphened, pairs, rare or {}
         self.index: dict[str, list[str]] = defaultdict(list)
         self.words = words
         self.common = {w for w, n in words.items() if n >= least and w not in doubtful}
@@ -169,7 +225,7 @@ class Lexicon:
         """The printed form of a misread lower-case word, or None if it is to stay."""
         plain = "".join(LIGATURES.get(c, c) for c in word)
         signs = "".join(SIGNS.get(c, c) for c in plain)
-        own = self.words.get(word, 0)
+        own = self.words.get(word) or self.rare.get(word, 0)
         digits = sum(c.isdigit() for c in word)
         if digits and (len(plain) - digits < 2 or len(plain) - digits <= digits) and not (len(word) == 2 and "0" in word and signs in self.common):
             return None  # a code, not a word
@@ -266,7 +322,6 @@ def weighted_distance(read: str, printed: str) -> float:
     return best[n][m]
 
 
-_DIGITS = str.maketrans({"O": "0", "S": "5", "l": "1", "|": "1", "I": "1"})
 _NUMERIC = re.compile(r"(?=.*[OSl|I])[\dOSl|I]+")
 
 
@@ -287,9 +342,9 @@ def _cased(word: str, like: str) -> str:
     return word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def repaired(text: str, lexicon: Lexicon) -> tuple[str, set[str]]:
+def repaired(text: str, lexicon: Lexicon, accepted: frozenset[str] | None = None, page: int | None = None, title: str = "") -> tuple[str, set[str]]:
     """The text with its noise repaired, and the kinds of noise it had; a text without noise comes back as it is."""
-    body, kinds = without_lines(text)
+    body, kinds = without_lines(text, accepted, page, title)
 
     def mend(head: str, mark: str, tail: str) -> str:
         if lexicon.broken(head, tail, mark):
@@ -298,8 +353,11 @@ def repaired(text: str, lexicon: Lexicon) -> tuple[str, set[str]]:
         return head + mark + tail
 
     body = at_breaks(body, mend)
+    common = lexicon.common
+    if all(w in common and len(w) > 1 or w.isascii() and w.isdigit() for w in set(_TOKEN.findall(body.lower()))):
+        return (body if kinds else text), kinds  # nothing but usual words
     out, at, found = [], 0, tokens(body)
-    lower, common = [m[0].lower() for m in found], lexicon.common
+    lower = [m[0].lower() for m in found]
     skip = -1
     for i, m in enumerate(found):
         if i <= skip:
@@ -360,10 +418,11 @@ def reflowed(text: str) -> str:
     return "\n\n".join(joined)
 
 
-def build_lexicon(chunks: DataFrame, text: str = "text", share: float = SHARE) -> tuple[dict, dict, dict, int]:
-    """Lexicon parts over all texts: counts are pre-aggregated batch by batch, then summed; only entries above the share are gathered.
+def build_lexicon(chunks: DataFrame, text: str = "text", share: float = SHARE) -> tuple[DataFrame, tuple[dict, dict, dict, int]]:
+    """(counts, lexicon parts) over all texts: counts are pre-aggregated batch by batch, then summed; only entries above the share are gathered.
 
-    As counts add up to the number of tokens, fewer than 1 / ``share`` entries of each kind can be above it: the result is bounded.
+    As counts add up to the number of tokens, fewer than 1 / ``share`` entries of each kind can be above it: the result is bounded. Shares,
+    and so what is repaired, do not change with the size of the corpus.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -383,16 +442,13 @@ def build_lexicon(chunks: DataFrame, text: str = "text", share: float = SHARE) -
                 yield flush()
         yield flush()
 
-    counts = chunks.select(F.col(text).alias("text")).mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    from scholion.tables import cut
-
-    counts = cut(counts)
+    counts = cut(spread(chunks.select(F.col(text).alias("text"))).mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
     least = max(LEAST, int(total * share))
     parts: dict[str, dict[str, int]] = {"w": {}, "h": {}, "b": {}}
     for r in counts.where(F.col("n") >= least).toLocalIterator():
         parts[r["kind"]][r["key"]] = r["n"]
-    return parts["w"], parts["h"], parts["b"], least
+    return counts, (parts["w"], parts["h"], parts["b"], least)
 
 
 def doubtful(lexicon: Lexicon, words: list[str]) -> list[str]:
@@ -400,38 +456,94 @@ def doubtful(lexicon: Lexicon, words: list[str]) -> list[str]:
     return [w for w in words if any(-n >= RATIO * lexicon.words[w] for _, n, _ in lexicon.candidates(w))]
 
 
-def doubtful_words(spark: SparkSession, parts: tuple[dict, dict, dict, int]) -> frozenset[str]:
-    """The doubtful words of a lexicon, looked for in parallel; they are fewer than its words, whose number is bounded."""
-    shared = spark.sparkContext.broadcast(parts)
+def judged_words(counts: DataFrame, parts: tuple[dict, dict, dict, int]) -> tuple[frozenset[str], dict[str, int]]:
+    """(doubtful words of the lexicon, true counts of rarer words that have a common word within reach), looked for in parallel.
+
+    A rarer word's count matters from LEAST occurrences on, and where a common word is not RATIO times as frequent as the lexicon's least:
+    such words have a share of at least SHARE / RATIO, which bounds their number.
+    """
+    least = parts[3]
+    shared = counts.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(*shared.value)
         for b in batches:
-            yield pd.DataFrame({"w": doubtful(lexicon, [w for w in b["w"] if w in lexicon.common])}, dtype=object)
+            rows = []
+            for w, n in zip(b["key"], b["n"]):
+                if n < least:
+                    if lexicon.candidates(w):
+                        rows.append((w, int(n)))
+                elif w in lexicon.common and doubtful(lexicon, [w]):
+                    rows.append((w, -1))
+            yield pd.DataFrame(rows, columns=["w", "n"])
+
+    words = counts.where((F.col("kind") == "w") & (F.col("n") >= max(LEAST, least / RATIO))).select("key", "n")
+    tasks = max(1, min(64, len(parts[0]) // 500))
+    found = [(r["w"], r["n"]) for r in words.repartition(tasks, "key").mapInPandas(run, "w string, n long").toLocalIterator()]
+    return frozenset(w for w, n in found if n < 0), {w: n for w, n in found if n >= 0}
+
+
+#: Chunks of a paper in which a line recurs, pages on which a line of no form stands at an edge, and kinds of noise of which one bears out the other.
+RECURS, EDGE_PAGES, OTHERS = 2, 3, 2
 
-    words = spark.createDataFrame([(w,) for w in sorted(parts[0])], "w string").repartition(max(1, min(64, len(parts[0]) // 500)), "w")
-    return frozenset(r["w"] for r in words.mapInPandas(run, "w string").toLocalIterator())
 
+def borne_out(lines: DataFrame) -> DataFrame:
+    """``(row, accepted)``: the keys of each row's lines that their paper bears out, from (row, paper, unit, page, key, none of them null but page).
 
-def repair_scans(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    A stamp stands for itself; a line or page number counts if its key is in RECURS units of the paper or the paper has OTHERS different keys
+    of noise; a line of no form if it is on EDGE_PAGES pages. Units and pages are counted by key, so no paper is gathered.
+    """
+    known = lines.where("key not like 'e:%'")
+    by_key = lines.select("paper", "key", "unit").distinct().groupBy("paper", "key").agg(F.count(F.lit(1)).alias("units"))
+    pages = lines.where("key like 'e:%' and page is not null").select("paper", "key", "page").distinct().groupBy("paper", "key").agg(F.count(F.lit(1)).alias("pages"))
+    others = known.select("paper", "key").distinct().groupBy("paper").agg(F.count(F.lit(1)).alias("others"))
+    told = by_key.join(pages, ["paper", "key"], "left").join(others, "paper", "left")
+    edge = F.col("key").startswith("e:")
+    good = F.when(edge, F.coalesce("pages", F.lit(0)) >= EDGE_PAGES).otherwise(F.col("key").startswith("s:") | (F.col("units") >= RECURS) | (F.coalesce("others", F.lit(0)) >= OTHERS))
+    return lines.select("row", "paper", "key").distinct().join(told.where(good).select("paper", "key"), ["paper", "key"], "left_semi").groupBy("row").agg(F.collect_set("key").alias("accepted"))
+
+
+def repair_scans(chunks: DataFrame, key: str = "id", text: str = "text", paper: str | None = None, unit: str | None = None, page: str | None = None, title: str | None = None) -> DataFrame:
     """``(key, repaired, kinds)`` for every non-null text; ``kinds`` is an array, empty where the text has no noise and stays as it is.
 
-    Empty texts stay empty; repeated rows are repaired each; very long texts are handled whole, where they are read. The lexicon is a
-    broadcast of bounded size (see :func:`build_lexicon`).
+    ``paper`` names the document of a text, ``unit`` the chunk (repeated deliveries have the same), ``page`` and ``title`` its place; where
+    they are not given or null a text is a paper of its own. Empty texts stay empty; repeated rows are repaired each; very long texts are
+    handled whole, where they are read. The lexicon is a broadcast of bounded size (see :func:`build_lexicon`).
     """
-    spark: SparkSession = chunks.sparkSession
-    parts = build_lexicon(chunks, text)
-    shared = spark.sparkContext.broadcast((*parts, doubtful_words(spark, parts)))
     kind = chunks.schema[key].dataType.simpleString()
-    taken = chunks.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    column = lambda c, type_: (F.col(c) if c else F.lit(None)).cast(type_)
+    lone = F.concat(F.lit("row "), F.xxhash64(key).cast("string"))
+    taken = chunks.where(F.col(text).isNotNull()).select(
+        F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key).alias("row"), F.coalesce(column(paper, "string"), lone).alias("paper"), F.coalesce(column(unit, "string"), lone).alias("unit"), column(page, "int").alias("page"), F.coalesce(column(title, "string"), F.lit("")).alias("title"),
+    )
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for row, t, who, part, at, name in b.itertuples(index=False, name=None):
+                place = int(at) if at == at and at is not None else None
+                found = {k for _, k, _, _ in noise_lines(t, place, name)[1]}
+                if _BREAK.search(t):
+                    found.add("h:")
+                rows += [(row, who, part, place, k) for k in found]
+            yield pd.DataFrame(rows, columns=["row", "paper", "unit", "page", "key"]).astype({"page": "Int32"})
+
+    lines = cut(spread(taken.select("row", "text", "paper", "unit", "page", "title")).mapInPandas(keys, "row long, paper string, unit string, page int, key string"))
+    accepted = borne_out(lines)
+    counts, parts = build_lexicon(chunks, text)
+    shared = chunks.sparkSession.sparkContext.broadcast((*parts, *judged_words(counts, parts)))
+    both = spread(taken.join(accepted, "row", "left").select("key", "text", "page", "title", "accepted"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(*shared.value)
         for b in batches:
-            rows = [(k, *repaired(t, lexicon)) for k, t in zip(b["key"], b["text"])]
-            yield pd.DataFrame([(k, t, sorted(s)) for k, t, s in rows], columns=["key", "repaired", "kinds"])
+            rows = []
+            for k, t, at, name, ok in zip(b["key"], b["text"], b["page"], b["title"], b["accepted"]):
+                new, kinds = repaired(t, lexicon, frozenset(ok if ok is not None else ()), int(at) if at == at and at is not None else None, name)
+                rows.append((k, new, sorted(kinds)))
+            yield pd.DataFrame(rows, columns=["key", "repaired", "kinds"])
 
-    return taken.mapInPandas(run, f"key {kind}, repaired string, kinds array<string>").withColumnRenamed("key", key)
+    return both.mapInPandas(run, f"key {kind}, repaired string, kinds array<string>").withColumnRenamed("key", key)
 
 
 def repair_chunks(chunks: DataFrame) -> DataFrame:
@@ -439,7 +551,8 @@ def repair_chunks(chunks: DataFrame) -> DataFrame:
 
     A paper counts as scanned if any of its chunks has noise; a chunk without a paper is judged by itself.
     """
-    found = repair_scans(chunks.select(F.struct("id", F.coalesce("paper_id", F.concat(F.lit("chunk "), F.col("id").cast("string"))).alias("paper")).alias("of"), "text"), "of")
+    own = F.coalesce("paper_id", F.concat(F.lit("chunk "), F.col("id").cast("string")))
+    found = repair_scans(chunks.withColumn("of", F.struct("id", own.alias("paper"))), "of", "text", "paper_id", *(c if c in chunks.columns else None for c in ("chunk_id", "page_number", "section_title")))
     found = found.select("of.id", "of.paper", "repaired", "kinds")
     scanned = found.where(F.size("kinds") > 0).select("paper").distinct().withColumn("scanned", F.lit(True))
     flow = F.pandas_udf(lambda s: s.map(reflowed), "string")

@@ -11,7 +11,7 @@ from scholion.tables import table
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of noise in each chunk."""
-    return repair_scans(table(spark, sf_dir, "paper_chunks")).select("id", F.explode("kinds").alias("kind"))
+    return repair_scans(table(spark, sf_dir, "paper_chunks"), "id", "text", "paper_id", "chunk_id", "page_number", "section_title").select("id", F.explode("kinds").alias("kind"))
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,3 +168,26 @@ def test_scan_tables(spark):
     assert got[1][2] == "The cat sat on the mat near the house.\n\nThe cat" and got[4][2] == "Plain\ntext stays."
     assert S.repair_chunks(df.limit(0)).count() == 0
     assert re.sub(r"\s", "", got[0][2]) == re.sub(r"\s", "", rows[0][2])
+
+
+def test_headings_and_lone_lines_stay(spark):
+    """A capital line is taken for a running title only where its paper bears it out; headings never are."""
+    clean = "alpha alpha.\n\nINTRODUCTION\n\nalpha goes on."
+    rows = [
+        (1, "clean", "clean::C0", 1, None, clean), (2, "clean", "clean::C1", 2, None, "alpha.\n\nRESULTS AND DISCUSSION\n\nalpha ends."), (3, "lone", "lone::C0", 1, None, "alpha.\nDEEP LAKES OF NORWICK\nalpha goes on."),
+        (4, "old", "old::C0", 1, "MY OWN TITLE", "alpha.\nDEEP LAKES OF NORWICK\nalpha goes on.\nMY OWN TITLE\nalpha."), (5, "old", "old::C1", 2, None, "beta.\nDEEP LAKES OF N0RWICK\nbeta goes on.\n\nINTRODUCTION\n\nbeta."),
+        *((10 + i, "edge", f"edge::C{i}", i, None, f"J. Lakes 2001, 14, {22 + i}-31\nalpha goes on {i}.") for i in range(4)), (20, None, None, None, None, "alpha.\nDEEP LAKES\nalpha."),
+        *((30 + i, "pages", f"pages::C{i}", i, None, f"alpha goes\n{70 + i}\non.") for i in range(2)), (33, "page", "page::C0", 4, None, "alpha goes\n70\non."), (34, "page", "page::C0", 4, None, "alpha goes\n70\non."),
+    ]
+    df = spark.createDataFrame(rows, "id long, paper_id string, chunk_id string, page_number int, section_title string, text string").withColumn("accepted", F.lit(1)).withColumn("row", F.lit(1))
+    got = {r["id"]: (r["text"], set(r["kinds"])) for r in S.repair_chunks(df).collect()}
+    text = {r[0]: r[5] for r in rows}
+    assert all(got[i] == (text[i], set()) for i in (1, 2, 3, 20, 33, 34))
+    assert got[4][1] == {"running_line"} and "NORWICK" not in got[4][0] and "MY OWN TITLE" in got[4][0] and got[5][1] == {"running_line", "misread"} and "INTRODUCTION" in got[5][0]
+    assert all(got[10 + i] == (f"alpha goes on {i}.", {"running_line"}) for i in range(4)) and all(got[30 + i][1] == {"page_number"} for i in range(2))
+
+
+def test_rare_words_keep_their_counts():
+    """A word too rare for the lexicon, but seen often, is not rewritten to a neighbour that is hardly more frequent."""
+    plain_, known = S.Lexicon({"burns": 70}, {}, {}, 64), S.Lexicon({"burns": 70}, {}, {}, 64, frozenset(), {"bums": 60})
+    assert plain_.repair("bums", "", "") in ("burns", None) and known.repair("bums", "", "") is None
