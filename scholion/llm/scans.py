@@ -88,9 +88,12 @@ def running(line: str) -> bool:
 _DIGITS = str.maketrans({"O": "0", "S": "5", "l": "1", "|": "1", "I": "1"})
 
 
+_INNER = re.compile(r"(?<=[^\W\d_])[" + re.escape("".join(SIGNS)) + r"](?=[^\W\d_])")
+
+
 def _letters(line: str) -> str:
-    """A line for comparison: its letters, with signs as the letters they are read from."""
-    return "".join(c for c in (SIGNS.get(c, c) for c in line.lower()) if c.isalpha())
+    """A line for comparison: its letters, with signs inside words as the letters they are read from."""
+    return "".join(c for c in _INNER.sub(lambda m: SIGNS[m[0]], line.lower()) if c.isalpha())
 
 
 _EDGE_LEAST, _EDGE_MOST = 6, 110
