@@ -65,5 +65,24 @@ def test_tables(spark):
     assert map_venues(r.limit(0), j).count() == 0 and map_values(r, "venue", j.limit(0), "source_id", ["title"]).where("source_id is not null").count() == 0
 
 
+def test_tables_agree_with_brute_force(spark):
+    """The joins give what comparing each value with the whole list gives."""
+    j, r = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("journals", "paper_records"))
+    ref = Reference([(x["source_id"], n) for x in j.collect() for n in (x["title"], x["title_normalized"]) if n], [x["publisher"] for x in j.collect()])
+    odd = ["Journalof Applied Optics", "x" * 5000, "of " * 60, "J. Appl. Opt.", "JAO", " - ", "Annals of Marin eEcology / Leaf Press"]
+    got = {x["venue"]: (x["source_id"], round(x["score"], 9)) for x in map_values(r.unionByName(spark.createDataFrame([(v,) for v in odd], "venue string"), True), "venue", j, "source_id", ["title", "title_normalized"], "publisher").collect()}
+    want = {v: ref.denoted(v) for v in got}
+    assert {v: k for v, (k, _) in got.items()} == {v: k for v, (k, _) in want.items()} and all(abs(got[v][1] - s) < 1e-6 for v, (k, s) in want.items() if k)
+
+
+def test_names_of_any_length(spark):
+    """An entry of many words, given verbatim or with an error, is found; so is a value of thousands of characters."""
+    long = " ".join(f"word{chr(97 + i)}{chr(97 + i // 3)}" for i in range(27))
+    j = spark.createDataFrame([("1", long), ("2", "Short Name")], "source_id string, title string")
+    r = spark.createDataFrame([(long,), (long.replace("wordcb", "wodrcb").upper(),), ("Short Name [" + "a note " * 300 + "]",), ("nothing " * 900,)], "venue string")
+    got = [x["source_id"] for x in map_values(r, "venue", j, "source_id", ["title"]).orderBy(F.length("venue")).collect()]
+    assert got == ["1", "1", "2", None]
+
+
 def test_cleaned_keeps_plain_names():
     assert cleaned("Journal of Applied Optics") == "Journal of Applied Optics"
