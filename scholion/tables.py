@@ -37,6 +37,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fanned(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as shuffles have, which small sizes don't merge: for steps that compute much from few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all tasks run on this machine (tests)."""
     sc = spark.sparkContext
