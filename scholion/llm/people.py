@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scholion.llm.canonical import osa
 from scholion.llm.language import plain, repaired
-from scholion.tables import cut, release
+from scholion.tables import cut, fanned, release
 
 #: Share of the distinct name words that a given name is seen beside at least, and least number; so there are fewer than 1 / GIVEN of them a row.
 GIVEN, GIVEN_LEAST = 0.004, 8
@@ -235,8 +235,9 @@ def _place(column):
 def resolve(profiles: DataFrame) -> DataFrame:
     """``(profile_id, person)`` for every row; ``person`` is the smallest ``profile_id`` of the person's rows.
 
-    Rows of one provider id or one ORCID are one person. Null or blank names are linked through these alone. Different ORCIDs or fields
-    keep namesakes apart. Repeated rows fall into the class of their provider id.
+    Rows of one provider id or one ORCID are one person. Null or blank names are linked through these alone. Different ORCIDs are never one
+    person, and different fields keep namesakes apart, unless they are at one institution and list each other's names. Repeated rows fall
+    into the class of their provider id.
     """
     fields = topic_fields(profiles)
     spark = profiles.sparkSession
@@ -247,7 +248,7 @@ def resolve(profiles: DataFrame) -> DataFrame:
     rows = profiles.select("profile_id", account.alias("account"), F.nullif(F.regexp_replace(oid, r"\W", ""), F.lit("")).alias("orcid"), _place(F.col("affiliation.display_name")).alias("place"), F.regexp_extract(F.upper(F.col("affiliation.id")), r"(I\d+)", 1).alias("place_id"), F.get(F.expr("filter(topics, t -> t.display_name is not null)"), 0)["display_name"].alias("topic"),
                            F.concat(F.array("display_name"), F.coalesce("display_name_alternatives", F.array().cast("array<string>"))).alias("names"))
     rows = rows.join(field_of, "topic", "left").drop("topic")
-    spelled = cut(rows.select("profile_id", F.explode("names").alias("name")).where("name is not null").withColumn("parts", _name_column(F.col("name"))).where("size(parts) > 0").select("profile_id", "parts").distinct())
+    spelled = cut(fanned(rows.select("profile_id", F.explode("names").alias("name"))).where("name is not null").withColumn("parts", _name_column(F.col("name"))).where("size(parts) > 0").select("profile_id", "parts").distinct())
     base = cut(rows.groupBy("account").agg(F.min("profile_id").alias("node"), F.max("orcid").alias("orcid"), F.max("field").alias("field"), F.max("place").alias("place"), F.max(F.nullif("place_id", F.lit(""))).alias("place_id")))
     member = rows.select("profile_id", "account").join(base.select("account", "node"), "account").select("profile_id", "node")
     names = cut(spelled.join(member, "profile_id").select("node", F.concat_ws(" ", "parts").alias("sig")).distinct())
@@ -269,7 +270,7 @@ def resolve(profiles: DataFrame) -> DataFrame:
         .unionByName(sides.select(F.col("k1").alias("a"), F.col("k2").alias("b")))
         .unionByName(base.where("orcid is not null").select(F.concat(F.lit("N"), number("node").cast("string")).alias("a"), F.concat(F.lit("O"), "orcid").alias("b")))
     )
-    found = components(edges)
+    found = components(edges.unionByName(_mutual(profiles, account, rows, base)))
     nodes = base.select("node", "orcid", "field", "place", "place_id").join(found.where("node like 'N%'").select(F.expr("substring(node, 2)").cast("long").alias("node"), "component"), "node", "left")
     state = cut(nodes.withColumn("person", F.coalesce("component", F.concat(F.lit("N"), number("node").cast("string")))).drop("component"))
 
@@ -304,11 +305,53 @@ def resolve(profiles: DataFrame) -> DataFrame:
         merge = _ends(merge)
         before, state = state, cut(state.join(_plain(merge.select(F.col("p").alias("person"), "q")), "person", "left").withColumn("person", F.coalesce("q", "person")).drop("q"))
         release(before)
+    state = _parted(state, names)
     grouped = member.join(state.select("node", "person"), "node")
     first = grouped.groupBy("person").agg(F.min("profile_id").alias("first"))
     return grouped.join(first, "person").select("profile_id", F.col("first").alias("person"))
 
 
+def _mutual(profiles: DataFrame, account, rows: DataFrame, base: DataFrame) -> DataFrame:
+    """Edges (a, b) of accounts at one institution that list each other's name among their own spellings: one person, whatever their fields."""
+    words = lambda c: F.array_join(F.array_sort(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[^\W\d_]+"), F.lit(0))), " ")
+    shown = profiles.select(account.alias("account"), words(F.col("display_name")).alias("own"), F.explode("display_name_alternatives").alias("x")).select("account", "own", words(F.col("x")).alias("also")).where("own <> '' and also <> '' and own <> also").distinct()
+    at = rows.select("account", F.explode(F.array("place", F.nullif("place_id", F.lit("")))).alias("at")).where("at is not null").distinct()
+    seen = shown.join(at, "account")
+    both = seen.select(F.col("account").alias("x"), "own", "also", "at").join(seen.select(F.col("account").alias("y"), F.col("own").alias("also"), F.col("also").alias("own"), "at"), ["own", "also", "at"]).where("x < y").select("x", "y").distinct()
+    told = base.select("account", "node", "orcid")
+    both = both.join(told.select(F.col("account").alias("x"), F.col("node").alias("n"), F.col("orcid").alias("o")), "x").join(told.select(F.col("account").alias("y"), F.col("node").alias("m"), F.col("orcid").alias("q")), "y")
+    return both.where("o is null or q is null or o = q").select(F.concat(F.lit("N"), F.col("n").cast("string")).alias("a"), F.concat(F.lit("N"), F.col("m").cast("string")).alias("b"))
+
+
+def likeness(one: list[str], two: list[str]) -> float:
+    """How alike the nearest of two people's names are, from 0 to 1."""
+    return max((1 - osa(a, b, max(len(a), len(b))) / max(len(a), len(b), 1) for a in one for b in two), default=0.0)
+
+
+def _parted(state: DataFrame, names: DataFrame) -> DataFrame:
+    """The state without people of several ORCIDs: each ORCID is a person, and a profile without one goes to that whose names are nearest.
+
+    A shared place counts as a tenth; a profile that is as near to two of them stays by itself. Such people come from names that could be
+    two persons'; they are few, and each ORCID of one is compared with each of its profiles only.
+    """
+    many = state.groupBy("person").agg(F.count_distinct("orcid").alias("n")).where("n > 1").select("person")
+    mixed = cut(state.join(many, "person", "left_semi").join(names, "node", "left").groupBy("person", "node", "orcid").agg(F.collect_set("sig").alias("sigs"), F.array_compact(F.array(F.max("place"), F.max("place_id"))).alias("places")))
+    anchors = mixed.where("orcid is not null").groupBy("person", "orcid").agg(F.array_distinct(F.flatten(F.collect_list("sigs"))).alias("known"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("there"))
+    pairs = mixed.where("orcid is null").select("person", "node", "sigs", "places").join(anchors, "person")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scores = [likeness(list(x), list(y)) + 0.1 * bool(set(p) & set(q)) for x, y, p, q in zip(b["sigs"], b["known"], b["places"], b["there"])]
+            yield b[["person", "node", "orcid"]].assign(score=scores)
+
+    told = pairs.select("person", "node", "orcid", "sigs", "known", "places", "there").mapInPandas(near, "person string, node long, orcid string, score double")
+    best = told.groupBy("node").agg(F.max_by("orcid", "score").alias("to"), F.max("score").alias("top"))
+    rivals = told.join(best, "node").where("orcid <> to and score > top - 0.02").select("node").distinct().withColumn("rival", F.lit(True))
+    new = mixed.select("person", "node", "orcid").join(best, "node", "left").join(rivals, "node", "left")
+    label = F.when(F.col("orcid").isNotNull(), F.concat_ws("|", "person", "orcid")).when(F.col("rival").isNull() & F.col("to").isNotNull(), F.concat_ws("|", "person", "to")).otherwise(F.concat(F.lit("N"), F.col("node").cast("string"), F.lit("|alone")))
+    return cut(state.join(new.select("node", label.alias("label")), "node", "left").withColumn("person", F.coalesce("label", "person")).drop("label"))
+
+
 def _kin(called: DataFrame, either: DataFrame, at: DataFrame) -> DataFrame:
     """``(p, q)``: people of one field that are one, by all the names and places that they have by now; the larger label joins the smaller.
 
@@ -372,7 +415,7 @@ def near_names(sigs: DataFrame) -> DataFrame:
                         out += [(sig, k + "||" + o) for k in twice | ks for o in whole]
             yield pd.DataFrame(out, columns=["sig", "key"])
 
-    keyed = sigs.mapInPandas(keys, "sig string, key string").select("sig", F.xxhash64("key").alias("key"))
+    keyed = cut(fanned(sigs).mapInPandas(keys, "sig string, key string").select("sig", F.xxhash64("key").alias("key")))
     pairs = keyed.select(F.col("sig").alias("one"), "key").join(keyed.select(F.col("sig").alias("two"), "key"), "key").where("one < two").select("one", "two").distinct()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -391,7 +434,7 @@ def near_names(sigs: DataFrame) -> DataFrame:
                     out.append((one, two, level, short, meant[0] if meant else ""))
             yield pd.DataFrame(out, columns=["one", "two", "level", "one_short", "full"])
 
-    return pairs.mapInPandas(judge, "one string, two string, level int, one_short boolean, full string")
+    return fanned(pairs).mapInPandas(judge, "one string, two string, level int, one_short boolean, full string")
 
 
 def person_pairs(profiles: DataFrame) -> DataFrame:
