@@ -451,7 +451,7 @@ def map_values(values: DataFrame, column: str, reference: DataFrame, key: str, n
                 out.append((i, *Found(words, idf, these, longest).ranked(s)) if these else (i, None, 0.0))
             yield pd.DataFrame(out, columns=["id", "key", "score"]).astype({"key": object})
 
-    chosen = fanned(rows).mapInPandas(choose, "id long, key string, score double")
+    chosen = rows.mapInPandas(choose, "id long, key string, score double")
     return told.select("id", "value").join(chosen, "id").select(F.col("value").alias(column), F.col("key").alias(key), "score")
 
 
