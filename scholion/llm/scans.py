@@ -191,8 +191,8 @@ _HYPHENED = re.compile(r"(?<![\w@|])[^\W\d_]+-[^\W\d_]+(?![\w@|])")
 
 
 def count_into(text: str, words: Counter, hyphened: Counter, pairs: Counter) -> None:
-    """Add a text's words, hyphenated words and pairs of words a space apart; words broken over line ends are left out."""
-    body = at_breaks(without_lines(text)[0], lambda *_: " ").lower()
+    """Add the words, hyphenated words and pairs of words a space apart of a text without noisy lines; words broken over line ends are left out."""
+    body = at_breaks(text, lambda *_: " ").lower()
     words.update(_PLAIN.findall(body))
     if "-" in body:
         hyphened.update(_HYPHENED.findall(body))
@@ -347,7 +347,7 @@ def _cased(word: str, like: str) -> str:
 
 def repaired(text: str, lexicon: Lexicon, accepted: frozenset[str] | None = None, page: int | None = None, title: str = "") -> tuple[str, set[str]]:
     """The text with its noise repaired, and the kinds of noise it had; a text without noise comes back as it is."""
-    body, kinds = without_lines(text, accepted, page, title)
+    body, kinds = (text, set()) if accepted is not None and not accepted else without_lines(text, accepted, page, title)
 
     def mend(head: str, mark: str, tail: str) -> str:
         if lexicon.broken(head, tail, mark):
@@ -421,31 +421,50 @@ def reflowed(text: str) -> str:
     return "\n\n".join(joined)
 
 
-def build_lexicon(chunks: DataFrame, text: str = "text", share: float = SHARE) -> tuple[DataFrame, tuple[dict, dict, dict, int]]:
-    """(counts, lexicon parts) over all texts: counts are pre-aggregated batch by batch, then summed; only entries above the share are gathered.
+def surveyed(taken: DataFrame) -> DataFrame:
+    """One pass over all texts (row, text, paper, unit, page, title): counts of words, hyphenated words and pairs, and the lines that may be noise.
 
-    As counts add up to the number of tokens, fewer than 1 / ``share`` entries of each kind can be above it: the result is bounded. Shares,
-    and so what is repaired, do not change with the size of the corpus.
+    The result has ``kind`` ``w``, ``h`` or ``b`` with ``key`` and ``n``, pre-aggregated batch by batch, or ``l`` with a line's ``key`` and its
+    row, paper, unit and page. Lines that have the form of noise are not counted.
     """
+    columns = ["kind", "key", "n", "row", "paper", "unit", "page"]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, h, p = Counter(), Counter(), Counter()
 
         def flush() -> pd.DataFrame:
             rows = [("w", k, n) for k, n in w.items()] + [("h", k, n) for k, n in h.items()] + [("b", f"{x} {y}", n) for (x, y), n in p.items()]
             for c in (w, h, p):
                 c.clear()
-            return pd.DataFrame(rows, columns=["kind", "key", "n"])
+            return pd.DataFrame(rows, columns=columns[:3]).reindex(columns=columns).astype({"n": "Int64", "row": "Int64", "page": "Int32", "paper": object, "unit": object})
 
         for b in batches:
-            for t in b["text"]:
-                if t:
-                    count_into(t, w, h, p)
+            rows = []
+            for row, t, who, part, at, name in b[["row", "text", "paper", "unit", "page", "title"]].itertuples(index=False, name=None):
+                place = int(at) if at == at and at is not None else None
+                lines, found = noise_lines(t, place, name)
+                drop = {i for i, k, _, _ in found if k[0] != "e"}
+                count_into("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else t, w, h, p)
+                keys = {k for _, k, _, _ in found}
+                if "\n" in t and _BREAK.search(t):
+                    keys.add("h:")
+                rows += [("l", k, 1, row, who, part, place) for k in keys]
+            if rows:
+                yield pd.DataFrame(rows, columns=columns).astype({"n": "Int64", "row": "Int64", "page": "Int32"})
             if len(w) + len(p) > 400_000:
                 yield flush()
         yield flush()
 
-    counts = cut(spread(chunks.select(F.col(text).alias("text"))).mapInPandas(count, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    return cut(spread(taken.select("row", "text", "paper", "unit", "page", "title")).mapInPandas(run, "kind string, key string, n long, row long, paper string, unit string, page int"))
+
+
+def build_lexicon(survey: DataFrame, share: float = SHARE) -> tuple[DataFrame, tuple[dict, dict, dict, int]]:
+    """(counts, lexicon parts) of a survey of all texts: counts are summed, and only entries above the share are gathered.
+
+    As counts add up to the number of tokens, fewer than 1 / ``share`` entries of each kind can be above it: the result is bounded. Shares,
+    and so what is repaired, do not change with the size of the corpus.
+    """
+    counts = cut(survey.where("kind <> 'l'").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
     least = max(LEAST, int(total * share))
     parts: dict[str, dict[str, int]] = {"w": {}, "h": {}, "b": {}}
@@ -520,20 +539,9 @@ def repair_scans(chunks: DataFrame, key: str = "id", text: str = "text", paper:
         F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key).alias("row"), F.coalesce(column(paper, "string"), lone).alias("paper"), F.coalesce(column(unit, "string"), lone).alias("unit"), column(page, "int").alias("page"), F.coalesce(column(title, "string"), F.lit("")).alias("title"),
     )
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for row, t, who, part, at, name in b.itertuples(index=False, name=None):
-                place = int(at) if at == at and at is not None else None
-                found = {k for _, k, _, _ in noise_lines(t, place, name)[1]}
-                if _BREAK.search(t):
-                    found.add("h:")
-                rows += [(row, who, part, place, k) for k in found]
-            yield pd.DataFrame(rows, columns=["row", "paper", "unit", "page", "key"]).astype({"page": "Int32"})
-
-    lines = cut(spread(taken.select("row", "text", "paper", "unit", "page", "title")).mapInPandas(keys, "row long, paper string, unit string, page int, key string"))
-    accepted = borne_out(lines)
-    counts, parts = build_lexicon(chunks, text)
+    survey = surveyed(taken)
+    accepted = borne_out(survey.where("kind = 'l'"))
+    counts, parts = build_lexicon(survey)
     shared = chunks.sparkSession.sparkContext.broadcast((*parts, *judged_words(counts, parts)))
     both = spread(taken.join(accepted, "row", "left").select("key", "text", "page", "title", "accepted"))
 
