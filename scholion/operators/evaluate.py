@@ -182,7 +182,8 @@ def embedded_agreement(rows: DataFrame, one: str, two: str, load=None, prefixes:
 
 
 def clamped(c):
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), F.lit(0.0))
+    """Between 0 and 1; 0 where it is null."""
+    return F.when(c.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def validated(answers: DataFrame, w_citations: float = 0.8, w_grounding: float = 0.2) -> DataFrame:

@@ -128,7 +128,7 @@ def read_decomposed(spark: SparkSession, folder: str) -> DataFrame | None:
     if name.endswith("l"):
         rows = spark.read.text(str(path)).where("trim(value) <> ''").select(F.from_json("value", _QUERY).alias("q"), F.lit(None).cast("string").alias("key"))
     else:
-        whole = spark.read.option("wholetext", True).text(str(path))
+        whole = spark.read.text(str(path), wholetext=True)
         listed = whole.where(F.ltrim("value").startswith("[")).select(F.explode(F.from_json("value", f"array<{_QUERY}>")).alias("q")).withColumn("key", F.lit(None).cast("string"))
         rows = listed.unionByName(whole.where(F.ltrim("value").startswith("{")).select(F.explode(F.from_json("value", f"map<string,{_QUERY}>")).alias("key", "q")))
     text = F.coalesce("q.text", "q.original_text", "q.decomposed.clarified_question")
