@@ -65,7 +65,7 @@ def flatten_child(df: DataFrame, keys: list[str], column: str, path: list[str],
     return taken.mapInArrow(emit, schema)
 
 
-_TOPIC = pa.struct([("id", pa.string()), ("display_name", pa.string()), ("score", pa.float64()), ("subfield", pa.string()), ("field", pa.string()), ("domain", pa.string())])
+_TOPIC = pa.struct([("place", pa.int32()), ("id", pa.string()), ("display_name", pa.string()), ("score", pa.float64()), ("subfield", pa.string()), ("field", pa.string()), ("domain", pa.string())])
 
 
 def _decode(text: str | None):
@@ -75,7 +75,7 @@ def _decode(text: str | None):
     text = text.lstrip(_BOM + " \n\r\t")
     try:
         return json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         pass
     try:
         return ast.literal_eval(text)
@@ -94,41 +94,42 @@ def _name(x) -> str | None:
     return (x.get("display_name") if isinstance(x, dict) else x) if x is None or isinstance(x, (dict, str)) else str(x)
 
 
-def _elements(node, depth: int = 0) -> list:
-    """The list of elements that ``node`` stands for: a list, an encoded list, a page of results, places as keys, or one element alone."""
-    if node is None or depth > 4:
-        return []
-    if isinstance(node, (list, tuple)):
-        return list(node)
-    if isinstance(node, str):
+def _elements(node) -> list[tuple[int, object]]:
+    """The (place, element) that ``node`` stands for: a list, an encoded list, a page of results, places as keys, or one element alone.
+
+    Places given as keys are kept as they are, however far apart. Encodings within encodings are opened to any depth.
+    """
+    while isinstance(node, str):
         inner = _decode(node)
-        return [node] if inner is None and node.strip() else _elements(inner, depth + 1) if not isinstance(inner, (int, float)) else [node]
+        if inner is None or isinstance(inner, (int, float)):
+            return [(0, node)] if node.strip() else []
+        node = inner
+    if isinstance(node, (list, tuple)):
+        return list(enumerate(node))
     if isinstance(node, dict):
         if isinstance(node.get("results"), (list, tuple)):
-            return list(node["results"])
+            return list(enumerate(node["results"]))
         if node and all(re.fullmatch(r"\d+", str(k)) for k in node):
-            places = {int(k): v for k, v in node.items()}
-            return [places.get(i) for i in range(max(places) + 1)] if max(places) < 10_000 else list(node.values())
-        return [node] if node else []
+            return sorted(((int(k), v) for k, v in node.items()), key=lambda e: e[0])
+        return [(0, node)] if node else []
     return []
 
 
-def _find(doc, name: str, depth: int = 0):
-    """The value of ``name`` (any case) in a document, below wrapping objects if need be."""
-    if isinstance(doc, str) and depth < 3:
-        doc = _decode(doc)
-    if isinstance(doc, (list, tuple)) and len(doc) == 1:
-        doc = doc[0]
-    if not isinstance(doc, dict):
-        return None
-    for k, v in doc.items():
-        if isinstance(k, str) and k.lower() == name:
-            return v
-    for k in ("data", "result", "record", "work"):
-        if depth < 3 and isinstance(doc.get(k), (dict, str, list)):
-            found = _find(doc[k], name, depth + 1)
-            if found is not None:
-                return found
+def _find(doc, name: str):
+    """The value of ``name`` (any case) in a document, below encodings and wrapping objects of any number; the nearest holds."""
+    level = [doc]
+    while level:
+        below = []
+        for d in level:
+            while isinstance(d, str) or isinstance(d, (list, tuple)) and len(d) == 1:
+                d = _decode(d) if isinstance(d, str) else d[0]
+            if not isinstance(d, dict):
+                continue
+            for k, v in d.items():
+                if isinstance(k, str) and k.lower() == name:
+                    return v
+            below += [d[k] for k in ("data", "result", "record", "work") if isinstance(d.get(k), (dict, str, list))]
+        level = below
     return None
 
 
@@ -147,7 +148,7 @@ def _topic(x) -> dict | None:
 
 def topic_lists(texts: pa.Array) -> pa.Array:
     """The topics of each document as one Arrow list array; a document without topics, or not readable as one, gives an empty list."""
-    return pa.array([[_topic(x) for x in _elements(_find(_decode(t), "topics"))] if t is not None and '"topics' in t.lower().replace("'", '"').replace("\\", "") else [] for t in texts.to_pylist()], pa.list_(_TOPIC))
+    return pa.array([[{"place": at, **(_topic(x) or {})} for at, x in _elements(_find(_decode(t), "topics"))] if t is not None and '"topics' in t.lower().replace("'", '"').replace("\\", "") else [] for t in texts.to_pylist()], pa.list_(_TOPIC))
 
 
 def flatten_topics(df: DataFrame, keys: list[str], column: str = "openalex_data") -> DataFrame:
@@ -161,10 +162,10 @@ def flatten_topics(df: DataFrame, keys: list[str], column: str = "openalex_data"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, row, (pos,) = walk(topic_lists(_whole(batch, column)), [])
+            flat, row, _ = walk(topic_lists(_whole(batch, column)), [])
             take = pa.array(row)
-            out = [_whole(batch, k).take(take) for k in keys] + [pa.array(pos.astype(np.int32))] + [pc.struct_field(flat, f.name) for f in _TOPIC]
-            yield pa.RecordBatch.from_arrays(out, names=[*keys, "pos_0", *(f.name for f in _TOPIC)])
+            out = [_whole(batch, k).take(take) for k in keys] + [pc.struct_field(flat, f.name) for f in _TOPIC]
+            yield pa.RecordBatch.from_arrays(out, names=[*keys, "pos_0", *(f.name for f in list(_TOPIC)[1:])])
 
     return taken.mapInArrow(emit, schema)
 

@@ -52,3 +52,19 @@ def test_empty_and_clashing_names(spark):
     df = spark.createDataFrame([(1, [("a", None)], None, None)], SCHEMA).selectExpr("*", "1 as pos_0", "2 as entity", "'x' as id", "3 as child_key")
     assert nested_keys(df).count() == 0
     assert [tuple(r) for r in flatten_child(df, ["rec_id"], "authors", [], {"name": "string"}).collect()] == [(1, 0, "a")]
+
+
+def test_places_and_depths_without_bounds(spark):
+    """Places far apart, many wrapping objects and encodings within encodings are all read."""
+    import json
+
+    far = json.dumps({"topics": {"20000": {"id": "T1"}, "3": {"id": "T2"}}})
+    deep = {"topics": [{"id": "T3"}]}
+    for i in range(7):
+        deep = {("data", "result", "record", "work")[i % 4]: deep}
+    coded = json.dumps([{"id": "T4"}])
+    for _ in range(6):
+        coded = json.dumps(coded)
+    rows = [(1, far), (2, json.dumps(deep)), (3, json.dumps({"topics": coded})), (4, json.dumps({"data": {"x": 1}})), (5, "[" * 50_000 + '"topics"')]
+    got = sorted((r["k"], r["pos_0"], r["id"]) for r in flatten_topics(spark.createDataFrame(rows, "k int, openalex_data string"), ["k"]).collect())
+    assert got == [(1, 3, "T2"), (1, 20000, "T1"), (2, 0, "T3"), (3, 0, "T4")]
