@@ -3,7 +3,8 @@
 Each source's quota of the total is its target share as far as repeating its texts at most the allowed number of times yields it; what it
 lacks is taken from the others in proportion to their targets. The total is cut into equal blocks; block ``k`` of a source of weight ``w``
 may not come before slot ``floor(k / w)`` and is due by slot ``ceil((k + 1) / w)``, and of the blocks released the earliest due comes next. So at
-every slot each source has had its share to within one block.
+every slot each source has had its share to within one block, and the text that a block ends in. Blocks are as many as texts, or a
+65,536th of the mix where there are more: the deviation is that share of the whole at most, at any size, and no long text makes it larger.
 """
 
 from __future__ import annotations
@@ -107,9 +108,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None) -> D
     if not used:
         return documents.sparkSession.createDataFrame([], empty)
     whole = sum(quota[s] for s in used)
-    longest = own.agg(F.max("tokens")).first()[0]
-    block = max(float(longest), whole / BLOCKS)  # a block has room for any text
-    count = max(1, math.ceil(whole / block))
+    texts = own.agg(F.count(F.lit(1))).first()[0]
+    count = max(1, min(BLOCKS, texts))
+    block = whole / count  # a text belongs to the block that it begins in, and may go on into the next
     slots = pfair([quota[s] / whole for s in used], count)
     order = np.zeros(count, np.int64)
     for k in range(len(used)):

@@ -1,8 +1,9 @@
 """Filling containers of fixed capacity with whole texts: lexical retrieval packing.
 
 Texts are put in shards of bounded size in which related ones are near each other. In a shard, a BM25 index returns the unused neighbours
-of each seed text, which fill the seed's container in order of score; what room they leave goes to the longest unused text that fits.
-Containers that are still short are emptied and packed again, all shards' leftovers together, until few enough remain for one shard.
+of each seed text, which fill the seed's container in order of score while any fits; only what room no neighbour fits goes to the longest
+unused text that does. Containers that are still short are emptied and packed again, all shards' leftovers together in the same lexical
+order, until few enough remain for one shard or a round fills no more.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 
 from scholion.llm.splitting import split
 from scholion.llm.tokens import TOKEN
-from scholion.tables import cut
+from scholion.tables import cut, spread
 
 CAPACITY = 2048
-#: Texts in a shard at most; the share of the capacity below which a container is emptied and packed again; most rounds of that.
-SHARD, FULL, ROUNDS = 3000, 0.97, 4
+#: Texts in a shard at most; the share of the capacity below which a container is emptied and packed again.
+SHARD, FULL = 3000, 0.97
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
@@ -92,9 +93,9 @@ def pack(texts: list[str], sizes: list[int], capacity: int = CAPACITY, average:
             scores = index.scores(seed)
             scores[~unused] = -1
             fits = np.flatnonzero((scores > 0) & (lengths <= room))
-            # only as many neighbours as can fill the room are taken in order of score; the tail of the room is left to what fits best
+            least = int(lengths[fits].min()) if len(fits) else 0
             for i in fits[np.lexsort((fits, -scores[fits]))]:
-                if room < 0.25 * capacity:
+                if room < least:
                     break
                 if lengths[i] <= room:
                     box.append(int(i))
@@ -140,12 +141,16 @@ def sized(documents: DataFrame, capacity: int, tokenizer_file: str | None = None
                         if all(k <= capacity for _, k in parts) or limit < 16:
                             break
                         limit = limit * 3 // 4
+                    while encode and any(k > capacity for _, k in parts):  # signs that are many tokens each: halves
+                        parts = [(y, encode(y)) for x, k in parts for y in ((x[: len(x) // 2], x[len(x) // 2 :]) if k > capacity and len(x) > 1 else (x,))]
+                        if all(len(x) == 1 for x, k in parts if k > capacity):
+                            break
                 for i, (x, k) in enumerate(parts):
                     words = [w for w in _WORD.findall(x.lower()) if len(w) > 5]
                     rows.append((d, i, x, k, min(words, key=lambda w: (hash_word(w), w), default="")))
             yield pd.DataFrame(rows, columns=["doc_id", "part", "text", "tokens", "word"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, part int, text string, tokens long, word string")
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, part int, text string, tokens long, word string")
 
 
 def hash_word(word: str) -> int:
@@ -154,10 +159,15 @@ def hash_word(word: str) -> int:
     return zlib.crc32(word.encode())
 
 
-def _packed(items: DataFrame, shards: int, capacity: int, average: float, number: int, keyed: bool) -> DataFrame:
-    """One round over range-partitioned shards: (box, doc_id, part, text, tokens, word, fill)."""
-    order = ["word", "salt"] if keyed else ["salt"]
-    placed = items.withColumn("salt", F.xxhash64("doc_id", "part", F.lit(number))).repartitionByRange(shards, *order).sortWithinPartitions(*order, "doc_id", "part")
+def _packed(items: DataFrame, shards: int, capacity: int, average: float, number: int) -> DataFrame:
+    """One round: (box, doc_id, part, text, tokens, word, fill). Texts of one lexical key are together, those of a hot key in as many parts as it fills shards.
+
+    Which texts meet depends on keys and ids alone, so a round gives the same containers whenever it is run.
+    """
+    hot = items.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("word", F.ceil(F.col("n") / SHARD).cast("int").alias("parts"))
+    split = F.pmod(F.xxhash64("doc_id", "part"), F.coalesce("parts", F.lit(1)))
+    placed = items.join(hot, "word", "left").withColumn("split", split).select("doc_id", "part", "text", "tokens", "word", "split")
+    placed = placed.repartition(shards, "word", "split").sortWithinPartitions(F.xxhash64("word"), "word", "split", "doc_id", "part").drop("split")
     kind = items.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +202,7 @@ def fill_containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer_fi
     """``(box, doc_id, part, tokens, fill)``: every text in one container, none over the capacity.
 
     Texts over the capacity are split at natural boundaries into parts that fit. Null texts have no row; texts without tokens take no room
-    but keep their row; repeated rows are packed each. Shards hold at most SHARD texts whatever the data's size, hot words are salted, and
+    but keep their row; repeated rows are packed each. Shards hold at most SHARD texts whatever the data's size, hot words are split, and
     the leftovers of all shards are packed again together.
     """
     items = cut(sized(documents, capacity, tokenizer_file))
@@ -201,17 +211,17 @@ def fill_containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer_fi
     if not n:
         return items.select(F.lit("").alias("box"), "doc_id", "part", "tokens", F.lit(0).cast("long").alias("fill"))
     done: list[DataFrame] = []
-    for number in range(ROUNDS):
+    number = 0
+    while True:
         shards = max(1, -(-n // (SHARD * 9 // 10)))
-        packed = cut(_packed(items, shards, capacity, average, number, number == 0))
-        if shards == 1 or number == ROUNDS - 1:
+        packed = cut(_packed(items, shards, capacity, average, number))
+        short = F.col("fill") < FULL * capacity
+        left = packed.where(short).count() if shards > 1 else 0
+        if not left or left > 0.9 * n:  # one shard, nothing short, or no more to be had
             done.append(packed)
             break
-        done.append(packed.where(F.col("fill") >= FULL * capacity))
-        items = packed.where(F.col("fill") < FULL * capacity).select("doc_id", "part", "text", "tokens", "word")
-        n = items.count()
-        if not n:
-            break
+        done.append(packed.where(~short))
+        items, n, number = packed.where(short).select("doc_id", "part", "text", "tokens", "word"), left, number + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -97,3 +97,46 @@ def test_mix_reaches_reachable_targets(spark):
     targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 2)], "source string, target_share double, max_repeats int")
     rep = {r["source"]: r["actual_share"] for r in shares(mix(df, targets), targets).collect()}
     assert rep == pytest.approx({"a": 0.3, "b": 0.7}, abs=0.01)
+
+
+def test_neighbours_fill_the_window():
+    """Nearly all room goes to neighbours by words; unrelated texts come in only where none fits."""
+    texts = [t for i in range(30) for t in ("ship sail sea harbour", "gene cell enzyme protein")]
+    boxes = pack(texts, [9] * 60, 90, 9.0)
+    alike = sum(i % 2 == b[0] % 2 for b in boxes for i in b[1:]) / sum(len(b) - 1 for b in boxes)
+    assert alike == 1.0
+
+
+def test_neighbours_against_a_global_index(spark):
+    """Of the neighbours in a text's container as many are among its nearest by one index over all texts as half again chance at the least."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").where("text is not null").collect()]
+    at = {d: i for i, (d, _) in enumerate(rows)}
+    sizes = np.array([len(TOKEN.findall(t)) for _, t in rows])
+    index = Index([t for _, t in rows], sizes, float(sizes.mean()))
+    boxes = {}
+    for r in fill_containers(docs).collect():
+        if r["doc_id"] in at:
+            boxes.setdefault(r["box"], set()).add(at[r["doc_id"]])
+    near = total = 0
+    for b in list(boxes.values())[:60]:
+        seed = max(b, key=lambda i: sizes[i])
+        if len(b) > 1:
+            top = set(np.argsort(-index.scores(seed))[: len(rows) // 4].tolist())
+            near += len((b - {seed}) & top)
+            total += len(b) - 1
+    assert near / total > 0.375, near / total
+
+
+def test_packing_is_the_same_each_time(spark):
+    df = spark.createDataFrame([(i, f"word{i % 7} other{i % 11} thing " * (i % 13 + 1)) for i in range(400)], "doc_id long, text string")
+    assert sorted(map(tuple, fill_containers(df, 64).collect())) == sorted(map(tuple, fill_containers(df.repartition(5), 64).collect()))
+
+
+def test_one_long_text_does_not_coarsen_the_mix(spark):
+    """With a text of a third of the tokens the others still alternate to within a block and a text."""
+    docs = [(i, f"words number {i} here", "a" if i % 2 else "b") for i in range(400)] + [(1000, "long " * 700, "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    got = mix(df, targets).collect()
+    assert len({r["slot"] for r in got}) > 100
