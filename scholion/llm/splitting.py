@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholion.llm.tokens import TOKEN
+from scholion.tables import spread
 
 LIMIT, OVERLAP = 600, 60
 #: Tokens on either side of a gap whose words are compared; the share of the limit that a piece reaches before a cut is looked for.
@@ -86,10 +87,10 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     Consecutive pieces share at most ``overlap`` tokens. A text within the limit is one piece, whole. Where no boundary lies in the window
     the cut falls between two tokens. Runs in time linear in the text but for the depth of valleys.
     """
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    n = len(spans)
+    n = len(TOKEN.findall(text))
     if n <= limit:
         return [(0, len(text), n)]
+    spans = [m.span() for m in TOKEN.finditer(text)]
     starts = [s for s, _ in spans]
     kinds: dict[int, int] = {}
     for at, kind in boundaries(text).items():
@@ -137,7 +138,7 @@ def split_texts(df: DataFrame, key: str, text: str, offset: str | None = None, l
                 rows += [(k, i, len(parts), whole[s:e], t, base + s, base + e) for i, (s, e, t) in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["key", "piece", "pieces", "text", "token_count", "char_start", "char_end"])
 
-    out = taken.mapInPandas(run, f"key {kind}, piece int, pieces int, text string, token_count int, char_start long, char_end long")
+    out = spread(taken).mapInPandas(run, f"key {kind}, piece int, pieces int, text string, token_count int, char_start long, char_end long")
     return out.withColumnRenamed("key", key)
 
 
