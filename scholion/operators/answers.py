@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholion.functions.text import GREETINGS, looks_like_identifier, marked_claims, repeats, shannon_entropy, vowel_ratio
+from scholion.functions.text import GREETINGS, looks_like_identifier, marked_claims, normalize_doi, question_key, repeats, shannon_entropy, vowel_ratio
 from scholion.operators.search import rrf
 
 
@@ -140,6 +140,33 @@ def query_plan(answer: Column | str, question: Column | str) -> Column:
     )
 
 
+def validation_export(checks: DataFrame, messages: DataFrame, questions: DataFrame, papers: DataFrame) -> DataFrame:
+    """Rows of answer validation for other tools: (id, dataset, question, answer, contexts, paper_ids, truth_ids, doi, key_passage, ground_truth).
+
+    ``checks`` is (id, question, message, context, status), ``messages`` (message, content), ``questions`` (dataset, priority, text, doi array,
+    key_passage, ideal), ``papers`` (paper, doi). A completed check is matched to the question of equal words, that of the smallest
+    priority first; checks without a question, answer or context are left out. The true ids are the numbers that the context's legend gives
+    the question's DOIs or, if it has none of them, the papers of these DOIs, in their order and each once.
+    """
+    own = questions.select(question_key("text").alias("asked"), F.struct("dataset", F.transform(F.coalesce("doi", F.array().cast("array<string>")), lambda d: normalize_doi(d)).alias("doi"), "key_passage", "ideal").alias("q"), "priority")
+    own = own.where("asked <> ''").groupBy("asked").agg(F.min_by("q", F.struct("priority", "q")).alias("q"))
+    c = checks.where("status = 'completed'").withColumn("asked", question_key("question")).join(own, "asked").join(messages, "message", "left")
+    c = c.withColumn("answer", F.trim(F.coalesce("content", F.lit("")))).withColumn("contexts", context_passages("context")).where((F.col("answer") != "") & (F.size("contexts") > 0))
+    dois = F.array_distinct(F.filter("q.doi", lambda d: d.isNotNull()))
+    legend = F.transform(context_legend("context"), lambda l: F.struct(normalize_doi(l["doi"]).alias("doi"), l["number"].alias("number")))
+    c = c.withColumn("doi", dois).withColumn("legend", legend)
+    numbered = F.flatten(F.transform("doi", lambda d: F.transform(F.filter("legend", lambda l: l["doi"] == d), lambda l: l["number"].cast("string"))))
+    known = papers.select("paper", normalize_doi("doi").alias("d")).where("d is not null")
+    listed = c.select("id", F.posexplode("doi").alias("pos", "d")).join(known, "d").groupBy("id", "paper").agg(F.min("pos").alias("pos")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "paper"))), lambda x: x["paper"]).alias("papers"))
+    c = c.withColumn("numbered", F.array_distinct(numbered)).join(listed, "id", "left")
+    truth = F.when(F.size("numbered") > 0, F.col("numbered")).otherwise(F.coalesce("papers", F.array().cast("array<string>")))
+    passage = F.trim(F.coalesce("q.key_passage", F.lit("")))
+    return c.select(
+        "id", F.col("q.dataset").alias("dataset"), F.trim("question").alias("question"), "answer", "contexts", F.transform(context_sources("context"), lambda n: n.cast("string")).alias("paper_ids"), truth.alias("truth_ids"), "doi", passage.alias("key_passage"),
+        F.trim(F.coalesce(F.nullif("q.ideal", F.lit("")), passage)).alias("ground_truth"),
+    )
+
+
 def route(paper_ids: Column) -> Column:
     """``scoped`` where a list of paper ids with any that isn't blank is given, else ``database``."""
     return F.when(F.exists(F.coalesce(paper_ids, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != "")), "scoped").otherwise("database")

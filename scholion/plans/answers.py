@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholion.functions.text import GREETINGS
 from scholion.functions.text import scoped_citations as scoped
 from scholion.operators import answers as A
+from scholion.operators.listings import lacking
 from scholion.operators.search import bm25, cosine_topk
 from scholion.plans import corpus as C
 from scholion.plans.search import RANKED, bm25_sql, cosine_sql, vector_queries
@@ -51,9 +52,11 @@ def value_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("mean", F.round("mean", 9)).withColumn("median", F.round("median", 9))
 
 
-def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contexts of the stated queries: the five papers of nearest title and their first twenty chunks."""
+def _contexts(spark: SparkSession, sf_dir: str, with_dois: bool = False) -> DataFrame:
+    """Contexts of the stated queries: the five papers of nearest title and their first twenty chunks; papers' ids stand for DOIs on request."""
     p, c = cut(C.papers(spark, sf_dir)), C.chunks(spark, sf_dir)
+    if with_dois:
+        p = p.withColumn("doi", F.concat(F.lit("10.1234/"), F.lower("paper")))
     hits = cut(bm25(C.questions(spark, sf_dir), p, "paper", {"title": 1.0}, 5).select("query_id", "rank", F.col("key").alias("paper")))
     top = Window.partitionBy("query_id").orderBy("chunk_id")
     own = hits.select("query_id", "paper").join(c, "paper").withColumn("rank", F.row_number().over(top)).where("rank <= 20")
@@ -80,6 +83,18 @@ def context_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("query_id", F.size(A.context_passages("context")).alias("passages"), F.array_join(A.context_sources("context"), ",").alias("sources"))
 
 
+def validation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated titles as questions of two datasets, their venues as answers; every other question asks for its own paper, the others for an unknown one."""
+    r = table(spark, sf_dir, "paper_records").where("rec_id % 50 = 0 and title is not null")
+    checks = cut(_contexts(spark, sf_dir, True)).join(r.select(F.col("rec_id").alias("query_id"), F.upper("title").alias("question")), "query_id").select(F.col("query_id").alias("id"), "question", F.col("query_id").alias("message"), "context", F.when(F.col("query_id") % 350 == 0, "failed").otherwise("completed").alias("status"))
+    own = F.concat(F.lit("https://doi.org/10.1234/"), F.coalesce("paper_id", F.lit("none")))
+    q = r.select(F.explode(F.array(F.struct(F.lit("litqa").alias("dataset"), F.lit(0).alias("priority")), F.struct(F.lit("scifact").alias("dataset"), F.lit(1).alias("priority")))).alias("d"), F.col("title").alias("text"), F.array(F.when(F.col("rec_id") % 100 == 0, own).otherwise("10.1234/w98000000001"), F.lit("none")).alias("doi"), F.col("venue").alias("key_passage"), F.lit("").alias("ideal"), "rec_id")
+    q = q.where("d.dataset = 'scifact' or rec_id % 150 = 0").select("d.dataset", "d.priority", "text", "doi", "key_passage", "ideal")
+    p = C.papers(spark, sf_dir).select("paper", F.concat(F.lit("10.1234/"), F.lower("paper")).alias("doi"))
+    e = A.validation_export(checks, r.select(F.col("rec_id").alias("message"), F.col("venue").alias("content")), q, p)
+    return e.select("id", "dataset", "answer", F.size("contexts").alias("contexts"), F.array_join("paper_ids", ",").alias("paper_ids"), F.array_join("truth_ids", ",").alias("truth_ids"), F.array_join("doi", ",").alias("doi"), "ground_truth")
+
+
 def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans read from answers of several shapes, built from records: whole, with fields of a wrong kind, and no JSON at all."""
     r = table(spark, sf_dir, "paper_records")
@@ -130,13 +145,11 @@ def null_as_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest records of each kind that lack something: a nested document, authors, or a venue."""
-    r = table(spark, sf_dir, "paper_records")
-    kinds = F.array_compact(F.array(F.when(F.col("openalex_data").isNull(), F.lit("document")), F.when(F.coalesce(F.size("authors"), F.lit(0)) <= 0, F.lit("authors")), F.when(F.coalesce(F.trim("venue"), F.lit("")) == "", F.lit("venue"))))
-    w = Window.partitionBy("kind").orderBy(F.col("created_at").desc_nulls_last(), "rec_id")
-    return r.select("rec_id", "created_at", F.explode(kinds).alias("kind")).withColumn("n", F.row_number().over(w)).where("n <= 20").select("kind", "rec_id")
+    kinds = {"document": F.col("openalex_data").isNull(), "authors": F.coalesce(F.size("authors"), F.lit(0)) <= 0, "venue": F.coalesce(F.trim("venue"), F.lit("")) == ""}
+    return lacking(table(spark, sf_dir, "paper_records"), kinds, [F.col("created_at").desc_nulls_last(), F.col("rec_id")], 20).select("kind", "rec_id")
 
 
-QUERIES = {f.__name__: f for f in (boosted_similarity, valid_rows, claims_by_source, scoped_citations, id_groups, value_spread, assembled_context, context_evidence, context_legend, context_passages, query_plans, gibberish, fenced_json, new_queries, merged_rounds, null_as_zero, to_do)}
+QUERIES = {f.__name__: f for f in (boosted_similarity, valid_rows, claims_by_source, scoped_citations, id_groups, value_spread, assembled_context, context_evidence, context_legend, context_passages, validation_export, query_plans, gibberish, fenced_json, new_queries, merged_rounds, null_as_zero, to_do)}
 
 _SCOPED = "\\(cite:([^|)]+)\\|([^|)]+)(?:\\|(\\d+)\\|(\\d+))?\\)"
 _ANSWER = "SELECT rec_id AS id, coalesce(title, '') || ' (cite:' || coalesce(paper_id, 'none') || '). ' || coalesce(venue, '') || ' (cite:' || coalesce(paper_id, 'none') || ') and so on (cite:' || source || '|C' || rec_id || '|3|41) (cite:a|b) (cite:7) (cite:12)' AS answer FROM paper_records"
@@ -149,6 +162,9 @@ _CONTEXT = f"""WITH {C.PAPERS}, {C.CHUNKS}, {C.QUESTIONS}, {bm25_sql('b', 'SELEC
       ctx AS (SELECT l2.query_id, '{A.LEGEND}' || chr(10) || l2.t || chr(10) || chr(10) || '{A.CONTENT}' || chr(10) || coalesce(c2.t, '') AS context, CAST(l2.n AS INT) AS papers, CAST(coalesce(c2.n, 0) AS INT) AS chunks FROM l2 LEFT JOIN c2 ON c2.query_id = l2.query_id)"""
 
 
+_CONTEXT_DOI = _CONTEXT.replace("pp.year, pp.doi, pp.quartile", "pp.year, '10.1234/' || lower(pp.paper) AS doi, pp.quartile")
+
+
 def _named(patterns: tuple[str, ...]) -> str:
     parts = [f"regexp_extract_all(context, '{p}', 1)" for p in patterns]
     out = parts[0]
@@ -169,6 +185,11 @@ SQL = {
     "context_evidence": f"{_CONTEXT}, n AS (SELECT query_id, 'paper' AS kind, unnest({_named(A.PAPER_NAMES)}) AS named FROM ctx UNION ALL SELECT query_id, 'chunk', unnest({_named(A.CHUNK_NAMES)}) FROM ctx) SELECT DISTINCT query_id, kind, regexp_replace(trim(named, ' '), '^,+|,+$', '', 'g') AS named FROM n",
     "context_legend": f"{_CONTEXT} SELECT query_id, number, trim(title, ' ') || ' (' || coalesce(CAST(year AS VARCHAR), 'N/A') || ')' AS title, coalesce(doi, 'N/A') AS doi, coalesce(quartile, 'N/A') AS apa FROM lg",
     "context_passages": f"{_CONTEXT} SELECT ctx.query_id, chunks AS passages, coalesce(s, '') AS sources FROM ctx LEFT JOIN (SELECT query_id, string_agg(CAST(number AS VARCHAR), ',' ORDER BY f) AS s FROM (SELECT query_id, number, min(r) AS f FROM ch GROUP BY 1, 2) GROUP BY 1) x ON x.query_id = ctx.query_id",
+    "validation_export": f"""{_CONTEXT_DOI}, r AS (SELECT * FROM paper_records WHERE rec_id % 50 = 0 AND title IS NOT NULL), qs AS (SELECT lower(trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')) AS k, CASE WHEN rec_id % 150 = 0 THEN 0 ELSE 1 END AS pr, CASE WHEN rec_id % 150 = 0 THEN 'litqa' ELSE 'scifact' END AS dataset, CASE WHEN rec_id % 100 = 0 THEN '10.1234/' || lower(coalesce(paper_id, 'none')) ELSE '10.1234/w98000000001' END AS doi, trim(coalesce(venue, ''), ' ') AS kp FROM r),
+      q1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pr, doi, kp) AS n FROM qs) WHERE n = 1), ck AS (SELECT ctx.query_id AS id, lower(trim(regexp_replace(upper(r.title), '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')) AS k, ctx.context, ctx.chunks, trim(coalesce(r.venue, ''), ' ') AS answer FROM ctx JOIN r ON r.rec_id = ctx.query_id WHERE ctx.query_id % 350 <> 0),
+      so AS (SELECT query_id, string_agg(CAST(number AS VARCHAR), ',' ORDER BY f) AS s FROM (SELECT query_id, number, min(r) AS f FROM ch GROUP BY 1, 2) GROUP BY 1), nu AS (SELECT ck.id, string_agg(CAST(lg.number AS VARCHAR), ',' ORDER BY lg.number) AS t FROM ck JOIN q1 ON q1.k = ck.k JOIN lg ON lg.query_id = ck.id AND lower(lg.doi) = q1.doi GROUP BY 1),
+      pa AS (SELECT '10.1234/' || lower(paper) AS doi, string_agg(paper, ',' ORDER BY paper) AS t FROM pp GROUP BY 1)
+      SELECT ck.id, q1.dataset, ck.answer, CAST(ck.chunks AS INT) AS contexts, coalesce(so.s, '') AS paper_ids, coalesce(nu.t, pa.t, '') AS truth_ids, q1.doi, q1.kp AS ground_truth FROM ck JOIN q1 ON q1.k = ck.k LEFT JOIN so ON so.query_id = ck.id LEFT JOIN nu ON nu.id = ck.id LEFT JOIN pa ON pa.doi = q1.doi WHERE ck.answer <> '' AND ck.chunks > 0""",
     "query_plans": "WITH p AS (SELECT *, rec_id % 4 AS k FROM paper_records) SELECT rec_id, trim(CASE WHEN k = 0 THEN coalesce(nullif(venue, ''), coalesce(title, '')) ELSE coalesce(title, '') END, ' ') AS question, CASE WHEN k = 0 THEN coalesce(array_to_string(list_filter(list_transform(fields_of_study, lambda x: trim(x, ' ')), lambda x: x <> ''), '|'), '') ELSE '' END AS queries, CAST(0 AS INT) AS papers, CASE WHEN k = 0 THEN 'author_papers' ELSE 'comprehensive_search' END AS intent, CASE k WHEN 0 THEN 'a' WHEN 1 THEN 'a|b' ELSE '' END AS skip, k IN (0, 1) AS has_doi FROM p",
     "gibberish": f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), u AS (SELECT list(word) AS ws FROM w WHERE length(word) > 1), t AS (SELECT row_id, trim(CASE row_id % 3 WHEN 0 THEN name WHEN 1 THEN openalex_id ELSE substr(name, 1, 4) END, ' ') AS t FROM author_records), e AS (SELECT row_id, unnest(regexp_extract_all(lower(t), '[a-z]+')) AS word FROM t), s AS (SELECT e.row_id, avg(CASE WHEN length(e.word) > 1 AND w.word IS NOT NULL THEN 1 ELSE 0 END) AS share FROM e LEFT JOIN w ON w.word = e.word GROUP BY 1), p AS (SELECT t.row_id, t.t, coalesce(s.share, 0) AS share, regexp_replace(lower(t.t), '[^a-z]', '', 'g') AS l, string_split(replace(t.t, ' ', ''), '') AS c FROM t LEFT JOIN s ON s.row_id = t.row_id), v AS (SELECT *, CASE WHEN length(l) = 0 THEN 0 WHEN length(l) < 3 THEN 1 ELSE length(regexp_replace(l, '[^aeiou]', '', 'g')) / length(l) END AS v, length(regexp_replace(l, '[^aeiou]', '', 'g')) / nullif(length(l), 0) AS v2 FROM p), x AS (SELECT *, CAST(v < 0.2 OR v > 0.9 AS INT) + CAST(share < 0.3 AS INT) + CAST(coalesce(list_aggregate(c, 'entropy'), 0) > 4.5 AS INT) + CAST(length(l) > 5 AND NOT regexp_matches(l, '[aeiou]') AS INT) + CAST(len(list_filter(list_distinct(c), lambda y: y <> '' AND contains(t, repeat(y, 5)))) > 0 AS INT) AS score FROM v) SELECT row_id, coalesce(t = '' OR length(t) <= 2 OR lower(t) IN {GREETINGS} OR regexp_matches(t, '^[a-zA-Z_][a-zA-Z0-9_]*\\d+') OR ((contains(t, '_') OR regexp_matches(lower(t), '[a-z][0-9]|[0-9][a-z]')) AND length(l) > 2 AND v2 < 0.25) OR (length(t) <= 5 AND lower(t) NOT IN (SELECT word FROM w WHERE length(word) > 1)) OR score >= 2, true) AS gibberish, CAST(coalesce(score, 0) AS INT) AS score FROM x",
     "fenced_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
