@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholion.operators import context as C
@@ -90,12 +90,13 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Author lists of repeated deliveries of a paper, the smallest row id against the largest."""
+    """Author lists of every delivery of a paper against those of the next."""
     r = table(spark, sf_dir, "paper_records").where("paper_id is not null")
-    ends = r.groupBy("paper_id").agg(F.min("rec_id").alias("a"), F.max("rec_id").alias("b")).where("a < b")
+    steps = r.select("rec_id", F.lead("rec_id").over(Window.partitionBy("paper_id").orderBy("rec_id")).alias("next")).where("next is not null")
     names = r.select("rec_id", F.posexplode("authors").alias("pos", "x")).select("rec_id", "pos", F.col("x.name").alias("name"))
-    side = lambda c: ends.select(F.col("paper_id").alias("paper"), F.col(c).alias("rec_id")).join(names, "rec_id").select("paper", "pos", "name")
-    return I.align_authors(side("a"), side("b"))
+    left = steps.select(F.col("rec_id").alias("paper"), "rec_id").join(names, "rec_id").select("paper", "pos", "name")
+    right = steps.select(F.col("rec_id").alias("paper"), F.col("next").alias("rec_id")).join(names, "rec_id").select("paper", "pos", "name")
+    return I.align_authors(left, right)
 
 
 def authorships(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +186,7 @@ SQL = {
     "event_sequence": "SELECT event_id, user_id, sequence FROM (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events) WHERE ts >= TIMESTAMP '2024-01-16'",
     "section_groups": "SELECT id, paper_id, CAST(sum(CASE WHEN label = 'section_header' THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY id) AS BIGINT) AS section FROM paper_chunks WHERE paper_id IS NOT NULL",
     "page_anchors": "WITH s AS (SELECT id, paper_id, page_number, last_value(CASE WHEN label = 'section_header' THEN section_title END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY id) AS anchor FROM paper_chunks WHERE paper_id IS NOT NULL), m AS (SELECT paper_id, page_number, min(id) AS id FROM s WHERE page_number IS NOT NULL GROUP BY 1, 2) SELECT m.paper_id, m.page_number, s.anchor FROM m JOIN s ON s.id = m.id",
-    "aligned_authors": """WITH n AS (SELECT paper_id, min(rec_id) AS a, max(rec_id) AS b FROM paper_records WHERE paper_id IS NOT NULL GROUP BY 1 HAVING min(rec_id) < max(rec_id)),
+    "aligned_authors": """WITH n AS (SELECT rec_id AS paper_id, rec_id AS a, lead(rec_id) OVER (PARTITION BY paper_id ORDER BY rec_id) AS b FROM paper_records WHERE paper_id IS NOT NULL),
       s AS (SELECT rec_id, pos, nullif(lower(list_extract(string_split_regex(trim(name, ' '), '\\s+'), -1)), '') AS s FROM (SELECT rec_id, generate_subscripts(authors, 1) - 1 AS pos, unnest(authors).name AS name FROM paper_records)),
       h AS (SELECT n.paper_id AS paper, x.pos AS l, y.pos AS r, CASE y.pos - x.pos WHEN 0 THEN 0 WHEN -1 THEN 1 WHEN 1 THEN 2 END AS t FROM n JOIN s x ON x.rec_id = n.a JOIN s y ON y.rec_id = n.b AND y.s = x.s AND abs(y.pos - x.pos) <= 1)
       SELECT paper, CAST(l AS INT) AS left_pos, CAST(arg_min(r, t) AS INT) AS right_pos FROM h GROUP BY paper, l""",

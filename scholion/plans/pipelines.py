@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholion.functions import score as S
 from scholion.functions.scorers import best_tags, chunk_text, embedding, paper_text, tag_scores
+from scholion.functions.text import overlap_ratio
 from scholion.operators import chunking as H
 from scholion.operators import pipelines as P
 from scholion.operators.answers import route
@@ -38,15 +39,20 @@ def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.evidence_links(c.where("label = 'list_item'"), c.where("label = 'text'"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), "text")
+
+
 def rank_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "paper_records").join(best_journal(spark, sf_dir), "venue", "left")
-    rel = F.pmod("rec_id", F.lit(101)) / 100.0
+    """Records by the share of their title's words in the text of the same number, citations and quartile."""
+    r = table(spark, sf_dir, "paper_records").join(best_journal(spark, sf_dir), "venue", "left").join(_texts(spark, sf_dir), "rec_id", "left")
+    rel = overlap_ratio("title", "text")
     return r.select("rec_id", F.round(S.paper_rank(rel, F.col("citation_count"), F.col("quartile")), 6).alias("score"))
 
 
 def rank_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "paper_records").join(best_journal(spark, sf_dir), "venue", "left")
-    ev = F.pmod("rec_id", F.lit(101)) / 100.0
+    r = table(spark, sf_dir, "paper_records").join(best_journal(spark, sf_dir), "venue", "left").join(_texts(spark, sf_dir), "rec_id", "left")
+    ev = F.coalesce(overlap_ratio("title", "text"), F.lit(0.0))
     return r.select("rec_id", F.round(S.paper_rank_decayed(ev, F.col("citation_count"), F.col("year"), F.col("quartile"), AS_OF), 6).alias("score"))
 
 
@@ -83,9 +89,11 @@ def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conflict_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the smallest and largest row of each cluster against each other."""
-    a = table(spark, sf_dir, "author_records").groupBy("cluster_id").agg(F.min_by(F.struct("citation_count", "h_index"), "row_id").alias("x"), F.max_by(F.struct("citation_count", "h_index"), "row_id").alias("y"))
-    return a.select("cluster_id", S.conflict(F.col("x.citation_count"), F.col("y.citation_count")).alias("citations"), S.conflict(F.col("x.h_index"), F.col("y.h_index"), 0.5, False).alias("h_index"))
+    """Largest counts that one provider gives of a cluster against the largest that the others give."""
+    first = F.col("source") == "openalex"
+    side = lambda c, own: F.max(F.when(own, F.col(c)))
+    a = table(spark, sf_dir, "author_records").groupBy("cluster_id").agg(side("citation_count", first).alias("c1"), side("citation_count", ~first).alias("c2"), side("h_index", first).alias("h1"), side("h_index", ~first).alias("h2"))
+    return a.select("cluster_id", S.conflict(F.col("c1"), F.col("c2")).alias("citations"), S.conflict(F.col("h1"), F.col("h2"), 0.5, False).alias("h_index"))
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -221,9 +229,9 @@ QUERIES = {
 }
 
 _J = C.JOURNAL
-_REL = "((rec_id % 101) / 100.0)"
 _OV = "CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b})) / len({a}) ELSE 0 END"
 _TOKS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+_REL = "(" + _OV.format(a=_TOKS.format("coalesce(r.title, '')"), b=_TOKS.format("coalesce(d.text, '')")) + ")"
 _VIRTUAL = "vv AS (SELECT paper, chunk_id, text FROM cc UNION ALL SELECT paper, paper || '_abstract', abstract FROM pp WHERE paper NOT IN (SELECT paper FROM cc) AND trim(abstract, ' ') <> '')"
 _RANK = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {0}) AS INT) AS rank"
 _COS = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
@@ -273,8 +281,8 @@ SQL = {
       h AS (SELECT e.doc, e.id AS evidence, t.id AS text_id, coalesce(abs(e.page - t.page), 99) AS far, CASE abs(e.page - t.page) WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0 END + CASE WHEN e.key = '' OR t.key = '' THEN 0 WHEN e.key = t.key THEN 4.0 WHEN contains(e.key, t.key) OR contains(t.key, e.key) THEN 2.0 ELSE 0 END AS score
             FROM c e JOIN c t ON t.doc = e.doc AND t.label = 'text' WHERE e.label = 'list_item')
       SELECT doc, evidence, text_id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc, evidence ORDER BY score DESC, far, text_id) AS INT) AS rank FROM h WHERE score > 0) WHERE rank <= 3""",
-    "rank_v1": f"WITH p AS (SELECT rec_id, 100 * {_REL} AS rel, least(70, 20 * log10(coalesce(citation_count, 0) + 1)) + CASE quartile WHEN 'Q1' THEN 30 WHEN 'Q2' THEN 15 WHEN 'Q3' THEN 5 ELSE 0 END AS auth FROM paper_records r LEFT JOIN {_J} j ON j.venue = r.venue) SELECT rec_id, round(0.7 * rel + 0.3 * CASE WHEN rel < 30 THEN auth * rel / 30 ELSE auth END, 6) AS score FROM p",
-    "rank_v2": f"SELECT rec_id, round({_REL} * least(1.3, 1 + 0.1 * log10(1 + coalesce(citation_count, 0))) * CASE WHEN year IS NULL THEN 1 ELSE exp(-0.15 * greatest(0, 2025 - year)) END * CASE quartile WHEN 'Q1' THEN 1.15 WHEN 'Q2' THEN 1 ELSE 0.9 END, 6) AS score FROM paper_records r LEFT JOIN {_J} j ON j.venue = r.venue",
+    "rank_v1": f"WITH p AS (SELECT rec_id, 100 * {_REL} AS rel, least(70, 20 * log10(coalesce(citation_count, 0) + 1)) + CASE quartile WHEN 'Q1' THEN 30 WHEN 'Q2' THEN 15 WHEN 'Q3' THEN 5 ELSE 0 END AS auth FROM paper_records r LEFT JOIN {_J} j ON j.venue = r.venue LEFT JOIN documents d ON d.doc_id = r.rec_id) SELECT rec_id, round(0.7 * rel + 0.3 * CASE WHEN rel < 30 THEN auth * rel / 30 ELSE auth END, 6) AS score FROM p",
+    "rank_v2": f"SELECT rec_id, round({_REL} * least(1.3, 1 + 0.1 * log10(1 + coalesce(citation_count, 0))) * CASE WHEN year IS NULL THEN 1 ELSE exp(-0.15 * greatest(0, 2025 - year)) END * CASE quartile WHEN 'Q1' THEN 1.15 WHEN 'Q2' THEN 1 ELSE 0.9 END, 6) AS score FROM paper_records r LEFT JOIN {_J} j ON j.venue = r.venue LEFT JOIN documents d ON d.doc_id = r.rec_id",
     "citation_quality": "SELECT rec_id, round(least(100, CASE WHEN coalesce(citation_count, 0) > 0 THEN least(40, 10 * log10(citation_count + 1)) ELSE 0 END + CASE WHEN reference_count IS NULL THEN 0 ELSE least(30, 10 * (reference_count / 50.0)) END + CASE WHEN year IS NOT NULL AND coalesce(citation_count, 0) > 0 THEN least(15, 5 * log10(citation_count / greatest(1, 2025 - year) + 1)) ELSE 0 END + CASE WHEN rec_id % 101 >= 99 THEN 10 WHEN rec_id % 101 >= 95 THEN 7 WHEN rec_id % 101 >= 90 THEN 5 ELSE 0 END + CASE WHEN coalesce(is_open_access, false) THEN 5 ELSE 0 END), 6) AS score FROM paper_records",
     "venue_prestige": f"""SELECT rec_id, round(CASE WHEN j.venue IS NOT NULL THEN least(100, 20 + CASE quartile WHEN 'Q1' THEN 50 WHEN 'Q2' THEN 35 WHEN 'Q3' THEN 20 WHEN 'Q4' THEN 10 ELSE 0 END + CASE WHEN h_index > 200 THEN 20 WHEN h_index > 100 THEN 15 WHEN h_index > 50 THEN 10 WHEN h_index > 20 THEN 5 ELSE 0 END
       + CASE WHEN sjr_score * 4 > 10 THEN 15 WHEN sjr_score * 4 > 5 THEN 10 WHEN sjr_score * 4 > 2 THEN 5 ELSE 0 END + CASE WHEN sjr_score > 2 THEN 10 WHEN sjr_score > 1 THEN 5 ELSE 0 END + CASE WHEN coalesce(is_open_access, false) THEN 5 ELSE 0 END)
@@ -283,7 +291,7 @@ SQL = {
     "author_reputation": "SELECT row_id, round(least(100, 20 + least(30, 2 * coalesce(h_index, 0)) + CASE WHEN citation_count > 0 THEN 4 * log10(citation_count + 1) ELSE 0 END + CASE WHEN paper_count > 0 THEN least(15, 3 * log10(paper_count + 1)) ELSE 0 END), 6) AS score FROM author_records",
     "institution_reputation": "WITH a AS (SELECT rec_id, unnest(authors) AS a FROM paper_records), i AS (SELECT rec_id, unnest(a.institutions) AS i FROM a) SELECT rec_id, round(least(100, max(40.0 + CASE WHEN i.type = 'education' THEN 10 ELSE 0 END) + least(10, count(DISTINCT i.country_code) * 2) + least(5, count(DISTINCT i.id))), 6) AS score FROM i WHERE i IS NOT NULL GROUP BY rec_id",
     "diversity": "SELECT rec_id, round(least(100.0, 50.0 + CASE WHEN 2025 - year <= 2 THEN 20 WHEN 2025 - year <= 5 THEN 10 WHEN 2025 - year <= 10 THEN 5 ELSE 0 END + CASE WHEN len(t) > 0 THEN least(20, 5 * len(list_filter(t, lambda x: x NOT IN ('Medicine', 'Biology')))) ELSE 0 END + CASE WHEN coalesce(is_open_access, false) THEN 10 ELSE 0 END), 6) AS score FROM (SELECT *, coalesce(list_distinct(fields_of_study), []) AS t FROM paper_records)",
-    "conflict_flags": "WITH e AS (SELECT cluster_id, min(row_id) AS a, max(row_id) AS b FROM author_records GROUP BY 1), v AS (SELECT e.cluster_id, x.citation_count AS c1, y.citation_count AS c2, x.h_index AS h1, y.h_index AS h2 FROM e JOIN author_records x ON x.row_id = e.a JOIN author_records y ON y.row_id = e.b) SELECT cluster_id, CASE WHEN c1 IS NULL AND c2 IS NULL THEN false WHEN c1 IS NULL OR c2 IS NULL THEN true WHEN greatest(c1, c2) = 0 THEN false ELSE abs(c1 - c2) / greatest(c1, c2) >= 0.6 END AS citations, CASE WHEN h1 IS NULL OR h2 IS NULL THEN false WHEN greatest(h1, h2) = 0 THEN false ELSE abs(h1 - h2) / greatest(h1, h2) >= 0.5 END AS h_index FROM v",
+    "conflict_flags": "WITH v AS (SELECT cluster_id, max(citation_count) FILTER (source = 'openalex') AS c1, max(citation_count) FILTER (source <> 'openalex') AS c2, max(h_index) FILTER (source = 'openalex') AS h1, max(h_index) FILTER (source <> 'openalex') AS h2 FROM author_records GROUP BY 1) SELECT cluster_id, CASE WHEN c1 IS NULL AND c2 IS NULL THEN false WHEN c1 IS NULL OR c2 IS NULL THEN true WHEN greatest(c1, c2) = 0 THEN false ELSE abs(c1 - c2) / greatest(c1, c2) >= 0.6 END AS citations, CASE WHEN h1 IS NULL OR h2 IS NULL THEN false WHEN greatest(h1, h2) = 0 THEN false ELSE abs(h1 - h2) / greatest(h1, h2) >= 0.5 END AS h_index FROM v",
     "virtual_chunks": f"WITH {C.PAPERS}, {C.CHUNKS}, {_VIRTUAL} SELECT paper, chunk_id, CAST(length(text) AS INT) AS n FROM vv",
     "database_pipeline": f"{_DATABASE} SELECT query_id, paper, round(score, 6) AS score, rank FROM best",
     "database_chunks": f"{_DATABASE}, kept AS (SELECT a.* FROM again a JOIN best b ON b.query_id = a.query_id AND b.paper = a.paper) SELECT query_id, paper, key AS chunk_id, round(score, 6) AS score, rank FROM ({_top('kept', 20)})",
