@@ -296,9 +296,8 @@ def resolve(profiles: DataFrame) -> DataFrame:
         ranked = scored.groupBy("p").agg(F.min_by(F.struct("q", "score", "qf"), F.struct(-F.col("score"), "q")).alias("best"))
         told = scored.join(_plain(ranked), "p").withColumn("rival", F.expr("q <> best.q and score >= best.score - 0.5 and qf is not null and (best.qf is null or qf <> best.qf)"))
         merge = told.groupBy("p").agg(F.max(F.coalesce("rival", F.lit(False))).alias("rival"), F.any_value("best").alias("best")).where("not rival and (best.qf is not null or p > best.q and best.score >= 2)").select("p", F.col("best.q").alias("q"))
-        kin = cut(_kin(called, either, at))
-        merge = cut(merge.unionByName(kin))
-        for old in (called, pairs, scored, kin):
+        merge = cut(merge.unionByName(_kin(called, either, at)))
+        for old in (called, pairs, scored):
             release(old)
         if merge.isEmpty():
             break
