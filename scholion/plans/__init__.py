@@ -1,3 +1,3 @@
 """Named queries and their SQL, by area."""
 
-MODULES = ["nested", "search", "graph", "evaluate", "ingest", "pipelines", "answers", "events", "listings", "profiles", "doctree", "texts"]
+MODULES = ["nested", "search", "graph", "evaluate", "ingest", "pipelines", "answers", "events", "listings", "profiles", "doctree", "texts", "files"]

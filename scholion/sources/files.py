@@ -160,7 +160,7 @@ def write_export(rows: DataFrame, path: str, kind: str = "csv") -> None:
     """Rows for other tools: lists and objects as JSON text, nulls as empty text in CSV."""
     flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name) for f in rows.schema]
     if kind == "csv":
-        rows.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(f.name) for c, f in zip(flat, rows.schema)]).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        rows.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(f.name) for c, f in zip(flat, rows.schema)]).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         rows.write.mode("overwrite").json(path)
 

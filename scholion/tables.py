@@ -73,6 +73,14 @@ def _drop_all(sc) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, dropped at the end of the session."""
+    root, known = _paths(spark)
+    path = f"{root}/{uuid.uuid4().hex}/{name}"
+    known.append(path.rpartition("/")[0])
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``: it is written once as a table in the shared folder and read back; survives the loss of executors.
 
