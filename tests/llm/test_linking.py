@@ -74,6 +74,25 @@ def test_candidates_lose_nothing(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_candidates_leave_no_shuffle_files(spark):
+    """The rows a key are several times the input: their shuffle files go before the pairs are compared."""
+    from scholion.llm.entities import candidate_pairs, prepared
+    from scholion.tables import cut
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffled = lambda: {f for i in range(held().size()) if (f := held().apply(i).getName()).startswith("shuffle_")}
+    prep = cut(prepared(spark.read.parquet("/root/testdata/sf0.001/paper_records.parquet")))
+    before = shuffled()
+    pairs = candidate_pairs(prep)
+    assert pairs.count() == pairs.distinct().count() > 0
+    made = {f for f in shuffled() - before if f.endswith(".data")}
+    assert len(made) < 12  # those of the two counts; the passes had three shuffles each
+    one, two = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false"), prep.groupBy("kind").count()
+    n = len(shuffled())
+    cut(two)
+    assert len(shuffled()) == n and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == one
+
+
 @pytest.mark.parametrize(
     ("a", "b", "level"),
     [
