@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholion.functions.text import tokens
-from scholion.tables import cut, spread
+from scholion.tables import cut, gathered, release, spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Sums in another order differ by less than this.
 EPSILON = 1e-8
-#: Query vectors that are sent to the executors at a time.
-QUERY_BLOCK = 4096
+#: Queries that are sent to the executors at a time, and whose terms texts are tokenised for at a time.
+QUERY_BLOCK, TERM_BLOCK = 4096, 65_536
+#: Postings that are searched at a time.
+POSTINGS = 2_000_000
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -131,6 +133,20 @@ def _matches(terms: np.ndarray, doc: np.ndarray, weight: np.ndarray, ends: np.nd
     return met, got
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones in one, so that a query is looked up once in all of them."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += len(b.column("terms").flatten())
+        if n > POSTINGS:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _searched(lists: DataFrame, block: pa.Table, asked: list[np.ndarray], idf: np.ndarray, average: np.ndarray, k: int | None, k1: float, b: float, margin: float, schema: str) -> DataFrame:
     """Each task's best rows of each query of a block."""
     size = len(idf) // len(average)
@@ -140,9 +156,7 @@ def _searched(lists: DataFrame, block: pa.Table, asked: list[np.ndarray], idf: n
         ids, asked, idf, average = shared.value
         kept, kind = _Kept(len(asked), k, margin) if k else None, None
         slot = np.full(len(idf), -1, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _joined(batches):
             kind = batch.schema.field("key").type
             keys, tf = batch.column("key"), batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
             term, sizes = batch.column("terms").flatten().to_numpy(zero_copy_only=False), np.diff(batch.column("terms").offsets.to_numpy())
@@ -186,8 +200,9 @@ class _Lists:
 
     def __init__(self, block: pa.Table, docs: DataFrame, key: str, fields: dict[str, float]) -> None:
         names, weights = list(fields), list(fields.values())
-        words = block.column("terms").to_pylist()
-        vocabulary = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+        terms = block.column("terms").combine_chunks()
+        coded = terms.flatten().dictionary_encode()  # a text of the driver's memory for each word, not for each word of a query
+        vocabulary = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
         self.rows = cut(_term_lists(docs, key, names, vocabulary))
         sizes = [F.col("lengths")[i] for i in range(len(names))]
         stats = self.rows.agg(*(F.count_if(n > 0) for n in sizes), *(F.avg(F.when(n > 0, n)) for n in sizes)).first()
@@ -197,32 +212,59 @@ class _Lists:
         df[seen.column("term").to_numpy()] = seen.column("df").to_numpy()
         rows = np.repeat(n, len(vocabulary))
         self.idf = np.log(1 + (rows - df + 0.5) / (df + 0.5)) * np.repeat(weights, len(vocabulary))
-        self.asked = [np.array([f * len(vocabulary) + vocabulary[w] for f in range(len(names)) for w in ws]) for ws in words]
+        codes = coded.indices.to_numpy().astype(np.int64)
+        self.asked = [np.concatenate([c + f * len(vocabulary) for f in range(len(names))]) for c in np.split(codes, terms.offsets.to_numpy()[1:-1] - terms.offsets[0].as_py())]
 
 
 def bm25(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], k: int | None = None, k1: float = K1, b: float = B, within: DataFrame | None = None, margin: float = 0.0) -> DataFrame:
     """BM25 of each query ``(query_id, text)`` against all rows: distinct query terms, any of which may match; fields add up by weight.
 
-    The queries are a stated set, sent to the executors in blocks. Every text is tokenised once a block, into a table of the terms asked
-    for; statistics come from it and cover all rows with a token in the field. Each task then keeps its best ``k`` rows of each query,
+    The queries are a stated set, sent to the executors in blocks; those of the same terms are searched once. Every text is tokenised once
+    for up to ``TERM_BLOCK`` queries, into a table of the terms asked for; statistics come from it and cover all rows with a token in the
+    field. Of several blocks each is searched, ranked and written before the next begins, in as many tasks as there are cores. Each task then keeps its best ``k`` rows of each query,
     exactly: posting lists are gone through from the rarest term on, and long ones only for rows that can still be among the best. So no
     row leaves a task but its ``k`` a query, however frequent a term is. ``within`` is a table with the ``key`` of the rows that may be
     found; with ``margin`` the rows that fall short of the ``k``-th score by no more than it stay in too. Null texts and keys match nothing.
     """
+    spark = docs.sparkSession
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {docs.schema[key].dataType.simpleString()}, score double"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks_of(cut(query_terms(queries)), "query_id"):
-        lists = _Lists(block, docs, key, fields)
-        rows = lists.rows if within is None else lists.rows.join(within.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
-        out = out.unionByName(_searched(rows, block, lists.asked, lists.idf, lists.average, k, k1, b, margin, schema))
-    return ranked(out, None if margin else k)
+    asked = cut(query_terms(queries).withColumn("like", F.min("query_id").over(Window.partitionBy("terms"))))
+    heads = asked.where(F.col("query_id") == F.col("like")).select("query_id", "terms")
+    every, count = asked.count(), heads.count()
+
+    def parts() -> Iterator[DataFrame]:
+        for block in blocks_of(heads, "query_id", TERM_BLOCK):
+            lists = _Lists(block, docs, key, fields)
+            rows = lists.rows if within is None else lists.rows.join(within.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+            if count > QUERY_BLOCK:  # each task hands on its best rows of each query
+                rows = rows.coalesce(spark.sparkContext.defaultParallelism)
+            for i in range(0, block.num_rows, QUERY_BLOCK):
+                found = _searched(rows, block.slice(i, QUERY_BLOCK), lists.asked[i : i + QUERY_BLOCK], lists.idf, lists.average, k, k1, b, margin, schema)
+                yield ranked(found, None if margin else k)
+            if count > QUERY_BLOCK:
+                release(lists.rows)
+
+    if not count:
+        return ranked(spark.createDataFrame([], schema), k)
+    out = gathered(parts()) if count > QUERY_BLOCK else next(parts())
+    return shared(out, asked.select("query_id", "like")) if every > count else out
+
+
+def like(*by: str) -> Column:
+    """One name for all queries with the same values of ``by``."""
+    return F.struct(F.min("query_id").over(Window.partitionBy(*by)).alias("first"), F.xxhash64(*by).alias("hash"))
+
+
+def shared(ranking: DataFrame, alike: DataFrame) -> DataFrame:
+    """The ranking of a query for all that are ``like`` it, ``alike`` being (query_id, like)."""
+    return ranking.withColumnRenamed("query_id", "like").join(alike, "like").select("query_id", "key", "score", "rank")
 
 
 def bm25_pairs(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 of the given pairs ``(query_id, key)`` only, those above 0; statistics are those of all rows, as in :func:`bm25`."""
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {docs.schema[key].dataType.simpleString()}, score double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks_of(cut(query_terms(queries)), "query_id"):
+    for block in blocks_of(cut(query_terms(queries)), "query_id", TERM_BLOCK):
         lists = _Lists(block, docs, key, fields)
         size = len(lists.idf) // len(lists.average)
         shared = docs.sparkSession.sparkContext.broadcast((block.column("query_id").to_pylist(), lists.asked, lists.idf, lists.average))  # one block of queries
@@ -250,12 +292,15 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k
     """Exact top-k by cosine of each query ``(query_id, vector)`` against all rows with a vector of the same size.
 
     The queries are a stated set: they are sent to the executors in blocks, every partition keeps its best ``k`` of each query, and the
-    partitions' bests are ranked. Null, empty and zero vectors match nothing.
+    partitions' bests are ranked. Queries of one vector are searched once; of several blocks each is ranked and written before the next
+    begins. Null, empty and zero vectors match nothing.
     """
     spark = vectors.sparkSession
     taken = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("key is not null and v is not null and size(v) > 0")
-    kind, qkind = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    out = None
+    asked = cut(queries.select("query_id", "vector").where("vector is not null and size(vector) > 0").withColumn("like", like("vector")))
+    heads = asked.select(F.col("like").alias("query_id"), "vector").dropDuplicates(["query_id"])
+    kind, qkind = vectors.schema[key].dataType.simpleString(), asked.schema["like"].dataType.simpleString()
+    every, ids, count = asked.agg(F.count(F.lit(1)), F.count_distinct("query_id"), F.count_distinct("like")).first()
 
     def search(block: list) -> DataFrame:
         ids = [q for q, _ in block]
@@ -285,12 +330,11 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k
 
         return taken.mapInPandas(run, f"query_id {qkind}, key {kind}, score double")
 
-    for t in blocks_of(queries.select("query_id", "vector").where("vector is not null and size(vector) > 0"), "query_id"):
-        part = search(list(zip(t.column("query_id").to_pylist(), t.column("vector").to_pylist())))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], f"query_id {qkind}, key {kind}, score double")
-    return ranked(out, k)
+    if not count:
+        return ranked(spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {kind}, score double"), k)
+    parts = (ranked(search(list(zip(t.column("query_id").to_pylist(), t.column("vector").to_pylist()))), k) for t in blocks_of(heads, "query_id"))
+    out = shared(gathered(parts) if count > QUERY_BLOCK else next(parts), asked.select("query_id", "like"))
+    return out if every == ids else ranked(out, k)
 
 
 #: Vectors that the cells of the index are fitted on at most, and rounds of the fit.

@@ -123,3 +123,24 @@ def test_small_helpers(spark):
 def test_filter_reaches_the_scan(spark, sf):
     plan = spark.read.parquet(f"{sf}/paper_records.parquet").where("year >= 2005").select("rec_id")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(year,2005)" in plan and "authors" not in plan
+
+
+def test_many_queries(spark, monkeypatch):
+    """Texts are tokenised once for several blocks, queries of the same terms or vector are searched once, and blocks rank as one would."""
+    from scholion.operators import search
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common {'rare' if i == 3 else ''}", [float(i % 3 + 1), float(i % 4)]) for i in range(40)], "id long, text string, v array<float>")
+    asked = spark.createDataFrame([(i, f"w{i % 6} common" if i % 2 else f"common w{i % 6}", [float(i % 4 + 1), 1.0]) for i in range(24)], "query_id long, text string, vector array<float>")
+    rows = lambda df: sorted((r["query_id"], r["key"], round(r["score"], 9), r["rank"]) for r in df.collect())
+    want = rows(search.bm25(asked, docs, "id", {"text": 1.0}, 3)), rows(search.cosine_topk(asked, docs, "id", "v", 3))
+    lists, searched = search._term_lists, search._searched
+    made, sizes = [], []
+    monkeypatch.setattr(search, "_term_lists", lambda *a: made.append(1) or lists(*a))
+    monkeypatch.setattr(search, "_searched", lambda rows, block, *a: sizes.append(block.num_rows) or searched(rows, block, *a))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    assert rows(search.bm25(asked, docs, "id", {"text": 1.0}, 3)) == want[0] and len(want[0]) == 24 * 3
+    assert len(made) == 1 and sizes == [2, 2, 2]
+    assert rows(search.cosine_topk(asked, docs, "id", "v", 3)) == want[1] and len(want[1]) == 24 * 3
+    twice = asked.where("query_id < 2").withColumn("query_id", F.lit(0).cast("long"))  # rows of one id are ranked together
+    assert [r[3] for r in rows(search.cosine_topk(twice, docs, "id", "v", 3))] and max(r[3] for r in rows(search.cosine_topk(twice, docs, "id", "v", 3))) == 3
+    assert rows(search.bm25(asked.limit(0), docs, "id", {"text": 1.0}, 3)) == rows(search.cosine_topk(asked.limit(0), docs, "id", "v", 3)) == []
