@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scholion.functions.score import paper_rank
 from scholion.functions.scorers import rerank_score
 from scholion.functions.text import token_set, tokens
-from scholion.operators.search import bm25, bm25_pairs, cosine, cosine_topk, hybrid, ranked, rrf, weighted_rrf
+from scholion.operators.search import bm25, bm25_pairs, cosine, cosine_topk, hybrid, like, ranked, rrf, shared, weighted_rrf
 from scholion.tables import cut
 
 
@@ -121,21 +121,30 @@ def scoped_pipeline(queries: DataFrame, scope: DataFrame, papers: DataFrame, chu
 def fielded_match(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], k: int) -> DataFrame:
     """Ranking by weighted counts of the query's words, all of which a row must have in any field, and none of those marked with ``-``.
 
-    Stands in for full-text search where there is no lexical index. Rows are looked up by the rarest word of a query only.
+    Stands in for full-text search where there is no lexical index. Rows are looked up by the rarest word of a query only, and once for all
+    queries of the same words. Only the queries' distinct words are broadcast.
     """
     signed = queries.select("query_id", F.lower("text").alias("t"))
     out = F.regexp_extract_all("t", F.lit(r"(?:^|\s)-([a-z0-9]+)"), F.lit(1))
-    asked = cut(signed.select("query_id", F.array_distinct(tokens(F.regexp_replace("t", r"(^|\s)-[a-z0-9]+", " "))).alias("all"), out.alias("none")).where("size(all) > 0"))
+    wanted = tokens(F.regexp_replace("t", r"(^|\s)-[a-z0-9]+", " "))
+    named = signed.select("query_id", F.array_sort(F.array_distinct(wanted)).alias("all"), F.array_sort(F.array_distinct(out)).alias("none")).where("size(all) > 0")
+    named = cut(named.withColumn("like", like("all", "none")))
+    asked = named.select(F.col("like").alias("query_id"), "all", "none").dropDuplicates(["query_id"])
     words = docs.select(F.col(key).alias("key"), *(tokens(f).alias(f"f{i}") for i, f in enumerate(fields)))
     words = words.withColumn("any", F.array_distinct(F.concat(*(F.coalesce(f"f{i}", F.array().cast("array<string>")) for i in range(len(fields))))))
     words = cut(words.where("size(any) > 0 and key is not null"))
-    df = words.select(F.explode("any").alias("w")).join(asked.select(F.explode("all").alias("w")).distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rarest = asked.select("query_id", F.explode("all").alias("w")).join(df, "w", "left").groupBy("query_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
-    met = words.select("key", F.explode("any").alias("w")).join(rarest, "w").select("query_id", "key")
-    found = met.join(words, "key").join(asked, "query_id").where((F.size(F.array_except("all", "any")) == 0) & (F.size(F.array_intersect("any", "none")) == 0))
+    each = words.select("key", F.explode("any").alias("w"))
+    df = each.join(F.broadcast(asked.select(F.explode("all").alias("w")).distinct()), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.select("query_id", "all", "none", F.explode("all").alias("w")).join(df, "w", "left").groupBy("query_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"), F.first("all").alias("all"), F.first("none").alias("none"))
+    rarest = cut(rarest)
+    # the words of a row are fetched last, so that they are never sent with its pairs
+    met = each.join(F.broadcast(rarest.select("w").distinct()), "w", "left_semi").join(rarest, "w").select("query_id", "key", "all", "none")
+    found = met.join(words, "key").where((F.size(F.array_except("all", "any")) == 0) & (F.size(F.array_intersect("any", "none")) == 0))
     count = lambda c, ws: F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.array_contains(ws, x)))
     score = sum((w * count(F.col(f"f{i}"), F.col("all")) for i, w in enumerate(fields.values())), F.lit(0.0))
-    return ranked(found.select("query_id", "key", score.alias("score")), k)
+    best = shared(ranked(found.select("query_id", "key", score.alias("score")), k), named.select("query_id", "like"))
+    every, ids = named.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    return best if every == ids else ranked(best, k)
 
 
 def lookup_pipeline(queries: DataFrame, ids: DataFrame, titles: DataFrame, papers: DataFrame, chunks: DataFrame, least: float = 0.3, load=None) -> tuple[DataFrame, DataFrame]:

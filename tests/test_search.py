@@ -144,3 +144,15 @@ def test_many_queries(spark, monkeypatch):
     twice = asked.where("query_id < 2").withColumn("query_id", F.lit(0).cast("long"))  # rows of one id are ranked together
     assert [r[3] for r in rows(search.cosine_topk(twice, docs, "id", "v", 3))] and max(r[3] for r in rows(search.cosine_topk(twice, docs, "id", "v", 3))) == 3
     assert rows(search.bm25(asked.limit(0), docs, "id", {"text": 1.0}, 3)) == rows(search.cosine_topk(asked.limit(0), docs, "id", "v", 3)) == []
+
+
+def test_fielded_match_looks_up_equal_queries_once(spark, monkeypatch):
+    from scholion.operators import pipelines
+
+    docs = spark.createDataFrame([(i, f"the study of w{i % 3}", "limits" if i == 4 else None) for i in range(9)], "id long, text string, section string")
+    asked = spark.createDataFrame([(i, "The study -limits" if i % 2 else "study the -limits") for i in range(20)], "query_id long, text string")
+    scored, plain = [], pipelines.ranked
+    monkeypatch.setattr(pipelines, "ranked", lambda scores, k=None: scored.append(scores.count()) or plain(scores, k))
+    got = pipelines.fielded_match(asked, docs, "id", {"text": 1.0, "section": 0.4}, 5).collect()
+    assert scored == [8]  # of nine rows one mentions a limit; not eight a query
+    assert len(got) == 100 and {(r["key"], r["score"], r["rank"]) for r in got if r["query_id"] == 7} == {(0, 2.0, 1), (1, 2.0, 2), (2, 2.0, 3), (3, 2.0, 4), (5, 2.0, 5)}
