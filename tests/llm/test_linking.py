@@ -1,10 +1,14 @@
+import cProfile
 import itertools
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scholion.llm import entities
 from scholion.llm.entities import HEAD_BITS, HEAD_BLOCKS, blocks, confidence, match_records, title_parts
 from scholion.llm.people import compatible, components, name_parts, person_pairs, resolve
 
@@ -21,6 +25,62 @@ def test_title_parts(title, core, kind):
     assert title_parts(title)[:2] == (core, kind)
 
 
+TITLE_WORDS = ["deep", "lakes", "novel", "nod", "no", "No.", "part", "Pt.2", "paper", "sectionb", "chapter:", "iv", "X", "2", "12.", "a", "(II)", "[ii]", "–", ":", "_", "Erratum", "Comments on", "vol 3", "reſearch", "research", "Ärger", "…", "...", "†", "*", "&amp;", "<i>x</i>", "$a$", "\\textit{b}", "["]
+
+
+def test_plain_titles_take_no_slow_patterns(monkeypatch):
+    """p4: the patterns of marks and parts were searched in every title, most of what a record took."""
+    monkeypatch.setattr(entities, "_MARKED", None)
+    monkeypatch.setattr(entities, "_PART", None)
+    assert title_parts("On the Screening of Novel Glulam Joints under Persistent Conditions: a Study") == ("on the screening of novel glulam joints under persistent conditions a study", "", False)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(TITLE_WORDS), max_size=9), st.sampled_from([" ", "", " : "]))
+def test_titles_are_read_as_by_the_patterns(words, gap):
+    """What is told without a pattern is what the patterns say."""
+    title = gap.join(words)
+    assert entities.marked(title) == bool(entities._MARKED.search(title))
+    if title.isascii() and entities._PART.search(title):
+        assert not entities._PART_WORDS.isdisjoint(entities._WORDS.findall(title.lower()))
+    with pytest.MonkeyPatch.context() as m:
+        got = title_parts(title)
+        m.setattr(entities, "marked", lambda s: True)
+        m.setattr(entities, "_PART_WORDS", type("All", (), {"isdisjoint": lambda self, x: False})())
+        assert title_parts(title) == got
+
+
+NAMES = ["", "ada lovelace", "ada lovelacce", "grace hopper", "hoper", "wang", "xang", "steurtaidis wilhelmina", "steurtaiddis", "łukasz möström", "ab", "日本語"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from(NAMES[1:]), max_size=4).map(" ".join)] * 2), min_size=1, max_size=30), st.sampled_from([1, 9, 65_536]))
+def test_names_of_many_pairs_are_scored_alike(pairs, crossed):
+    """p4: all pairs at once give the very scores of each, where lists are too long for one array as well."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(entities, "CROSSED", crossed)
+        got = entities.names_scores(pd.Series([x for x, _ in pairs]), pd.Series([y for _, y in pairs])).tolist()
+    assert [None if z != z else z for z in got] == [entities.words_score(x.split(" "), y.split(" ")) if x and y else None for x, y in pairs]
+
+
+def test_names_of_many_pairs_take_few_calls():
+    """p4: each word of each pair was looked up and compared by calls of its own, most of what a pair took."""
+    given, family = [a + b for a in ("anna", "bruno", "clara", "derek") for b in "bcdfghklmn"], [a + b for a in ("steur", "holgi", "velst", "lakes") for b in ("taidis", "keau", "weck", "mann")]
+    one = pd.Series([f"{given[i % 40]} {family[i % 16]}" for i in range(2000)])
+    two = pd.Series([f"{family[i * 7 % 16]} {given[i * 11 % 40]}" for i in range(2000)])
+    with cProfile.Profile() as profile:
+        entities.names_scores(one, two)
+    assert sum(entry.callcount for entry in profile.getstats()) < 5 * len(one)
+
+
+def test_masks_of_many_words():
+    words = ["", "a", "ab", "lovelace", "ösel", "日本語", "x" * 300, "a"]
+    columns = entities.masks_of(np.array(words, object), entities.NAME_BITS).tolist()
+    assert [sum(column[i] << 64 * k for k, column in enumerate(columns)) for i in range(len(words))] == [entities.name_mask(w) for w in words]
+    assert entities.masks_of(np.array([], object), entities.NAME_BITS).shape == (4, 0)
+    assert entities.names_scores(pd.Series([], dtype=object), pd.Series([], dtype=object)).tolist() == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 2**HEAD_BITS - 1), st.sets(st.integers(0, HEAD_BITS - 1), max_size=HEAD_BLOCKS - 1))
 def test_close_vectors_share_a_block(v, flips):
