@@ -134,6 +134,14 @@ def test_candidates_lose_nothing(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_short_titles_are_no_beginnings(spark):
+    """p4: a title of a few letters, all of them in a long one of the same author, is no candidate, as its score is that of whole titles."""
+    who = [("Wilhelmina Steurtaidis", None)]
+    rows = [(1, "a", "Sediments", None, 2001, None, who), (2, "b", "Sediments of shallow lakes and their seasonal mixing", None, 2001, None, who), (3, "a", "Sediments of shallow lakes", None, 2001, None, who)]
+    pairs = entities.candidate_pairs(entities.prepared(_records(spark, rows))).collect()
+    assert [(r["a"], r["b"]) for r in pairs] == [(2, 3)]
+
+
 def test_candidates_leave_no_shuffle_files(spark):
     """The rows a key are several times the input: their shuffle files go before the pairs are compared."""
     from scholion.llm.entities import candidate_pairs, prepared
