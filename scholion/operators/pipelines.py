@@ -9,7 +9,7 @@ from scholion.functions.score import paper_rank
 from scholion.functions.scorers import rerank_score
 from scholion.functions.text import token_set, tokens
 from scholion.operators.search import bm25, bm25_pairs, cosine, cosine_topk, hybrid, like, ranked, rrf, shared, weighted_rrf
-from scholion.tables import cut
+from scholion.tables import cut, merged
 
 
 def virtual_chunks(papers: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def rerank(queries: DataFrame, pairs: DataFrame, texts: DataFrame, k: int | None
         own = asked.select("query_id", token_set("query_text").alias("a"))
         there = texts.join(pairs.select("key").distinct(), "key", "left_semi").select("key", token_set("text").alias("b"))
         score = F.when(F.size("a") > 0, F.size(F.array_intersect("a", F.coalesce("b", F.array().cast("array<string>")))) / F.size("a")).otherwise(0.0)
-        return ranked(pairs.join(there, "key").join(own, "query_id").select("query_id", "key", score.alias("score")), k)
-    scored = pairs.join(texts, "key").join(asked, "query_id")
+        return ranked(merged(pairs.join(there, "key")).join(own, "query_id").select("query_id", "key", score.alias("score")), k)
+    scored = merged(pairs.join(texts, "key")).join(asked, "query_id")
     return ranked(scored.select("query_id", "key", rerank_score("query_text", "text", load).alias("score")), k)
 
 
@@ -91,19 +91,20 @@ def database_pipeline(queries: DataFrame, parts: DataFrame, papers: DataFrame, c
 
     ``queries`` is (query_id, text, vector); ``parts`` are its sub-queries (query_id, part, text, vector); ``papers`` has paper, title,
     abstract, vector, citations, quartile; ``chunks`` paper, chunk_id, section, text, vector. All queries and parts run in one plan. The
-    papers come out as (query_id, paper, score, rank), the chunks of these papers as (query_id, paper, chunk_id, score, rank).
+    papers come out as (query_id, paper, score, rank), the chunks of these papers as (query_id, paper, chunk_id, score, rank). Tables with
+    rows for each query and paper are never broadcast, however small they are on disk.
     """
     subs = parts.select(F.struct("query_id", "part").alias("query_id"), "text", "vector")
     each = hybrid_papers(subs, papers, 2 * top_papers).select(F.col("query_id.query_id").alias("query_id"), "key", "score", "rank")
-    hits = cut(rrf(each, 2 * top_papers).select("query_id", F.col("key").alias("paper")))
+    hits = merged(cut(rrf(each, 2 * top_papers).select("query_id", F.col("key").alias("paper"))))
     near = scoped_chunks(queries, hits, chunks, top_chunks).select("query_id", "key").join(chunks.select(F.col("chunk_id").alias("key"), "paper"), "key")
-    pool = cut(with_abstracts(hits.join(near, ["query_id", "paper"], "left"), papers, chunks))
-    again = cut(rerank(queries, pool.select("query_id", "key"), pool.select("key", "text").dropDuplicates(["key"]), None, load))
+    pool = merged(cut(with_abstracts(hits.join(near, ["query_id", "paper"], "left"), papers, chunks)))
+    again = merged(cut(rerank(queries, pool.select("query_id", "key"), pool.select("key", "text").dropDuplicates(["key"]), None, load)))
     owner = pool.select("key", "paper").distinct()
     evidence = paper_evidence(again, owner)
-    full = hits.join(evidence, ["query_id", "paper"], "left").join(papers.select("paper", "citations", "quartile"), "paper")
+    full = merged(hits.join(evidence, ["query_id", "paper"], "left")).join(papers.select("paper", "citations", "quartile"), "paper")
     best = cut(ranked(full.select("query_id", F.col("paper").alias("key"), paper_rank(F.coalesce("best", F.lit(0.0)), F.col("citations"), F.col("quartile")).alias("score")), top_papers).withColumnRenamed("key", "paper"))
-    kept = again.join(owner, "key").join(best.select("query_id", "paper"), ["query_id", "paper"], "left_semi")
+    kept = again.join(owner, "key").join(merged(best.select("query_id", "paper")), ["query_id", "paper"], "left_semi")
     final = ranked(kept.select("query_id", "key", "score"), top_chunks).join(owner, "key")
     return best, final.select("query_id", "paper", F.col("key").alias("chunk_id"), "score", "rank")
 

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scholion.operators import pipelines
 from scholion.operators.search import bm25, cosine_topk, first_seen, hybrid, ivf_fit, ivf_index, ivf_topk, normalized_weights, ranked, rrf, sanitized_query, weighted_rrf
+from scholion.tables import cut
 
 
 def brute_bm25(queries, docs):
@@ -156,3 +158,18 @@ def test_fielded_match_looks_up_equal_queries_once(spark, monkeypatch):
     got = pipelines.fielded_match(asked, docs, "id", {"text": 1.0, "section": 0.4}, 5).collect()
     assert scored == [8]  # of nine rows one mentions a limit; not eight a query
     assert len(got) == 100 and {(r["key"], r["score"], r["rank"]) for r in got if r["query_id"] == 7} == {(0, 2.0, 1), (1, 2.0, 2), (2, 2.0, 3), (3, 2.0, 4), (5, 2.0, 5)}
+
+
+def test_rankings_by_query_and_paper_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(pipelines, "cut", lambda df: planned(df) or cut(df))
+    queries = spark.createDataFrame([(1, "cat dog", [1.0, 0.0]), (2, "dog", [0.0, 1.0])], "query_id int, text string, vector array<float>")
+    parts = queries.select("query_id", F.lit(0).alias("part"), "text", "vector")
+    papers = spark.createDataFrame([("a", "cat", "a cat", [1.0, 0.1], 3, "Q1"), ("b", "dog", "no dog", [0.1, 1.0], 0, None)], "paper string, title string, abstract string, vector array<float>, citations int, quartile string")
+    chunks = spark.createDataFrame([("a", "a1", "intro", "cat and dog", [1.0, 0.0])], "paper string, chunk_id string, section string, text string, vector array<float>")
+    best, found = pipelines.database_pipeline(queries, parts, papers, chunks)
+    planned(found)
+    assert len(plans) == 5 and not any("BroadcastHashJoin" in p for p in plans[2:])  # reranking, papers, chunks; hits and their chunks come before
+    assert {(r["query_id"], r["paper"]) for r in best.collect()} == {(q, p) for q in (1, 2) for p in "ab"}
+    assert {(r["query_id"], r["chunk_id"], r["score"]) for r in found.collect()} == {(1, "a1", 1.0), (1, "b_abstract", 0.5), (2, "a1", 1.0), (2, "b_abstract", 1.0)}
